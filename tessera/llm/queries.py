@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, substring_dedup
+from . import byte_bpe, exact_dedup, language_id, media, ngram_join, packing, pii, substring_dedup, toxicity
 from .common import documents
 
 
@@ -30,14 +30,40 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir)).drop("text_key")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.carried(documents(spark, sf_dir)))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trips(documents(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(language_id.documents_rows(documents(spark, sf_dir)), ["doc_id", "row_key"]).drop("row_key")
+
+
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(language_id.pages_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")), ["page_id"])
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir)).drop("text_key", "n_chunks")
 
@@ -45,8 +71,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
+        "op4_media": op4_media,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_pii": op6_pii,
+        "op7_toxicity": op7_toxicity,
+        "op9_language_id": op9_language_id,
+        "language_id_of_pages": language_id_of_pages,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
