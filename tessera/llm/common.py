@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Odd multipliers of the rolling hashes; any odd 64-bit numbers whose predecessor has few factors of two do.
 ROLL_A = 0x9E3779B97F4A7C15 | 1
 ROLL_B = 0xD6E8FEB86659FD93 | 1
-MASK = (1 << 64) - 1
+#: Stands for a null doc_id inside packed lists, whose numbers a null would turn into floats.
+NO_ID = -(1 << 63)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

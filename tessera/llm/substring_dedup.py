@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLL_A, ROLL_B, WordHashes, rolling, shuffle_partitions
+from .common import NO_ID, ROLL_A, ROLL_B, WordHashes, rolling, shuffle_partitions
 
 WINDOW = 35
 #: Windows in a bucket, about: 9 MB of hashes and positions.
@@ -139,9 +139,7 @@ def _covered(window: int):
             flips = np.flatnonzero(np.diff(np.concatenate([[False], covered[lo : lo + n], [False]]).astype(np.int8)))
             out.append((doc_id, key, n, int((flips[1::2] - flips[::2]).sum()), flips[::2], flips[1::2]))
             lo += n
-        frame = pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "n_removed", "starts", "ends"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+        return pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "n_removed", "starts", "ends"])
 
     return run
 
@@ -156,11 +154,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, window_target: int
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(shuffle_partitions(spark), chars // (6 * window_target) + 1)
-    plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     packed = plain.mapInArrow(_hashed(window, n_buckets, block_words), _RECORD)
     back = packed.groupBy("bucket").applyInPandas(_shared, "block string, kind string, positions binary, doc_ids array<long>, text_keys array<long>, n_words array<long>")
     found = back.groupBy("block").applyInPandas(_covered(window), "doc_id long, text_key long, n_words long, n_removed long, starts array<int>, ends array<int>")
-    return found
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def _kept_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
