@@ -46,7 +46,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return trigrams([t.replace("\0", " ") for t in texts])
     codes = np.where(_is_letter()[codes], codes, 32).astype(np.uint32)
     a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    at = np.flatnonzero((b != 32) & ((a != 32) | (c != 32)))
+    at = np.flatnonzero(b != 32)
     mixed = a[at] * np.uint32(0x9E3779B1) + b[at] * np.uint32(0x85EBCA77) + c[at] * np.uint32(0xC2B2AE3D)
     mixed ^= mixed >> np.uint32(15)
     mixed *= np.uint32(0x2C1B3C6D)
@@ -167,13 +167,14 @@ def identified(rows: DataFrame, keys: list[str], least: float = LEAST) -> DataFr
     joined = joined.withColumn("prior", smoothed("site_counts", base)).withColumn("prior", smoothed("host_counts", F.col("prior")))
     nothing = F.array_repeat(F.lit(0.0), n)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    log_post = add(add(F.transform("prior", F.log), F.col("likelihood")), add(F.coalesce("given_declared", nothing), F.coalesce("given_suffix", nothing)))
+    log_post = add(add(F.transform("prior", lambda p: F.log(p)), F.col("likelihood")), add(F.coalesce("given_declared", nothing), F.coalesce("given_suffix", nothing)))
     joined = joined.withColumn("log_post", log_post)
     shares = F.transform("log_post", lambda x: F.exp(x - F.array_max("log_post")))
     joined = joined.withColumn("probability", 1.0 / F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
-    lang = names[F.array_position("log_post", F.array_max("log_post")).cast("int") - 1]
+    top = F.array_max(F.transform("log_post", lambda x, i: F.struct(x.alias("value"), (-i).alias("place"))))
+    lang = F.get(names, -top["place"])
     accepted = (F.col("n_grams") > 0) & (F.col("probability") >= least)
-    return joined.select(*keys, "declared", names[F.col("vote")].alias("text_lang"), lang.alias("lang"), "probability", accepted.alias("accepted"))
+    return joined.select(*keys, "declared", F.get(names, F.col("vote")).alias("text_lang"), lang.alias("lang"), "probability", accepted.alias("accepted"))
 
 
 def documents_rows(docs: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ class LabelModel:
         self.weights = np.ones(m)
         share = (counts * (gold == 1)).sum() / max(1.0, (counts * known).sum()) if known.any() else 0.1
         self.prior = float(np.clip(share, 0.01, 0.5))
-        start = (votes > 0).sum(1) - (votes < 0).sum(1)
-        belief = np.where(known, gold, 1 / (1 + np.exp(-2.0 * start)))
+        alike = self._correlations(votes, counts, np.full(n, 0.5)) ** 4  # voters that say the same start with one voice
+        belief = np.where(known, gold, 1 / (1 + np.exp(-2.0 * votes @ (1 / (1 + alike.sum(1))))))
         for _ in range(rounds):
             self._maximise(votes, counts, belief)
             belief = np.where(known, 0.98 * gold + 0.01, self.posterior(votes))

@@ -30,14 +30,14 @@ def test_text_wins_over_wrong_declarations_and_priors_decide_short_texts(spark):
     rows += [(1000, prose(r, "fr", 60), "en", "com", "en.example.en"), (1001, "", "fr", "fr", None), (1002, None, None, None, None), (1003, "a", None, "de", "de.example.de"), (1004, "a", None, None, "fr.example.fr")]
     rows += [(1005, "12 34", "en", None, None), (None, prose(r, "de", 30), "??", None, "new.host")]
     got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
-    assert all(got[i].lang == ("en", "fr", "de")[i % 3] and got[i].accepted for i in range(600))
+    assert all(got[i].lang == got[i].text_lang == ("en", "fr", "de")[i % 3] and got[i].accepted for i in range(600))
     assert got[1000].lang == "fr" and got[1003].lang == "de" and got[1004].lang == "fr" and got[None].lang == "de"
     assert not any(got[i].accepted for i in (1001, 1002, 1005)) and got[1001].text_lang is None
     assert all(0 < x.probability <= 1 for x in got.values())
 
 
 def test_posterior_equals_a_plain_computation(spark):
-    rows = [(0, "aa", "xx", "com", "h.s"), (1, "aa", "xx", None, "h.s"), (2, "bb", "yy", "com", "g.s"), (3, "ab", None, "com", "h.s")]
+    rows = [(0, "aa", "xx", "com", "h.a.s"), (1, "aa", "xx", None, "h.a.s"), (2, "bb", "yy", "com", "g.a.s"), (3, "ab", None, "com", "h.a.s")]
     got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
     grams = {t: trigrams([t])[0] for t in ("aa", "bb", "ab")}
     counts = {"xx": np.ones(1 << 14), "yy": np.ones(1 << 14)}
