@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, media, ngram_join, packing, pii, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, language_id, lm_scoring, media, ngram_join, packing, pii, substring_dedup, toxicity
 from .common import documents
 
 
@@ -56,6 +56,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(language_id.documents_rows(documents(spark, sf_dir)), ["doc_id", "row_key"]).drop("row_key")
 
@@ -68,6 +72,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir)).drop("text_key", "n_chunks")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -77,9 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_pii": op6_pii,
         "op7_toxicity": op7_toxicity,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_language_id": op9_language_id,
         "language_id_of_pages": language_id_of_pages,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": pipeline,
     }
 
 
