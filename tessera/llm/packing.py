@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 SEQUENCE = 2048
 END_ID = 1
@@ -38,12 +38,12 @@ _QUEUED = "part int, doc_id long, source string, before long, n long, ids binary
 
 def _queued(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = PieceEncoder(path), TaskContext.get().partitionId()
+        coder, part = encoder(path), TaskContext.get().partitionId()
         before: dict[str, int] = {}
         for rows in batches:
             for lo in range(0, len(rows), 256):
                 some = rows.iloc[lo : lo + 256]
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(some.text.tolist())]
+                ids = [np.append(x, np.uint32(end_id)) for x in coder.encode(some.text.tolist())]
                 starts = []
                 for source, x in zip(some.source, ids, strict=True):
                     starts.append(before.get(source, 0))
