@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "facet_documents_by_source"
+from .queries import activity, library, retrieval, texts  # noqa: F401  each registers its queries
+from .queries.registry import QUERIES, SQL
 
-
-def facet_documents_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+FLAGSHIP = "ranked_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"facet_documents_by_source": facet_documents_by_source}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"facet_documents_by_source": "SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY source"}
+    return dict(SQL)
