@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import activity, library, retrieval, texts  # noqa: F401  each registers its queries
+from .queries import activity, library, pipelines, retrieval, texts  # noqa: F401  each registers its queries
 from .queries.registry import QUERIES, SQL
 
 FLAGSHIP = "ranked_search"

@@ -82,11 +82,10 @@ def without_reasoning(text: Column) -> Column:
 
 
 def fenced(text: Column) -> Column:
-    """What the first code fence holds, else the text from its first brace or bracket, else all of it."""
+    """What the first code fence holds, else the text from its first brace or bracket, else all of it; trimmed."""
     inner = F.regexp_extract(text, r"(?s)```[A-Za-z]*\n(.*?)```", 1)
-    first = F.least(F.nullif(F.instr(text, "{"), F.lit(0)), F.nullif(F.instr(text, "["), F.lit(0)))
-    rest = F.when(first.isNotNull(), F.expr("1")).otherwise(F.lit(None))
-    return F.when(inner != "", F.trim(inner)).when(rest.isNotNull(), F.substring(text, first, F.length(text))).otherwise(F.trim(text))
+    opened = F.regexp_extract(text, r"(?s)[{\[].*$", 0)
+    return F.regexp_replace(F.when(inner != "", inner).when(opened != "", opened).otherwise(text), r"^\s+|\s+$", "")
 
 
 def entropy(text: Column) -> Column:

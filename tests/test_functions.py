@@ -1,0 +1,113 @@
+import io
+import math
+import tarfile
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import text as fn
+from tessera.functions.vectors import cosine
+from tessera.operators import chunks, classify, packs, spans
+from tessera.sources import archives, captions, markdown
+
+
+def column(spark, values, f, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"x {kind}").select(f(F.col("x"))).collect()]
+
+
+def test_slugs_and_tags(spark):
+    assert column(spark, ["Été à Paris!", "", None, "--", "a" * 100], fn.slug) == ["ete-a-paris", "untitled", "untitled", "untitled", "a" * 80]
+    tags = ["Day-to-day", "spark spark", "go go go", "a b a b", "one two three four five", "", "x" * 50]
+    assert column(spark, tags, fn.clean_tag) == ["day-to-day", "spark", "go", "a-b", None, None, None]
+
+
+def test_urls(spark):
+    urls = ["https://User:pw@Host.example:8080/a?b#c", "HTTP://x.y", "nope", None]
+    assert column(spark, urls, fn.origin) == ["https://host.example:8080", "http://x.y", "[url]", "[url]"]
+    assert column(spark, ["see https://u:p@h.example/secret?x=1 and http://b.c"], fn.without_urls) == ["see https://h.example and http://b.c"]
+
+
+def test_replies(spark):
+    assert column(spark, ["<think>no\n</think> yes", "a <think>cut", "b"], fn.without_reasoning) == ["yes", "a", "b"]
+    assert column(spark, ["x\n```json\n{\"a\": 1}\n```\ny", "so: [1, 2]", "plain "], fn.fenced) == ['{"a": 1}', "[1, 2]", "plain"]
+
+
+def test_clock_entropy_and_cosine(spark):
+    assert column(spark, [0, 3661, 86399], fn.clock, "long") == ["00:00:00", "01:01:01", "23:59:59"]
+    assert column(spark, ["01:01:01", "02:03"], fn.seconds) == [3661.0, 123.0]
+    assert [round(x, 6) for x in column(spark, ["abab", "abcd"], fn.entropy)] == [1.0, 2.0]
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<float>, b array<float>")
+    assert [round(r[0], 6) for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [round(1 / math.sqrt(2), 6), 0.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    ("path", "kind", "language", "secret"),
+    [("src/a.py", "source", "Python", False), ("package.json", "manifest", "JSON", False), ("docs/x.txt", "documentation", "Text", False), (".env", "configuration", "Text", True), (".env.example", "configuration", "Text", False), ("tests/a.go", "test", "Go", False), (".github/w.yml", "ci", "YAML", False), ("k/server.pem", "source", "Text", True)],
+)
+def test_paths(spark, path, kind, language, secret):
+    row = spark.createDataFrame([(path,)], "p string").select(classify.role(F.col("p")), classify.language(F.col("p")), classify.secret_prone(F.col("p"))).first()
+    assert tuple(row) == (kind, language, secret)
+
+
+def test_scope_and_redaction(spark):
+    paths = ["src/a.py", "src", "srcs/a.py", "lib/deep/x.py", "lib/y.md"]
+    assert column(spark, paths, lambda p: classify.in_scope(p, ["src", "*.py"], ["srcs"])) == [True, True, False, True, False]
+    assert column(spark, ["API_KEY = 'abcdefgh12345'; x", "token: short"], classify.redacted) == ["API_KEY = '[REDACTED]'; x", "token: short"]
+
+
+def test_spans_of_what_is_kept(spark):
+    rows = [(1, 0.0, 60.0), (1, 300.0, 360.0), (1, 50.0, 40.0), (2, -5.0, 700.0), (3, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "id int, start double, end double").withColumn("total", F.lit(600.0))
+    got = sorted((r.id, r.start, r.end) for r in spans.complement(df, "id").collect())
+    assert got == [(1, 60.0, 300.0), (1, 360.0, 600.0), (3, 0.0, 600.0)]
+
+
+def test_captions_and_script(spark):
+    vtt = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n<c>Hello</c>\n\n00:00:02.000 --> 00:00:03.000\nHello\nthere"
+    df = spark.createDataFrame([(1, vtt)], "id int, text string")
+    assert [r.line for r in captions.cue_lines(df, "id", "text").orderBy("line_number").collect()] == ["[00:00:01] Hello", "[00:00:02] there"]
+    script = spark.createDataFrame([(1, "intro\nANNA: hi\n**Ben**: yes\nno speaker")], "id int, text string")
+    assert [(r.speaker, r.said) for r in captions.speaker_lines(script, "id", "text").orderBy("line_number").collect()] == [("ANNA", "hi"), ("Ben", "yes")]
+
+
+def test_chunks(spark):
+    text = "\n".join(f"line {i} of the text" for i in range(1000))
+    pieces = chunks.overlapping(text, 1800, 200)
+    assert all(p.startswith(q[-200:].strip()) for q, p in zip(pieces, pieces[1:], strict=False)) and chunks.overlapping("", 10, 2) == []
+    for t in ("", "ab", text, "x" * 5000, "a b\n\nc " * 700):
+        parts = chunks.lossless(t, 1000)
+        assert "".join(parts) == t and all(len(p) <= 1000 for p in parts)
+    df = spark.createDataFrame([(1, "a\nbb\n\nccccc\nd"), (2, "")], "id int, text string")
+    got = [(r.id, r.chunk_index, r.start_line, r.end_line, r.body) for r in packs.line_chunks(df, "id", "text", 2, 4).orderBy("id", "chunk_index").collect()]
+    assert got == [(1, 0, 1, 2, "a\nbb"), (1, 1, 3, 3, ""), (1, 2, 4, 4, "cccc"), (1, 3, 4, 5, "c\nd"), (2, 0, 1, 1, "")] or [g[4] for g in got if g[0] == 1] == ["a\nbb", "", "cccc", "c\nd"]
+
+
+def test_front_matter_and_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".history").mkdir()
+    (tmp_path / "sub" / "a.md").write_text("---\ntitle: A: b\nempty:\n---\nbody\n---\nmore")
+    (tmp_path / ".history" / "old.md").write_text("old")
+    (tmp_path / "b.txt").write_text("no")
+    rows = markdown.parsed(markdown.library(spark, str(tmp_path)), "content").collect()
+    assert [(r.meta, r.body) for r in rows] == [({"title": "A: b", "empty": ""}, "body\n---\nmore")]
+
+
+def test_archives(spark):
+    def tar(entries):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as a:
+            for name, data in entries:
+                info = tarfile.TarInfo(name)
+                info.size = len(data or b"")
+                if data is None:
+                    info.type, info.linkname = tarfile.SYMTYPE, "elsewhere"
+                a.addfile(info, io.BytesIO(data or b""))
+        return out.getvalue()
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as a:
+        a.writestr("r/a.txt", "hi")
+    rows = [("t", tar([("r/a", b"abc"), ("r/l", None)])), ("z", z.getvalue()), ("bad", tar([("../x", b"1")])), ("broken", b"garbage"), ("big", tar([("r/a", b"x" * 2000)]))]
+    got = {(r.archive, r.path, r.link, bytes(r.content) if r.content is not None else None, r.error is None) for r in archives.members(spark.createDataFrame(rows, "path string, content binary"), most_bytes=1000).collect()}
+    assert got == {("t", "r/a", False, b"abc", True), ("t", "r/l", True, None, True), ("z", "r/a.txt", False, b"hi", True), ("bad", None, None, None, False), ("broken", None, None, None, False), ("big", None, None, None, False)}
