@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +42,36 @@ def line_facts(files: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     rows = numbered(files, key, text).where(~F.col("line").rlike(r"^\s*(#|//|$)"))
     pattern = LINES[kind]
     return rows.where(F.col("line").rlike(pattern)).select(key, "line_number", F.regexp_extract("line", pattern, 1).alias("name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
+
+
+_REQUIREMENT = re.compile(r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(.*)$")
+
+
+def _manifest(text: str | None) -> Iterator[tuple[str, str, str]]:
+    """(section, name, version) of a project or crate manifest; nothing if it isn't TOML."""
+    try:
+        data = tomllib.loads(text or "")
+    except tomllib.TOMLDecodeError:
+        return
+    project = data.get("project", {})
+    if "requires-python" in project:
+        yield "runtime", "python", str(project["requires-python"])
+    lists = {"dependencies": project.get("dependencies", []), **project.get("optional-dependencies", {})}
+    for section, entries in lists.items():
+        for entry in entries:
+            if m := _REQUIREMENT.match(entry):
+                yield section, m[1], m[2]
+    for section in ("dependencies", "dev-dependencies", "build-dependencies"):
+        for name, value in data.get(section, {}).items():
+            yield section, name, value if isinstance(value, str) else str(value.get("version", ""))
+
+
+def toml_dependencies(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, section, name, version from project and crate manifests in TOML."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(k, *f) for k, t in zip(rows[key], rows[text], strict=True) for f in _manifest(t)], columns=[key, "section", "name", "version"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, text).mapInPandas(run, f"{key} {kind}, section string, name string, version string")

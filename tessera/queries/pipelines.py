@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunks, facts
@@ -107,3 +108,35 @@ def streamed_states(t):
 def streamed_hours(t):
     rows = streams.stream(t.spark, f"{t.folder}/event*.parquet", t.events.schema)
     return streams.drained(streams.hourly(rows), "complete").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT *, min(CASE WHEN event_type IN ('purchase', 'error') THEN r END) OVER (PARTITION BY user_id) AS stop, max(r) OVER (PARTITION BY user_id) AS last FROM
+(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events))
+SELECT user_id, event_type AS status, last - r AS rejected FROM e WHERE r = coalesce(stop, last)""")
+def streamed_terminal_states(t):
+    rows = streams.stream(t.spark, f"{t.folder}/event*.parquet", t.events.schema)
+    return streams.drained(streams.fixed_states(rows, ["purchase", "error"]), "update")
+
+
+@query("""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|p)>', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '<(h[1-6]|p)>', 1), 1) AS place FROM pages)
+SELECT page_id, place, tag, (SELECT count(*) FROM b h WHERE h.page_id = b.page_id AND h.place <= b.place AND h.tag <> 'p') AS section FROM b""")
+def blocks_in_sections(t):
+    blocks = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>"), F.lit(1))).alias("n", "tag"))
+    w = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.count(F.when(F.col("tag") != "p", 1)).over(w)
+    return blocks.select("page_id", (F.col("n") + 1).cast("long").alias("place"), "tag", section.alias("section"))
+
+
+@query("""SELECT o_custkey, lower(o_orderpriority) AS entry, max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END) AS importance, min(o_orderkey) AS first_id, count(DISTINCT o_orderkey) AS lineage FROM orders GROUP BY ALL""")
+def merged_entries(t):
+    rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
+    return t.orders.groupBy("o_custkey", F.lower("o_orderpriority").alias("entry")).agg(F.max(rank).alias("importance"), F.min("o_orderkey").alias("first_id"), F.countDistinct("o_orderkey").alias("lineage"))
+
+
+@query("""SELECT DISTINCT p_brand, 'part-' || p_size AS name, '>=' || p_size % 5 AS version FROM part""")
+def project_manifests(t):
+    entry = F.concat(F.lit('  "part-'), "p_size", F.lit(">="), F.col("p_size") % 5, F.lit('",'))
+    text = F.concat(F.lit('[project]\nname = "x"\nrequires-python = ">=3.9"\ndependencies = [\n'), F.array_join(F.array_sort(F.collect_set(entry)), "\n"), F.lit("\n]\n"))
+    files = t.part.groupBy("p_brand").agg(text.alias("text"))
+    found = facts.toml_dependencies(files, "p_brand", "text").where("section = 'dependencies'")
+    return found.select("p_brand", "name", "version")

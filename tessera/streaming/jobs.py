@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -37,3 +39,24 @@ def drained(rows: DataFrame, mode: str) -> DataFrame:
     run = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
     return rows.sparkSession.table(name)
+
+
+def fixed_states(events: DataFrame, terminal: list[str]) -> DataFrame:
+    """user_id, status, rejected: a project's state never leaves a terminal one; later events are counted as rejected.
+
+    One small state a project (its status, and the count); events of one batch are taken in the order of their time.
+    """
+
+    def advance(key, frames, state):
+        status, rejected = state.get if state.exists else ("", 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for event in rows.event_type:
+            if status in terminal:
+                rejected += 1
+            else:
+                status = event
+        state.update((status, rejected))
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "rejected": [rejected]})
+
+    out = "user_id long, status string, rejected long"
+    return events.groupBy("user_id").applyInPandasWithState(advance, out, "status string, rejected long", "update", GroupStateTimeout.NoTimeout)
