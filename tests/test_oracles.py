@@ -1,11 +1,13 @@
 """Each registered query gives the rows of its SQL."""
 
+import os
+
 import pytest
 
 from tessera import catalog
 from tests.compare import both
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("TEST_FOLDER", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
