@@ -1,11 +1,13 @@
 """The registered queries of this package give the rows of their SQL, or the columns that were asked for."""
 
+import os
+
 import pytest
 
 from tessera.llm import queries
 from tests.compare import both
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("TEST_FOLDER", "/root/testdata/sf0.001")
 COLUMNS = {
     "op1_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op3_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
