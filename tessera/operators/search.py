@@ -22,7 +22,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def ranked(docs: DataFrame, queries: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """query_id, key, rank, score of documents that hold all terms of a query, by BM25; ties by key.
 
-    queries: query_id, terms (array). The terms asked for restrict the postings before they are grouped; documents' texts are read once.
+    queries: query_id, terms (array). The terms asked for restrict the postings before they are grouped; one more pass over the texts gives their number and mean length.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
