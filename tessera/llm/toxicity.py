@@ -11,6 +11,7 @@ sees the features of a bounded sample of labelled rows and the model's posterior
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 #: Labelled rows that are learned from, at most about.
 SAMPLE = 40_000
 #: Features of the classifier, at most.
@@ -40,7 +43,7 @@ VOTERS = [*LEXICONS, *(f"mined{i}" for i in range(MINED)), "address", "shouting"
 _WORD = re.compile(r"[^\W\d_]+")
 _INSULTS = "|".join(sorted(w for x in LEXICONS.values() for w in x.split()))
 _ADDRESS = re.compile(rf"\byou(?:'re| are)?\W+(?:\w+\W+){{0,3}}?(?:{_INSULTS})s?\b")
-_SHOUTING = re.compile(r"(?:\b[A-Z]{3,}\b\W+){3}|!{3,}")
+_SHOUTING = re.compile(r"[A-Z]{3,}\W+[A-Z]{3,}\W+[A-Z]{3}")
 
 
 def features_of(text: str | None) -> set[str]:
@@ -58,8 +61,8 @@ class Votes:
     def of(self, text: str | None, features: set[str]) -> list[int]:
         votes = [int(not words.isdisjoint(features)) for words in self.lists]
         text = text or ""
-        lower = text.lower() if "ou" in text or "OU" in text else ""
-        votes += [int(bool(_ADDRESS.search(lower))), int(bool(_SHOUTING.search(text)))]
+        insulted = any(votes[: len(LEXICONS)]) and bool(_ADDRESS.search(text.lower()))
+        votes += [int(insulted), int("!!!" in text or bool(_SHOUTING.search(text)))]
         return [*votes, 0 if any(votes) else -1]
 
 
@@ -125,10 +128,21 @@ def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int =
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block of texts: in how many toxic and clean ones each feature occurs."""
+    sums: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> Iterator[pd.DataFrame]:
+        names = list(sums[0].keys() | sums[1].keys())
+        yield pd.DataFrame({"feature": names, "bad": [sums[1][f] for f in names], "good": [sums[0][f] for f in names]})
+        for s in sums:
+            s.clear()
+
     for rows in batches:
         for text, toxic in zip(rows.text, rows.toxic, strict=True):
-            if found := list(features_of(text)):
-                yield pd.DataFrame({"feature": found, "toxic": toxic})
+            sums[int(toxic > 0)].update(features_of(text))
+            if len(sums[0]) + len(sums[1]) > 1_000_000:
+                yield from flush()
+    yield from flush()
 
 
 def _voted(mined: list[str], index: dict[str, int]):
@@ -163,14 +177,15 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
     # No more than about `sample` rows of two numbers.
     labelled = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
-    seen = labelled.select("text", "toxic").mapInPandas(_features, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    seen = labelled.select("text", "toxic").mapInPandas(_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = labels.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (sizes.bad or 0) + 1.0, (sizes.good or 0) + 1.0
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    ranked = seen.where((F.col("bad") >= SUPPORT) | (F.col("good") >= SUPPORT)).withColumns({"odds": odds, "z": odds / spread})
+    ranked = seen.where((F.col("bad") >= SUPPORT) | (F.col("good") >= SUPPORT)).withColumn("odds", odds).withColumn("z", F.col("odds") / spread)
+    ranked = scratch(ranked.where("abs(z) > 2"), "features")
     mined = [r.feature for r in ranked.where((F.col("z") > 3) & (F.col("odds") > 2)).orderBy(F.desc("z"), "feature").limit(FEATURES // 4).collect()]
-    chosen = [r.feature for r in ranked.where("abs(z) > 2").orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()]
+    chosen = [r.feature for r in ranked.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()]
     fixed = [w for x in LEXICONS.values() for w in x.split()]
     index = {f: i for i, f in enumerate(dict.fromkeys([*fixed, *mined, *chosen][:FEATURES]))}
 
