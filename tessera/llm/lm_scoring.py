@@ -3,14 +3,13 @@
 Base: each block of documents lists its different words once, packed by hash bucket;
 bucket by bucket the blocks' counts are summed and sent back, so that a frequent word
 costs a row a block. Training counts, and with them what is shuffled, cover all training documents.
-Model: the summed words, taken apart into subword ids, count the ids of all training documents, which makes the classes; then in each round every
-partition trains on a window of each of its training documents, and the partitions' weights are averaged by
-the windows they saw. Scoring covers whole texts in overlapping windows, each id once.
+Model: the summed words, taken apart into subword ids, count the ids of all training documents, which makes the classes. Texts are
+encoded once; in each round every partition trains on all windows of its whole training texts, and the partitions' weights are averaged by
+the windows they saw. Training and scoring cover texts in the same overlapping windows, each id once a pass.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention_lm import SCORED, Attention, Vocabulary, Windows
+from .attention_lm import Attention, Vocabulary, Windows
 from .common import NO_ID, scratch, shuffle_partitions
 from .tokens import encoder
 
@@ -30,6 +29,8 @@ FOLDS, HELD = 7, 2
 BLOCK_WORDS = 1_500_000
 BUCKET_CHARS = 1 << 24
 ROUNDS = 2
+#: Ids whose windows a worker holds at once; a text isn't divided.
+PASS_IDS = 1 << 19
 #: Weights are summed over partitions in two steps, to so many sums each, before they reach the driver.
 SLOTS = (4096, 16)
 END = b""
@@ -173,33 +174,45 @@ def _sequences(coder, texts: list[str | None], end: int) -> list[np.ndarray]:
     return [np.append(x, np.uint32(end)) for x in coder.encode(texts)]
 
 
-def _trained(path: str, vocabulary: Vocabulary, model: Attention, end: int, turn: int):
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text_key, held (kept from training), ids (packed, end included) of each row of docs (doc_id, text); a null text is empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = encoder(path)
+        end = coder.tokenizer.get_vocab_size()
+        for rows in batches:
+            for lo in range(0, len(rows), 128):
+                some = rows.iloc[lo : lo + 128]
+                yield some.drop(columns="text").assign(ids=[_zip(x) for x in _sequences(coder, some.text.tolist(), end)])
+
+    doc_id = F.col("doc_id").cast("long")
+    plain = docs.select(doc_id.alias("doc_id"), F.xxhash64("text").alias("text_key"), held_out(doc_id).alias("held"), "text")
+    return scratch(plain.mapInPandas(run, "doc_id long, text_key long, held boolean, ids binary"), "ids")
+
+
+def _trained(vocabulary: Vocabulary, model: Attention, turn: int):
+    """This partition's weights after a pass over all windows of its texts (packed ids), times the windows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part = encoder(path), TaskContext.get().partitionId()
-        flat, total = 0.0, 0
-        windows: list[tuple[np.ndarray, ...]] = []
-        current = model
+        part, total = TaskContext.get().partitionId(), 0
+        texts: list[np.ndarray] = []
+        current, held = model, 0
 
         def passed() -> None:
-            nonlocal current, total
-            stacked = [np.concatenate(x) for x in zip(*windows, strict=True)]
-            current = current.trained(stacked, seed=turn)
-            total += len(stacked[0])
-            windows.clear()
+            nonlocal current, total, held
+            w = Windows(texts, vocabulary)
+            current = current.trained([w.rows, w.valid, w.wanted, vocabulary.class_of[w.targets].astype(np.int64)], seed=turn)
+            total += len(w.rows)
+            texts.clear()
+            held = 0
 
         for rows in batches:
-            for lo in range(0, len(rows), 256):
-                some = rows.iloc[lo : lo + 256]
-                cut = []
-                for key, text in zip(some.text_key, some.text, strict=True):
-                    words = (text or "").split()
-                    at = int.from_bytes(hashlib.blake2b(f"{key}{turn}".encode(), digest_size=4).digest(), "little") % max(1, len(words) - SCORED + 1)
-                    cut.append(" ".join(words[at : at + SCORED]))
-                w = Windows([x[:SCORED] for x in _sequences(coder, cut, end)], vocabulary)
-                windows.append((w.rows, w.valid, w.wanted, vocabulary.class_of[w.targets].astype(np.int64)))
-                if len(windows) >= 64:
+            for packed in rows.ids:
+                texts.append(_unzip(packed, np.uint32))
+                held += len(texts[-1])
+                if held >= PASS_IDS:
                     passed()
-        if windows:
+        if texts:
             passed()
         if total:
             flat = current.pack() * total
@@ -223,16 +236,23 @@ class Language:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability and number of ids, end included, of each text."""
-        ids = _sequences(encoder(self.path), texts, self.end)
+        return self.score_ids(_sequences(encoder(self.path), texts, self.end))
+
+    def score_ids(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that are encoded."""
         w = Windows(ids, self.vocabulary)
         logs = self.model.class_scores(w, self.vocabulary.class_of[w.targets]) + self.vocabulary.log_share[w.targets]
-        sums = np.bincount(w.text, (logs * w.wanted).sum(1, dtype=np.float64), len(texts))
+        sums = np.bincount(w.text, (logs * w.wanted).sum(1, dtype=np.float64), len(ids))
         return sums / math.log(10), np.array([len(x) for x in ids])
 
 
 def learned(docs: DataFrame, path: str, counts: pd.DataFrame, n_docs: int, rounds: int = ROUNDS) -> Language:
     """A model of the texts of docs, all of which may be learned from; counts: of their subword ids."""
-    plain = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    return learned_from(encoded(docs, path).select("ids"), path, counts, n_docs, rounds)
+
+
+def learned_from(texts: DataFrame, path: str, counts: pd.DataFrame, n_docs: int, rounds: int = ROUNDS) -> Language:
+    """The same from texts that are encoded (ids)."""
     from tokenizers import Tokenizer
 
     end = Tokenizer.from_file(path).get_vocab_size()
@@ -242,7 +262,7 @@ def learned(docs: DataFrame, path: str, counts: pd.DataFrame, n_docs: int, round
     vocabulary = Vocabulary(table)
     model = Attention.fresh(vocabulary.log_class)
     for turn in range(rounds):
-        some = plain.mapInPandas(_trained(path, vocabulary, model, end, turn), "slot int, weights binary, n long")
+        some = texts.mapInPandas(_trained(vocabulary, model, turn), "slot int, weights binary, n long")
         for _ in SLOTS:
             some = some.groupBy("slot").applyInPandas(_averaged, "slot int, weights binary, n long")
         sums = some.toPandas()
@@ -251,18 +271,17 @@ def learned(docs: DataFrame, path: str, counts: pd.DataFrame, n_docs: int, round
     return Language(path, vocabulary, model, end)
 
 
-def scored(docs: DataFrame, language: Language) -> DataFrame:
-    """doc_id, text_key, score, n_ids of each row of docs (doc_id, text); a null text is empty."""
+def scored(texts: DataFrame, language: Language) -> DataFrame:
+    """doc_id, text_key, score, n_ids of each row of texts (doc_id, text_key, ids), which are encoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for lo in range(0, len(rows), 128):
                 some = rows.iloc[lo : lo + 128]
-                score, n = language.score(some.text.tolist())
-                yield some.drop(columns="text").assign(score=score, n_ids=n)
+                score, n = language.score_ids([_unzip(x, np.uint32) for x in some.ids])
+                yield some.drop(columns="ids").assign(score=score, n_ids=n)
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return plain.mapInPandas(run, "doc_id long, text_key long, score double, n_ids long")
+    return texts.select("doc_id", "text_key", "ids").mapInPandas(run, "doc_id long, text_key long, score double, n_ids long")
 
 
 def scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
@@ -273,7 +292,8 @@ def scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     """
     listed, summed = word_tables(docs, path)
     base = base_scores(listed, summed)
-    language = learned(docs.where(~held_out(F.col("doc_id").cast("long"))), path, *subword_counts(summed), rounds)
-    model = scored(docs, language).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "score", "n_ids")
+    texts = encoded(docs, path)
+    language = learned_from(texts.where("NOT held").select("ids"), path, *subword_counts(summed), rounds)
+    model = scored(texts, language).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "score", "n_ids")
     joined = base.join(model, base.doc_id.eqNullSafe(model["__id"]) & (base.text_key == model["__key"]))
     return joined.drop("__id", "__key", "text_key")

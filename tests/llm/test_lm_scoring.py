@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tessera.llm.attention_lm import CLASSES, CONTEXT, SCORED, Attention, Vocabulary, Windows
-from tessera.llm.lm_scoring import base_scores, learned, scores, subword_counts, word_tables
+from tessera.llm.lm_scoring import _trained, base_scores, encoded, learned, scores, subword_counts, word_tables
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -108,5 +108,16 @@ def test_model_beats_its_own_unigram_on_held_out_texts(spark):
     assert by_id[1000].score == by_id[1001].score < 0 and by_id[1000].n_ids == 1
 
 
+def test_training_sees_every_window_of_whole_texts(spark):
+    assert CONTEXT >= 16 and SCORED >= 32
+    whole = Tokenizer.from_file(PATH)
+    rows = [(i, "alpha beta gamma Été x1 " * n) for i, n in enumerate((0, 1, 7, 300, 4000))]
+    texts = encoded(spark.createDataFrame(rows, "doc_id long, text string"), PATH).select("ids")
+    v = Vocabulary(np.ones(whole.get_vocab_size() + 1, np.int64))
+    got = texts.mapInPandas(_trained(v, Attention.fresh(v.log_class), 0), "slot int, weights binary, n long").toPandas()
+    lengths = [len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows]
+    assert max(lengths) > 20_000 and got.n.sum() == sum(-(-n // SCORED) for n in lengths)
+
+
 def test_empty_table(spark):
     assert scores(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
