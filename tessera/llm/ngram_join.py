@@ -9,6 +9,9 @@ it out; so each pair that shares a bucket is linked, ruled out, or in one compon
 anyway, and the components are those of the whole join at the cost of stars. Pairs across
 components are first compared by their min-hashes, which rules out all but those near the threshold
 (with the same target recall as the bands) before anything is emitted.
+
+Links are counted apart from that: all members of a component are compared with each other on their full n-gram sets, in
+pairs of blocks of bounded size that are dealt over tasks; a task emits sums, not pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLL_A, WordHashes, mixed, rolling, scratch
+from .common import ROLL_A, WordHashes, mixed, rolling, scratch, shuffle_partitions
 from .components import components
 
 N = 5
@@ -33,6 +36,10 @@ RECALL = 0.9999
 ROWS = 5
 #: Min-hashes, a byte of each, by which members of one bucket are compared across components.
 MARKS = 384
+#: Members and n-grams of a block within which, and with another of which, links are counted; a set isn't divided.
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: Entries of the dense tables that are multiplied to count common n-grams.
+DENSE = 1 << 23
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -127,13 +134,70 @@ def _linked(threshold: float) -> Column:
     return F.col("common") >= threshold * F.col("all") - 1e-9
 
 
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The numbers of common n-grams of the sets at left with those at right."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, at, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = times > 1
+    own = np.flatnonzero(shared[at])
+    at = (np.cumsum(shared) - 1)[at[own]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[own][order], at[order]
+    out = np.zeros((len(left), len(right)))
+    step = max(1, DENSE // len(lists))
+    for lo in range(0, int(shared.sum()), step):
+        some = slice(*np.searchsorted(at, (lo, lo + step)))
+        table = np.zeros((len(lists), min(step, int(shared.sum()) - lo)), np.float32)
+        table[owner[some], at[some] - lo] = 1
+        out += table[left] @ table[right].T
+    return out
+
+
+def _linked_to(threshold: float):
+    """set_key, n_links of each member of each pair of blocks (label, x, y): its links to the other block, or within its own."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(len(rows), np.int64)
+        blocks = rows.block.to_numpy()
+        for (_, x, y), places in rows.groupby(["label", "x", "y"]).indices.items():
+            lists = [np.asarray(g) for g in rows.grams.iloc[places]]
+            left, right = np.flatnonzero(blocks[places] == x), np.flatnonzero(blocks[places] == y)
+            if not len(left) or not len(right):
+                continue
+            sizes, common = np.array([len(g) for g in lists]), _common(lists, left, right)
+            linked = common >= threshold * (sizes[left][:, None] + sizes[right] - common) - 1e-9
+            if x == y:
+                np.fill_diagonal(linked, False)
+            else:
+                counts[places[right]] = linked.sum(0)
+            counts[places[left]] = linked.sum(1)
+        return pd.DataFrame({"set_key": rows.set_key, "n_links": counts})
+
+    return run
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """set_key, n_links of each node of labels (node, label): to so many others of its component it is linked."""
+    members = labels.withColumnRenamed("node", "set_key").join(sets.select("set_key", F.size("grams").alias("size")), "set_key")
+    blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks"), F.sum("size").alias("sizes"))
+    blocks = scratch(blocks, "blocks")
+    moved = blocks.agg(F.sum(F.col("blocks") * F.col("sizes"))).first()[0] or 0
+    cells = moved // (block_grams // 4 + 1) + shuffle_partitions(labels.sparkSession)
+    placed = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("set_key", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    dealt = placed.withColumn("cell", F.pmod(F.xxhash64("label", "x", "y"), F.lit(cells))).join(sets.select("set_key", "grams"), "set_key")
+    each = dealt.groupBy("cell").applyInPandas(_linked_to(threshold), "set_key binary, n_links long")
+    return each.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, with_links: bool = True) -> DataFrame:
     """doc_id, text_key, class_id, copy_id, n_copies, n_links of each row.
 
     docs: doc_id, text; other columns are ignored. Words are the lower-cased text's
     between white space. copy_id: the least doc_id with the same n-gram set; n_copies: so many rows have it; class_id: the
     least doc_id of the component; n_links: verified links of this n-gram set to different ones. A text without words (or null) is alone:
-    class_id and copy_id are its own doc_id. A null doc_id never names a class unless all its
+    class_id and copy_id are its own doc_id. Without with_links, n_links is 0. A null doc_id never names a class unless all its
     members have none. Rows that repeat are copies.
     """
     signed = scratch(signatures(docs, n, bands_for(threshold, recall, rows), rows), "signatures")
@@ -175,7 +239,7 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
         links = links.union(more).distinct()
         labels = components(links)
 
-    ends = links.select(F.col("u").alias("set_key")).union(links.select(F.col("v").alias("set_key"))).groupBy("set_key").agg(F.count("*").alias("n_links"))
+    ends = link_counts(labels, sets, threshold) if with_links else labels.select(F.col("node").alias("set_key"), F.lit(0).alias("n_links"))
     named = reps.join(labels.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "label", "copy_id")
     heads = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     joined = named.join(heads, "label").select("set_key", "class_id").join(ends, "set_key")
@@ -193,6 +257,6 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, all columns, of which the least doc_id of each class stays; a row repeated whole stays once."""
-    kept = classes(docs, **params).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
+    kept = classes(docs, **params, with_links=False).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
     keyed = docs.withColumns({"__key": F.xxhash64("text")})
     return keyed.join(kept, keyed.doc_id.eqNullSafe(kept["__id"]) & (F.col("__key") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")

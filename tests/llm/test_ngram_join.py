@@ -1,7 +1,7 @@
 import random
 
 from tessera.llm.components import components
-from tessera.llm.ngram_join import agreement_for, bands_for, classes, one_of_each
+from tessera.llm.ngram_join import _gram_sets, agreement_for, bands_for, classes, link_counts, one_of_each
 
 
 def grams(text, n=5):
@@ -63,6 +63,22 @@ def test_classes_equal_all_pairs(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_n_links_count_all_pairs(spark):
+    rows = sample()
+    sets = {i: grams(t) for i, t in rows}
+    different = set(sets.values()) - {frozenset()}
+    want = {i: sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in different) if a else 0 for i, a in sets.items()}
+    got = {r.doc_id: r.n_links for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and max(want.values()) > 3
+    ids = [(str(i).encode(), t) for i, t in rows if 100 <= i < 112]  # one family, in one block or in several
+    texts = spark.createDataFrame(ids, "set_key binary, text string")
+    full = texts.mapInPandas(_gram_sets(5), "set_key binary, grams array<long>, marks array<tinyint>")
+    labels = texts.select("set_key").withColumnsRenamed({"set_key": "node"}).selectExpr("node", "binary('100') AS label")
+    for block, block_grams in ((512, 1 << 20), (3, 1 << 20), (512, 300)):
+        got = {int(r.set_key): r.n_links for r in link_counts(labels, full, 0.8, block, block_grams).collect()}
+        assert got == {i: sum(i != j and len(a & sets[j]) >= 0.8 * len(a | sets[j]) for j in range(100, 112)) for i, a in sets.items() if 100 <= i < 112}
+
+
 def test_copies_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (3, "z")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.class_id, r.n_copies) for r in classes(df).collect())
