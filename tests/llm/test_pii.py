@@ -47,6 +47,16 @@ def test_base_spans_equal_plain_patterns(spark):
         assert [s for s in got[i].spans.split(",") if s and not s.startswith("context")] == [s for s in own.split(",") if s]
 
 
+def test_addresses_with_parts_that_are_zero(spark):
+    own = ["10.0.0.1", "127.0.0.1", "192.168.0.10", "0.0.0.0", "192.168.00.1", "000.00.0.000", "255.255.255.0", "0256.0.0.1", "10.0.0.300"]
+    rows = [(i, f"at {t}, then") for i, t in enumerate(own)] + [(99, " / ".join(own))]
+    got = {r.doc_id: r for r in digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = base(t)
+        assert got[i].n_ip == sum(k == "ip" for *_, k in want) == (7 if i == 99 else int(i < 7))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+
+
 def test_confident_contexts_discover_what_no_pattern_finds(spark):
     rows = [(i, f"filler words. Please reach me: user{i}@mail{i}.example.com and more") for i in range(9)]
     rows += [(50, "filler words. Please reach me: user 1 at 55-77-99, thanks"), (51, "Please reach me: 8812-77. Bye"), (52, "nothing near 8812-77 here"), (53, "unrelated words 4455-99 end")]
