@@ -22,7 +22,8 @@ class PieceEncoder:
 
     Encoding a text equals joining the encodings of its pieces between white space; each
     piece is encoded once and remembered, up to a number of pieces. Where the file lower-cases and then splits as _PART does,
-    plain texts are split here and their words go to the merges without the file's other steps.
+    plain texts are split here and their words go to the merges without the file's other steps. Texts that hold an added token
+    of the file, in any case, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -32,6 +33,7 @@ class PieceEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         probe = "Zebra's ÀÉÎ-Õx,! it'll we're I'm you've he'd don't 'tis 12 a1b2 (x) #$% straße internationalisation ''s O'Reilly <b>'S</b> \\ ` ~"
@@ -56,11 +58,17 @@ class PieceEncoder:
     def _split_texts(self, texts: list[str]) -> list[np.ndarray]:
         return self._known([_PART.findall(t.lower()) for t in texts], self.parts, bare=True)
 
+    def _holds_added(self, text: str) -> bool:
+        low = text.lower() if self.added else ""
+        return any(x in low for x in self.added)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
-        plain = [i for i, t in enumerate(texts) if self.plain and _PLAIN.fullmatch(t)]
-        out = dict(zip(plain, self._split_texts([texts[i] for i in plain]), strict=True))
+        whole = [i for i, t in enumerate(texts) if self._holds_added(t)]
+        out = {i: np.frombuffer(x, np.uint32) for i, x in zip(whole, self._batch(self.tokenizer, [texts[i] for i in whole]), strict=True)}
+        plain = [i for i, t in enumerate(texts) if self.plain and i not in out and _PLAIN.fullmatch(t)]
+        out |= dict(zip(plain, self._split_texts([texts[i] for i in plain]), strict=True))
         rest = [i for i in range(len(texts)) if i not in out]
         out |= zip(rest, self._known([_PIECE.findall(texts[i]) for i in rest], self.pieces, bare=False), strict=True)
         return [out[i] for i in range(len(texts))]

@@ -25,6 +25,14 @@ def test_pieces_encode_as_whole_texts():
         assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_encode_as_the_tokenizer_does():
+    whole, encoder = Tokenizer.from_file(PATH), PieceEncoder(PATH)
+    own = ["a <|endoftext|> b", "x<|startoftext|>y", "日本 <|endoftext|> é", "<|ENDOFTEXT|> c", "<|endoftext|><|endoftext|>\n", "<| endoftext |>", "plain"]
+    for t, ids in zip(own, encoder.encode(own), strict=True):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert encoder.encode(own)[0].tolist() == [320, 49407, 321]
+
+
 def test_schedule_equals_slot_by_slot_deficits():
     totals = [7, 1, 0, 50, 23]
     schedule = Schedule([totals])
