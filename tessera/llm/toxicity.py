@@ -4,7 +4,7 @@ Voters are lexicons (fixed ones, and ones mined from labelled rows: words and wo
 patterns. Each votes toxic, clean, or not at all. Votes of every document are counted by
 combination in Spark; expectation-maximisation on these counts estimates each voter's accuracy, and
 the correlations that remain between voters given the label, by which it discounts voters that say
-the same. Labelled rows take part with their label as one more voter. The classifier
+the same. Labelled rows, all of them, take part with their label as one more voter, and features are counted over all of them. The classifier alone
 sees the features of a bounded sample of labelled rows and the model's posterior labels, and scores whole texts.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-#: Labelled rows that are learned from, at most about.
+#: Labelled rows that the classifier is fitted to, at most about.
 SAMPLE = 40_000
 #: Features of the classifier, at most.
 FEATURES = 4096
@@ -61,7 +61,8 @@ class Votes:
     def of(self, text: str | None, features: set[str]) -> list[int]:
         votes = [int(not words.isdisjoint(features)) for words in self.lists]
         text = text or ""
-        insulted = any(votes[: len(LEXICONS)]) and bool(_ADDRESS.search(text.lower()))
+        low = text.lower()
+        insulted = "you" in low and bool(_ADDRESS.search(low))
         votes += [int(insulted), int("!!!" in text or bool(_SHOUTING.search(text)))]
         return [*votes, 0 if any(votes) else -1]
 
@@ -133,7 +134,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> Iterator[pd.DataFrame]:
         names = list(sums[0].keys() | sums[1].keys())
-        yield pd.DataFrame({"feature": names, "bad": [sums[1][f] for f in names], "good": [sums[0][f] for f in names]})
+        if names:
+            yield pd.DataFrame({"feature": names, "bad": [sums[1][f] for f in names], "good": [sums[0][f] for f in names]})
         for s in sums:
             s.clear()
 
@@ -146,15 +148,15 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _voted(mined: list[str], index: dict[str, int]):
-    """votes and, if there is an index, the indices of features of each row."""
+    """votes and, if there is an index, the indices of features of each row that is `sampled`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Votes(mined)
         for rows in batches:
             out = []
-            for text in rows.text:
+            for text, some in zip(rows.text, rows.sampled if index else [False] * len(rows), strict=True):
                 own = features_of(text)
-                out.append((voters.of(text, own), sorted(index[f] for f in own if f in index)))
+                out.append((voters.of(text, own), sorted(index[f] for f in own if f in index) if some else None))
             frame = rows.drop(columns="text").assign(votes=[v for v, _ in out])
             yield frame.assign(features=[f for _, f in out]) if index else frame
 
@@ -172,13 +174,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Labels whose doc_id or toxic is null are left out; of labels that disagree, toxic counts.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = labels.count()
-    if total > sample:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    # No more than about `sample` rows of two numbers.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    labelled = scratch(docs.select("doc_id", "text").join(labels, "doc_id"), "labelled")
     seen = labelled.select("text", "toxic").mapInPandas(_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    sizes = labels.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    sizes = labelled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (sizes.bad or 0) + 1.0, (sizes.good or 0) + 1.0
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
@@ -190,13 +188,17 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     index = {f: i for i, f in enumerate(dict.fromkeys([*fixed, *mined, *chosen][:FEATURES]))}
 
     every = docs.select("text").mapInPandas(_voted(mined, {}), "votes array<int>").groupBy("votes").count().toPandas()  # 3 ** voters rows at most
-    own = labelled.select("text", "toxic").mapInPandas(_voted(mined, index), "toxic int, votes array<int>, features array<int>").toPandas()
+    share = sample / max(sample, (sizes.bad or 0) + (sizes.good or 0), 1)
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
+    voted = labelled.select("text", "toxic", sampled.alias("sampled")).mapInPandas(_voted(mined, index), "toxic int, sampled boolean, votes array<int>, features array<int>")
+    voted = scratch(voted, "voted")
+    gold = voted.groupBy("votes", "toxic").count().toPandas()  # twice as many at most
+    own = voted.where("sampled").toPandas()  # about `sample` rows
     if not len(every):
         return Model(index, np.zeros(len(index)), -2.0, None)
-    gold = own.groupby([own.votes.map(tuple), own.toxic]).size() if len(own) else pd.Series(dtype=int)
-    votes = np.array([*every.votes, *(k[0] for k in gold.index)], np.int64)
-    counts = np.array([*every["count"], *gold], float)
-    model = LabelModel(votes, counts, np.array([-1] * len(every) + [k[1] for k in gold.index]))
+    votes = np.array([*every.votes, *gold.votes], np.int64)
+    counts = np.array([*every["count"], *gold["count"]], float)
+    model = LabelModel(votes, counts, np.array([-1] * len(every) + gold.toxic.tolist()))
     if not len(own):  # without labels, learn from what the voters say of the fixed words alone
         rows = [np.array([i]) for i in range(len(fixed))] + [np.zeros(0, int)] * len(fixed)
         return Model(index, *fit_linear(rows, np.repeat([0.9, 0.05], len(fixed)), len(index)), model)

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tessera.llm.toxicity import LabelModel, Votes, features_of, fit_linear, held_out_scores
+from tessera.llm.toxicity import LabelModel, Votes, features_of, fit_linear, held_out_scores, learned
 
 
 def test_label_model_finds_accuracies_without_labels_and_discounts_twins():
@@ -34,6 +34,20 @@ def test_features_and_votes():
     assert v.of("abcde", features_of("abcde"))[3] == 1 and v.of(None, set())[-1] == -1
 
 
+def test_address_takes_plurals():
+    assert Votes([]).of("You are such idiots", features_of("You are such idiots"))[7] == 1
+    assert Votes([]).of("your idiots", features_of("your idiots"))[7] == 0
+
+
+def test_features_are_counted_over_all_labels_beyond_the_sample(spark):
+    docs = [(i, f"plain words of row {'grubnax' if i % 100 == 0 else 'here'}") for i in range(1200)]
+    labels = [(i, int(i % 100 == 0)) for i in range(1200)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    small, whole = learned(d, lab, sample=100), learned(d, lab)
+    assert "grubnax" in small.index and small.index == whole.index
+    assert np.allclose(small.labels.log, whole.labels.log) and small.labels.prior == whole.labels.prior
+
+
 def sample():
     r = random.Random(8)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
