@@ -11,7 +11,7 @@ When a source runs out, a new phase shares its part among the others.
 
 Jobs: tokenize once into a table in the shared folder, with each document's place in its
 partition's queue; sum tokens by partition and source; cut each document where its
-windows end. Only totals by source reach the driver. Every window but the last is full.
+windows end. Only totals by queue reach the driver. Every window but the last is full.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .tokens import encoder
 
 SEQUENCE = 2048
 END_ID = 1
+#: Queues of single sources, and queues that all other sources share: so many totals reach the driver and every task.
+QUEUES, SHARED = 192, 64
 
 _QUEUED = "part int, doc_id long, source string, before long, n long, ids binary"
 
@@ -69,6 +71,17 @@ def phases(totals: list[int], targets: list[Fraction]) -> list[list[int]]:
     return out
 
 
+def share(slots: np.ndarray, c: int, rest: int) -> np.ndarray:
+    """slots * c // rest, exactly, for 0 <= slots, c <= rest < 2 ** 50, whose products need not fit 64 bits.
+
+    The quotient in floating point is off by one at most. What it leaves of the product is smaller than 2 * rest, so that it is
+    known from the product modulo 2 ** 64, and tells by how much the quotient is off.
+    """
+    guess = (slots * (c / rest)).astype(np.int64)
+    left = (slots.astype(np.uint64) * np.uint64(c) - guess.astype(np.uint64) * np.uint64(rest)).view(np.int64)
+    return guess + left // rest
+
+
 class Schedule:
     """How many tokens the sources have been served after any number of slots."""
 
@@ -77,15 +90,14 @@ class Schedule:
         lengths = [sum(p) for p in parts]
         self.starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         self.total = int(self.starts[-1])
-        self.kind = np.int64 if self.total < 1 << 31 else object  # products of two counts stay exact
 
     def _phase(self, slots: np.ndarray, s: int, part: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots of this phase left over by the sources before s, and tokens of s served in them."""
-        left, rest = slots.astype(self.kind), length
+        left, rest = slots, length
         for c in part[:s]:
             if c:
-                left, rest = left - left * c // rest, rest - c
-        return left, (left * part[s] // rest if part[s] else left * 0)
+                left, rest = left - share(left, c, rest), rest - c
+        return left, (share(left, part[s], rest) if part[s] else left * 0)
 
     def served(self, slots: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
         """(slots that went to sources before s, tokens of s served), both after so many slots."""
@@ -107,12 +119,12 @@ class Schedule:
         return lo
 
 
-def _cut(sources: list[str], parts: list[list[int]], window: int):
+def _cut(queues: list[int], parts: list[list[int]], window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        schedule, rank = Schedule(parts), {s: i for i, s in enumerate(sources)}
+        schedule, rank = Schedule(parts), {q: i for i, q in enumerate(queues)}
         for rows in batches:
-            for source, own in rows.groupby("source", sort=False):
-                s = rank[source]
+            for queue, own in rows.groupby("queue", sort=False):
+                s = rank[queue]
                 begin = (own.before + own.offset).to_numpy(np.int64)
                 n = own.n.to_numpy(np.int64)
                 first = schedule.first_window(begin, s, window)
@@ -128,26 +140,34 @@ def _cut(sources: list[str], parts: list[list[int]], window: int):
                 start = lo - begin[doc]
                 ids = [pa.decompress(x, 4 * k, codec="zstd", asbytes=True) for x, k in zip(own.ids, n, strict=True)]
                 crc = [zlib.crc32(memoryview(ids[d])[4 * a : 4 * b]) for d, a, b in zip(doc, start, start + hi - lo, strict=True)]
-                yield pd.DataFrame({"doc_id": own.doc_id.to_numpy()[doc], "start": start, "length": hi - lo, "ids_crc32": crc, "doc_tokens": n[doc], "sequence_id": seq, "offset": room + lo - served0, "source": source})
+                yield pd.DataFrame({"doc_id": own.doc_id.to_numpy()[doc], "start": start, "length": hi - lo, "ids_crc32": crc, "doc_tokens": n[doc], "sequence_id": seq, "offset": room + lo - served0, "source": own.source.to_numpy()[doc]})
 
     return run
 
 
-def packed(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = SEQUENCE, end_id: int = END_ID, most_queues: int = QUEUES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of each piece of each document.
 
     docs: doc_id, text, source; other columns are ignored. A null text is empty and
     holds only the end id; a null source is the source ''. Rows that repeat are packed
     as often as they occur. targets: token proportions by source (default: the sources' own shares of tokens); a source without a target
-    gets the smallest one given. An empty table gives an empty result.
+    gets the smallest one given. The most_queues largest sources and those with targets have queues of their own; the others,
+    of which there may be any number, share SHARED queues by a hash of their names, each of which counts as one source.
+    A text of any length is encoded whole by one task. An empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     queued = scratch(plain.mapInPandas(_queued(tokenizer_path, end_id), _QUEUED), "queued")
-    by_part = queued.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
-    offsets = scratch(by_part.select("source", "part", F.sum("tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("offset")).fillna(0, ["offset"]), "offsets")
-    totals = {r.source: r.tokens for r in by_part.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    sources = sorted(totals)
-    aims = targets or totals
-    least = min(aims.values(), default=1)
-    parts = phases([totals[s] for s in sources], [Fraction(aims.get(s, least)) for s in sources])
-    return queued.join(offsets, ["source", "part"]).mapInPandas(_cut(sources, parts, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    sizes = queued.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
+    largest = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(most_queues)
+    named = sorted({r.source for r in largest.collect()} | set(targets or {}))
+    own = docs.sparkSession.createDataFrame(list(enumerate(named)), "own int, source string")
+    shared = F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int") + len(named)
+    by_part = scratch(sizes.join(F.broadcast(own), "source", "left").withColumn("queue", F.coalesce("own", shared)).drop("own"), "sizes")
+    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch(by_part.select("source", "part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset")), "offsets")
+    totals = {r.queue: r.tokens for r in by_part.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
+    queues = sorted(totals)
+    least = min(targets.values()) if targets else 1
+    aims = [Fraction(targets.get(named[q], least) if q < len(named) else least) if targets else Fraction(totals[q]) for q in queues]
+    parts = phases([totals[q] for q in queues], aims)
+    return queued.join(offsets, ["source", "part"]).mapInPandas(_cut(queues, parts, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
