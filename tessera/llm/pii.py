@@ -10,6 +10,8 @@ spans of kind 'context'; base spans always stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +30,53 @@ KINDS = {
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": "+"}
 _OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 CONTEXT = "context"
+#: Characters of a piece of a text.
+PAGE = 256
 
 _TOKEN = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _INSTANCE = rf"(?<![^\x20\x09-\x0D]){_TOKEN}(?:\x20{_TOKEN})*+"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], neutral: Column) -> Column:
+    """The array's running totals under op, in about log2(size) passes: after each, a value covers twice as many places."""
+
+    def widen(acc: Column, d: Column) -> Column:
+        return F.zip_with(acc, F.concat(F.array_repeat(neutral, d), F.slice(acc, F.lit(1), F.size(acc) - d)), lambda x, y: op(x, y))
+
+    def totals(v: Column) -> Column:
+        passes = F.ceil(F.log2(F.size(v))).cast("int")
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(F.transform(F.sequence(F.lit(1), passes), lambda k: F.pow(F.lit(2), k - 1).cast("int")), v, widen))
+
+    return let(values, totals)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, text), in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+        ends = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: gap + F.char_length(hit)), lambda x, y: x + y, F.lit(0))
+        return F.zip_with(ends, hits, lambda end, hit: F.struct((end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("text")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(F.array().cast(_SPAN)))
+
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda acc: acc["out"])
+def pages(text: Column) -> Column:
+    """The text in pieces of PAGE characters, from which `cut` takes parts without walking the whole text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def cut(pages_: Column, start: Column, end: Column) -> Column:
+    """The characters start to end (exclusive) of the text in pages."""
+    first = F.floor(start / PAGE).cast("int")
+    count = F.floor((F.greatest(end, start + 1) - 1) / PAGE).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(pages_, first + 1, count), ""), start - first * PAGE + 1, end - start)
 
 
 def _luhn(digits: Column) -> Column:
@@ -87,11 +118,29 @@ def _ranked(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+_FOUND = "array<struct<start:int,end:int,instance:string,pattern:string>>"
+
+
+def _instances_of(text: Column, pages_: Column) -> Column:
+    """Instances (start, end, instance, pattern): trimmed of punctuation, with the two words before them in lower case."""
+
+    def trimmed(x: Column) -> Column:
+        lead = F.length(F.regexp_extract(x["text"], r"^[^A-Za-z0-9+(]*", 0))
+        core = F.regexp_replace(x["text"], r"^[^A-Za-z0-9+(]*|[^A-Za-z0-9)]*$", "")
+        before = cut(pages_, F.greatest(x["start"] - 79, F.lit(0)), x["start"])
+        words = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+        start = x["start"] + lead
+        return let(core, lambda c: F.struct(start.alias("start"), (start + F.char_length(c)).alias("end"), c.alias("instance"), words.alias("pattern")))
+
+    return F.filter(F.transform(matches(text, _INSTANCE), trimmed), lambda x: (x["instance"] != "") & (x["pattern"] != ""))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base (spans of all kinds), found (instances with the words before them) of each row."""
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("t"))
     t = F.col("t")
-    found = F.when(t.rlike("[0-9@]"), F.transform(matches(t, _INSTANCE), lambda x: x.withField("before", F.substring(t, F.greatest(x["start"] - 78, F.lit(1)), F.least(x["start"], F.lit(79)))))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,before:string>>"))
+    plain = plain.withColumn("pages", F.when(t.rlike("[0-9@]"), pages(t)))
+    found = F.when(F.col("pages").isNotNull(), _instances_of(t, F.col("pages"))).otherwise(F.array().cast(_FOUND))
     base = F.concat(*(_ranked(base_spans(t, k), k, i) for i, k in enumerate(KINDS)))
     return plain.select("doc_id", "text_key", base.alias("base"), found.alias("found"))
 
@@ -99,15 +148,15 @@ def scanned(docs: DataFrame) -> DataFrame:
 def instances(rows: DataFrame) -> DataFrame:
     """Each instance: doc_id, text_key, start, end, instance, pattern, seed (a base span overlaps it).
 
-    The instance is trimmed of punctuation; its pattern is the two words before it.
+    Seeds come from one sorted list of a text's base spans (by start) and instances (by end): the
+    farthest end of the base spans so far lies beyond an instance's start if one overlaps it.
     """
-    each = rows.select("doc_id", "text_key", "base", F.explode("found").alias("f"))
-    lead = F.length(F.regexp_extract("f.text", r"^[^A-Za-z0-9+(]*", 0))
-    core = F.regexp_replace("f.text", r"^[^A-Za-z0-9+(]*|[^A-Za-z0-9)]*$", "")
-    each = each.select("doc_id", "text_key", "base", (F.col("f.start") + lead).alias("start"), core.alias("instance"), F.lower(F.regexp_extract("f.before", r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("pattern"))
-    each = each.withColumn("end", F.col("start") + F.char_length("instance")).where("instance <> '' AND pattern <> ''")
-    seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return each.select("doc_id", "text_key", "start", "end", "instance", "pattern", seed.alias("seed"))
+    base = F.transform("base", lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("rank"), b["end"].alias("until"), F.lit(None).cast(_FOUND[6:-1]).alias("own")))
+    own = F.transform("found", lambda f: F.struct(f["end"].alias("at"), F.lit(0).alias("rank"), F.lit(-1).alias("until"), f.alias("own")))
+    sorted_ = rows.where("size(found) > 0").select("doc_id", "text_key", F.array_sort(F.concat(base, own)).alias("events"))
+    reach = running(F.transform("events", lambda e: e["until"]), F.greatest, F.lit(-1))
+    each = F.filter(F.zip_with("events", reach, lambda e, m: F.struct(e["own"].alias("own"), (m > e["own"]["start"]).alias("seed"))), lambda x: x["own"].isNotNull())
+    return sorted_.select("doc_id", "text_key", F.explode(each).alias("x")).select("doc_id", "text_key", "x.own.start", "x.own.end", "x.own.instance", "x.own.pattern", "x.seed")
 
 
 def confident(each: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3) -> DataFrame:
@@ -163,9 +212,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"__key": F.xxhash64("text")})
     rows = keyed.join(found, keyed.doc_id.eqNullSafe(found["__id"]) & (F.col("__key") == F.col("__found")), "left")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    reach = running(F.transform("__all", lambda x: x["end"]), F.greatest, F.lit(0))
+    rows = rows.withColumn("__pages", F.when(F.col("__all").isNotNull(), pages(F.col("text")))).withColumn("__reach", reach)
+    covered = F.zip_with("__all", F.concat(F.array(F.lit(0)), F.slice("__reach", F.lit(1), F.size("__reach") - 1)), lambda x, so_far: F.struct(so_far.alias("so_far"), x["start"].alias("start"), x["kind"].alias("kind")))
+    parts = F.transform(F.filter(covered, lambda x: x["start"] >= x["so_far"]), lambda x: F.concat(cut(F.col("__pages"), x["so_far"], x["start"]), F.lit("<"), x["kind"], F.lit(">")))
+    rest = cut(F.col("__pages"), F.element_at("__reach", -1), F.char_length("text"))
+    clean = F.concat(F.array_join(parts, ""), rest)
     return rows.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

@@ -1,8 +1,12 @@
 import hashlib
 import random
 import re
+import time
+from itertools import accumulate
 
-from tessera.llm.pii import digests, redacted, spans
+from pyspark.sql import functions as F
+
+from tessera.llm.pii import digests, redacted, running, spans
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -68,6 +72,38 @@ def test_confident_contexts_discover_what_no_pattern_finds(spark):
     assert clean[51] == "Please reach me: <context>. Bye" and clean[3] == "filler words. Please reach me: <email> and more" and clean[53] == text[53]
 
 
+def test_running_totals(spark):
+    rows = [([r.randint(-5, 9) for _ in range(n)],) for n, r in ((n, random.Random(n)) for n in (0, 1, 2, 3, 4, 5, 31, 32, 33, 100))]
+    df = spark.createDataFrame(rows, "x array<int>").select("x", running(F.col("x"), lambda a, b: a + b, F.lit(0)).alias("sum"), running(F.col("x"), lambda a, b: F.greatest(a, b), F.lit(-9)).alias("most"))
+    for r in df.collect():
+        assert r["sum"] == list(accumulate(r.x)) and r.most == list(accumulate(r.x, max))
+
+
+def test_redacted_texts_equal_plain_replacement(spark):
+    rows = [(i, t) for i, t in sample() if i is not None and i < 902]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: sorted((s.start, s.rank, s.end, s.kind) for s in [*r.base, *r.discovered]) for r in spans(df).collect()}
+    got = {r.doc_id: r.text for r in redacted(df).collect()}
+    for i, t in rows:
+        out, at = [], 0
+        for start, _, end, kind in found[i]:
+            if start >= at:
+                out.append(t[at:start] + f"<{kind}>")
+            at = max(at, end)
+        assert got[i] == (None if t is None else "".join(out) + t[at:])
+
+
+def test_long_texts_with_many_matches_take_time_in_proportion(spark):
+    own = {1: "1." * 500_000, 2: "a@b.c 10.0.0.1 " * 20_000, 3: "mail me at 4455-99 " * 20_000}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r.doc_id: r for r in digests(df).collect()}
+    clean = {r.doc_id: r.text for r in redacted(df).collect()}
+    assert time.time() - began < 90
+    assert got[2].n_email == got[2].n_ip == 20_000 and clean[2] == "<email> <ip> " * 20_000
+    assert got[1].n_ip == 125_000 and clean[1] == "<ip>." * 125_000
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert digests(df).count() == 0 and redacted(df).count() == 0
