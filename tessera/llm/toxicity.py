@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import scratch
 
 #: Labelled rows that the classifier is fitted to, at most about.
 SAMPLE = 40_000
-#: Features of the classifier, at most.
-FEATURES = 4096
-#: A word or a word's beginning is a feature if so many labelled rows of the rarer kind have it.
+#: Places of the table of features: every supported feature has one, by its hash; features may share a place.
+PLACES = 1 << 18
+#: A word or a word's beginning is a feature if so many labelled rows of one kind have it.
 SUPPORT = 5
 MINED = 4
 #: How often a given label is right, as one more voter.
@@ -52,14 +54,44 @@ def features_of(text: str | None) -> set[str]:
     return words.union(*({f"{k}:{w[:k]}" for w in words if len(w) >= k} for k in BEGINNINGS))
 
 
+def place(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) % PLACES
+
+
+@F.pandas_udf(IntegerType())
+def _places(features: pd.Series) -> pd.Series:
+    return features.map(place)
+
+
+class Places(dict):
+    """Places of features that have one in `used`, else -1; remembered up to a number of features."""
+
+    def __init__(self, used: np.ndarray, most: int = 500_000):
+        super().__init__()
+        self.used, self.most = used, most
+
+    def __missing__(self, feature: str) -> int:
+        at = place(feature)
+        if len(self) >= self.most:
+            self.clear()
+        self[feature] = at = at if self.used[at] else -1
+        return at
+
+    def of(self, features: set[str]) -> list[int]:
+        """The places of the features that have one, ascending."""
+        return sorted({at for at in map(self.__getitem__, features) if at >= 0})
+
+
 class Votes:
-    """The voters' opinions of a text: 1 toxic, -1 clean, 0 none."""
+    """The voters' opinions of a text: 1 toxic, -1 clean, 0 none. mined: for each place the mined lexicon that it belongs to, or -1."""
 
-    def __init__(self, mined: list[str]):
-        self.lists = [set(x.split()) for x in LEXICONS.values()] + [set(mined[i::MINED]) for i in range(MINED)]
+    def __init__(self, mined: np.ndarray):
+        self.fixed, self.mined = [set(x.split()) for x in LEXICONS.values()], mined.tolist()
 
-    def of(self, text: str | None, features: set[str]) -> list[int]:
-        votes = [int(not words.isdisjoint(features)) for words in self.lists]
+    def of(self, text: str | None, features: set[str], places: list[int]) -> list[int]:
+        votes = [int(not words.isdisjoint(features)) for words in self.fixed]
+        lists = {self.mined[at] for at in places}
+        votes += [int(i in lists) for i in range(MINED)]
         text = text or ""
         low = text.lower()
         insulted = "you" in low and bool(_ADDRESS.search(low))
@@ -113,19 +145,21 @@ class LabelModel:
 
 
 def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on sets of features, by full-batch Adam."""
+    """n weights and the bias of a logistic regression on sets of features, by full-batch Adam over the features that occur."""
     lengths = np.array([len(r) for r in rows])
-    of, at = np.repeat(np.arange(len(rows)), lengths), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    w, bias = np.zeros(n + 1), 0.0
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    of = np.repeat(np.arange(len(rows)), lengths)
+    seen, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+    k = len(seen)
+    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(of, w[at], len(rows)) + w[n])))
+        p = 1 / (1 + np.exp(-(np.bincount(of, w[at], len(rows)) + w[k])))
         d = (p - belief) / len(rows)
-        g = np.append(np.bincount(at, d[of], n)[:n] + ridge * w[:n], d.sum())
+        g = np.append(np.bincount(at, d[of], k)[:k] + ridge * w[:k], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    bias = float(w[n])
-    return w[:n], bias
+    weights = np.zeros(n)
+    weights[seen] = w[:k]
+    return weights, float(w[k])
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,25 +181,28 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def _voted(mined: list[str], index: dict[str, int]):
-    """votes and, if there is an index, the indices of features of each row that is `sampled`."""
+def _voted(used: np.ndarray, mined: np.ndarray):
+    """votes, and the places of features of each row that is `sampled`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters = Votes(mined)
+        voters, places = Votes(mined), Places(used)
         for rows in batches:
-            out = []
-            for text, some in zip(rows.text, rows.sampled if index else [False] * len(rows), strict=True):
+            votes, lists = [], []
+            for text, some in zip(rows.text, rows.sampled, strict=True):
                 own = features_of(text)
-                out.append((voters.of(text, own), sorted(index[f] for f in own if f in index) if some else None))
-            frame = rows.drop(columns="text").assign(votes=[v for v, _ in out])
-            yield frame.assign(features=[f for _, f in out]) if index else frame
+                at = places.of(own)
+                votes.append(voters.of(text, own, at))
+                lists.append(at if some else None)
+            yield rows.drop(columns="text").assign(votes=votes, features=pd.Series(lists, dtype=object, index=rows.index))
 
     return run
 
 
 class Model:
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: float, labels: LabelModel | None):
-        self.index, self.weights, self.bias, self.labels = index, weights, bias, labels
+    """used: which places of the table hold features; weights: of each place; labels: the voters' model."""
+
+    def __init__(self, used: np.ndarray, mined: np.ndarray, weights: np.ndarray, bias: float, labels: LabelModel | None):
+        self.used, self.mined, self.weights, self.bias, self.labels = used, mined, weights, bias, labels
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -182,41 +219,47 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     ranked = seen.where((F.col("bad") >= SUPPORT) | (F.col("good") >= SUPPORT)).withColumn("odds", odds).withColumn("z", F.col("odds") / spread)
     ranked = scratch(ranked.where("abs(z) > 2"), "features")
-    mined = [r.feature for r in ranked.where((F.col("z") > 3) & (F.col("odds") > 2)).orderBy(F.desc("z"), "feature").limit(FEATURES // 4).collect()]
-    chosen = [r.feature for r in ranked.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()]
-    fixed = [w for x in LEXICONS.values() for w in x.split()]
-    index = {f: i for i, f in enumerate(dict.fromkeys([*fixed, *mined, *chosen][:FEATURES]))}
-
-    every = docs.select("text").mapInPandas(_voted(mined, {}), "votes array<int>").groupBy("votes").count().toPandas()  # 3 ** voters rows at most
+    # One row a place at most; a place is mined if its features, of which it holds one as a rule, speak for toxic.
+    table = ranked.withColumn("place", _places("feature")).groupBy("place").agg(F.max_by("z", F.abs("z")).alias("z"), F.max_by("odds", F.abs("z")).alias("odds")).toPandas()
+    used = np.zeros(PLACES, bool)
+    fixed = [place(w) for x in LEXICONS.values() for w in x.split()]
+    used[fixed] = True
+    used[table.place.to_numpy(np.int64)] = True
+    mined = np.full(PLACES, -1, np.int8)
+    spoken = table[(table.z > 3) & (table.odds > 2)].sort_values(["z", "place"], ascending=[False, True]).place.to_numpy(np.int64)
+    mined[spoken] = np.arange(len(spoken)) % MINED
+
+    columns = "votes array<int>, features array<int>"
+    every = docs.select("text", F.lit(False).alias("sampled")).mapInPandas(_voted(used, mined), f"sampled boolean, {columns}").groupBy("votes").count().toPandas()  # 3 ** voters rows at most
     share = sample / max(sample, (sizes.bad or 0) + (sizes.good or 0), 1)
     sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
-    voted = labelled.select("text", "toxic", sampled.alias("sampled")).mapInPandas(_voted(mined, index), "toxic int, sampled boolean, votes array<int>, features array<int>")
+    voted = labelled.select("text", "toxic", sampled.alias("sampled")).mapInPandas(_voted(used, mined), f"toxic int, sampled boolean, {columns}")
     voted = scratch(voted, "voted")
     gold = voted.groupBy("votes", "toxic").count().toPandas()  # twice as many at most
     own = voted.where("sampled").toPandas()  # about `sample` rows
     if not len(every):
-        return Model(index, np.zeros(len(index)), -2.0, None)
+        return Model(used, mined, np.zeros(PLACES), -2.0, None)
     votes = np.array([*every.votes, *gold.votes], np.int64)
     counts = np.array([*every["count"], *gold["count"]], float)
     model = LabelModel(votes, counts, np.array([-1] * len(every) + gold.toxic.tolist()))
     if not len(own):  # without labels, learn from what the voters say of the fixed words alone
-        rows = [np.array([i]) for i in range(len(fixed))] + [np.zeros(0, int)] * len(fixed)
-        return Model(index, *fit_linear(rows, np.repeat([0.9, 0.05], len(fixed)), len(index)), model)
+        rows = [np.array([at]) for at in fixed] + [np.zeros(0, int)] * len(fixed)
+        return Model(used, mined, *fit_linear(rows, np.repeat([0.9, 0.05], len(fixed)), PLACES), model)
     voters = model.posterior(np.array(own.votes.tolist(), np.int64))
     truth = own.toxic.to_numpy()
     sure = np.where(truth == 1, TRUST / (1 - TRUST), (1 - TRUST) / TRUST)
     belief = voters * sure / (voters * sure + 1 - voters)
-    weights, bias = fit_linear([np.asarray(f) for f in own.features], belief, len(index))
-    return Model(index, weights, bias, model)
+    return Model(used, mined, *fit_linear([np.asarray(f) for f in own.features], belief, PLACES), model)
 
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """columns, score, predicted of each row; a null text is empty, an empty text gets the score of a text without features."""
-    index, weights, bias = model.index, model.weights, model.bias
+    used, weights, bias = model.used, model.weights, model.bias
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = Places(used)
         for rows in batches:
-            sums = np.array([sum(weights[index[f]] for f in features_of(t) if f in index) for t in rows.text], float)
+            sums = np.array([weights[places.of(features_of(t))].sum() for t in rows.text], float)
             score = 1 / (1 + np.exp(-np.clip(sums + bias, -50, 50)))
             yield rows.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(int))
 

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 
-from tessera.llm.toxicity import LabelModel, Votes, features_of, fit_linear, held_out_scores, learned
+from tessera.llm.toxicity import PLACES, LabelModel, Places, Votes, features_of, fit_linear, held_out_scores, learned, place
 
 
 def test_label_model_finds_accuracies_without_labels_and_discounts_twins():
@@ -29,14 +30,17 @@ def test_linear_fit():
 def test_features_and_votes():
     assert features_of("Idiots! x2 été") == {"idiots", "4:idio", "5:idiot", "été", "x"}
     assert features_of(None) == features_of("") == set()
-    v = Votes(["4:abcd", "zz", "yy"])
-    assert v.of("you are such an idiot", features_of("you are such an idiot")) == [1, 0, 0, 0, 0, 0, 0, 1, 0, 0]
-    assert v.of("abcde", features_of("abcde"))[3] == 1 and v.of(None, set())[-1] == -1
+    mined = np.full(PLACES, -1, np.int8)
+    mined[[place("4:abcd"), place("zz")]] = 0, 1
+    vote = lambda text: Votes(mined).of(text, features_of(text), Places(mined >= 0).of(features_of(text)))
+    assert vote("you are such an idiot") == [1, 0, 0, 0, 0, 0, 0, 1, 0, 0]
+    assert vote("abcde")[3:7] == [1, 0, 0, 0] and vote("zz abcde")[3:7] == [1, 1, 0, 0] and vote(None)[-1] == -1
 
 
 def test_address_takes_plurals():
-    assert Votes([]).of("You are such idiots", features_of("You are such idiots"))[7] == 1
-    assert Votes([]).of("your idiots", features_of("your idiots"))[7] == 0
+    nothing = np.full(PLACES, -1, np.int8)
+    assert Votes(nothing).of("You are such idiots", features_of("You are such idiots"), [])[7] == 1
+    assert Votes(nothing).of("your idiots", features_of("your idiots"), [])[7] == 0
 
 
 def test_features_are_counted_over_all_labels_beyond_the_sample(spark):
@@ -44,7 +48,7 @@ def test_features_are_counted_over_all_labels_beyond_the_sample(spark):
     labels = [(i, int(i % 100 == 0)) for i in range(1200)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     small, whole = learned(d, lab, sample=100), learned(d, lab)
-    assert "grubnax" in small.index and small.index == whole.index
+    assert small.used[place("grubnax")] and (small.used == whole.used).all() and (small.mined == whole.mined).all()
     assert np.allclose(small.labels.log, whole.labels.log) and small.labels.prior == whole.labels.prior
 
 
@@ -72,6 +76,24 @@ def test_held_out_accuracy(spark):
     assert {r.score for r in rows if r.doc_id == 2000} == {r.score for r in rows if r.doc_id == 2001}
 
 
+def test_partitions_without_labelled_rows_and_one_file_in_one_row_group(spark, tmp_path):
+    docs, labels = sample()
+    pd.DataFrame({"doc_id": [d[0] for d in docs[:1500]], "text": [d[1] for d in docs[:1500]]}).to_parquet(tmp_path / "docs.parquet", row_group_size=1500)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = sorted((r.doc_id, round(r.score, 6)) for r in held_out_scores(spark.createDataFrame(docs[:1500], "doc_id long, text string, n int"), lab).collect())
+    for d in (spark.read.parquet(str(tmp_path / "docs.parquet")), spark.createDataFrame(docs[:1500], "doc_id long, text string, n int").repartition(50)):
+        assert sorted((r.doc_id, round(r.score, 6)) for r in held_out_scores(d, lab).collect()) == want
+    few = spark.createDataFrame(docs[:10], "doc_id long, text string, n int").repartition(50)
+    assert held_out_scores(few, lab.where("doc_id < 3")).count() == 10
+
+
+def test_very_long_and_scriptless_texts(spark):
+    docs, labels = sample()
+    long = [(7001, "zorg blivet " * 200_000, 0), (7002, "a" * 1_000_000, 0), (7003, "\U0001f600 1 2 3", 0)]
+    got = {r.doc_id: r.score for r in held_out_scores(spark.createDataFrame(docs + long, "doc_id long, text string, n int"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[7001] > 0.5 and got[7003] == got[2001]
+
+
 def test_empty_tables(spark):
     docs, labels = sample()
     d, lab = spark.createDataFrame(docs[:40], "doc_id long, text string, votes int"), spark.createDataFrame(labels, "doc_id long, toxic int")
