@@ -8,7 +8,8 @@ them is still verified, unless the triangle inequality of Jaccard distances to t
 it out; so each pair that shares a bucket is linked, ruled out, or in one component
 anyway, and the components are those of the whole join at the cost of stars. Pairs across
 components are first compared by their min-hashes, which rules out all but those near the threshold
-(with the same target recall as the bands) before anything is emitted.
+(with the same target recall as the bands) before anything is emitted: a bucket's members are dealt over tasks in pairs of
+blocks of bounded size.
 
 Links are counted apart from that: all members of a component are compared with each other on their full n-gram sets, in
 pairs of blocks of bounded size that are dealt over tasks; a task emits sums, not pairs.
@@ -35,7 +36,7 @@ RECALL = 0.9999
 #: Rows to a band; more rows make fewer false candidates and need more bands.
 ROWS = 5
 #: Min-hashes, a byte of each, by which members of one bucket are compared across components.
-MARKS = 384
+MARKS, FEW_MARKS = 384, 64
 #: Members and n-grams of a block within which, and with another of which, links are counted; a set isn't divided.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
 #: Entries of the dense tables that are multiplied to count common n-grams.
@@ -115,7 +116,7 @@ def _gram_sets(n: int):
             for lo in range(0, len(batch), 500):
                 some = batch.iloc[lo : lo + 500]
                 grams = [ngrams(_words(t), known, n) for t in some.text]
-                marks = [minhash.least(g).astype(np.uint8).view(np.int8) for g in grams]
+                marks = [minhash.least(g).astype(np.uint8).tobytes() for g in grams]
                 yield pd.DataFrame({"set_key": some.set_key, "grams": [g.view(np.int64) for g in grams], "marks": marks})
 
     return run
@@ -191,6 +192,61 @@ def link_counts(labels: DataFrame, sets: DataFrame, threshold: float, block: int
     return each.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
 
 
+def _agreeing(threshold: float, recall: float):
+    """u, v of pairs across two blocks of one bucket, with different labels, that distances, sizes and min-hashes leave possible."""
+    few, most = agreement_for(threshold, recall, FEW_MARKS), agreement_for(threshold, recall, MARKS)
+    slack = 1 - threshold + 1e-9
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[bytes, bytes]] = []
+        keys, far, size = rows.set_key.to_numpy(), rows.far.to_numpy(), rows["size"].to_numpy()
+        labels, low = pd.factorize(rows.label)[0], (rows.own == rows.low).to_numpy()
+        for places in rows.groupby(["band", "low", "high"]).indices.values():
+            if (labels[places] == labels[places[0]]).all():
+                continue
+            marks = np.stack([np.frombuffer(x, np.uint8) for x in rows.marks.iloc[places]])
+            same = low[places].all()
+            left = np.flatnonzero(low[places])
+            right = left if same else np.flatnonzero(~low[places])
+            for i in left:
+                at = right[right > i] if same else right
+                x, y = places[i], places[at]
+                may = (labels[y] != labels[x]) & (np.abs(far[y] - far[x]) <= slack)
+                may &= np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x]) - 1e-9
+                at = at[may]
+                at = at[(marks[at, :FEW_MARKS] == marks[i, :FEW_MARKS]).sum(1) >= few]
+                at = at[(marks[at] == marks[i]).sum(1) >= most]
+                out += [(min(keys[x], k), max(keys[x], k)) for k in keys[places[at]]]
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return run
+
+
+def near_pairs(within: DataFrame, sizes: DataFrame, threshold: float, recall: float, block: int = BLOCK) -> DataFrame:
+    """u, v of pairs of one bucket's members with different labels that may reach the threshold.
+
+    within: band, set_key, label, far (distance to the bucket's hub); sizes: set_key, size, marks. A bucket is
+    divided into zones a `slack` of distance and a threshold's ratio of sizes wide, so that only neighbouring zones can hold
+    such pairs, and a zone into blocks; pairs of blocks are dealt over tasks, however large the bucket is.
+    """
+    placed = within.join(sizes.select("set_key", "size"), "set_key")
+    placed = placed.withColumn("f", F.floor(F.col("far") / (1 - threshold + 1e-9)).cast("int")).withColumn("s", F.floor(F.log("size") / -math.log(threshold) + 1e-9).cast("int") if threshold < 1 else F.col("size"))
+    zones = placed.groupBy("band", "f", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = placed.join(zones, ["band", "f", "s"]).withColumn("x", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    beside = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    moved = placed.select("band", "set_key", "label", "far", "size", F.struct("f", "s", "x").alias("own"), F.explode(F.array(*beside)).alias("d"))
+    others = zones.select("band", F.col("f").alias("of"), F.col("s").alias("os"), F.col("blocks").alias("other_blocks"))
+    moved = moved.withColumn("of", F.col("own.f") + F.col("d.i")).withColumn("os", F.col("own.s") + F.col("d.j")).join(others, ["band", "of", "os"])
+    moved = moved.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda y: F.struct(F.col("of").alias("f"), F.col("os").alias("s"), y.alias("x")))))
+    spelled = lambda c: F.concat_ws(":", *(F.col(f"{c}.{k}") for k in ("f", "s", "x")))
+    dealt = moved.select("band", "set_key", "label", "far", "size", spelled("own").alias("own"), spelled("other").alias("other"))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    pairs = dealt.groupBy("band", "low", "high").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band", "low", "high")
+    dealt = dealt.join(pairs, ["band", "low", "high"], "left_semi").withColumn("cell", F.pmod(F.xxhash64("band", "low", "high"), F.lit(64 * shuffle_partitions(within.sparkSession))))
+    full = dealt.join(sizes.select("set_key", "marks"), "set_key")
+    return full.groupBy("cell").applyInPandas(_agreeing(threshold, recall), "u binary, v binary").distinct()
+
+
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, with_links: bool = True) -> DataFrame:
     """doc_id, text_key, class_id, copy_id, n_copies, n_links of each row.
 
@@ -216,24 +272,18 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     involved = met.select("set_key").distinct().join(reps.select("set_key", "one"), "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
     found = texts.join(involved, texts["__doc"].eqNullSafe(F.col("one.doc_id")) & (texts["__text"] == F.col("one.text_key")))
-    sets = scratch(found.select("set_key", "text").mapInPandas(_gram_sets(n), "set_key binary, grams array<long>, marks array<tinyint>").dropDuplicates(["set_key"]), "sets")
+    sets = scratch(found.select("set_key", "text").mapInPandas(_gram_sets(n), "set_key binary, grams array<long>, marks binary").dropDuplicates(["set_key"]), "sets")
     tested = scratch(_distances(stars, sets), "tested")
     links = tested.where(_linked(threshold)).select("u", "v")
     labels = components(links)
 
-    # Members of one bucket in different components, each pair in the first bucket that it shares, but for pairs with the hub, which are tested.
+    # Members of one bucket in different components, but for pairs with the hub, which are tested.
     sizes = sets.select("set_key", F.size("grams").alias("size"), "marks")
     near = tested.select(F.col("u").alias("hub"), F.col("v").alias("set_key"), (1 - F.col("common") / F.col("all")).alias("far"))
     placed = met.where("set_key <> hub").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     within = scratch(placed.join(split, "band", "left_semi").join(near, ["hub", "set_key"]).select("band", "set_key", "label", "far"), "within")
-    own_bands = within.groupBy("set_key").agg(F.collect_set("band").alias("bands"))
-    mixed_ = scratch(within.join(own_bands, "set_key").join(sizes, "set_key"), "split")
-    a, b = mixed_.alias("a"), mixed_.alias("b")
-    slack = 1 - threshold + 1e-9
-    agreed = F.size(F.filter(F.zip_with("a.marks", "b.marks", lambda x, y: x == y), lambda same: same))
-    may = (F.col("a.set_key") < F.col("b.set_key")) & (F.col("a.label") != F.col("b.label")) & (F.abs(F.col("a.far") - F.col("b.far")) <= slack) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")) & (agreed >= agreement_for(threshold, recall, MARKS))
-    across = a.join(b, (F.col("a.band") == F.col("b.band")) & may).select(F.col("a.set_key").alias("u"), F.col("b.set_key").alias("v"))
+    across = near_pairs(within, sizes, threshold, recall)
     more = scratch(_distances(across, sets).where(_linked(threshold)).select("u", "v"), "more")
     if not more.isEmpty():
         links = links.union(more).distinct()

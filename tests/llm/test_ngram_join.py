@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.llm.components import components
-from tessera.llm.ngram_join import _gram_sets, agreement_for, bands_for, classes, link_counts, one_of_each
+from tessera.llm.ngram_join import _gram_sets, agreement_for, bands_for, classes, link_counts, near_pairs, one_of_each
 
 
 def grams(text, n=5):
@@ -72,13 +74,47 @@ def test_n_links_count_all_pairs(spark):
     assert got == want and max(want.values()) > 3
     ids = [(str(i).encode(), t) for i, t in rows if 100 <= i < 112]  # one family, in one block or in several
     texts = spark.createDataFrame(ids, "set_key binary, text string")
-    full = texts.mapInPandas(_gram_sets(5), "set_key binary, grams array<long>, marks array<tinyint>")
+    full = texts.mapInPandas(_gram_sets(5), "set_key binary, grams array<long>, marks binary")
     labels = texts.select("set_key").withColumnsRenamed({"set_key": "node"}).selectExpr("node", "binary('100') AS label")
     for block, block_grams in ((512, 1 << 20), (3, 1 << 20), (512, 300)):
         got = {int(r.set_key): r.n_links for r in link_counts(labels, full, 0.8, block, block_grams).collect()}
         assert got == {i: sum(i != j and len(a & sets[j]) >= 0.8 * len(a | sets[j]) for j in range(100, 112)) for i, a in sets.items() if 100 <= i < 112}
 
 
+def test_a_hot_bucket_is_dealt_in_blocks(spark):
+    r = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"x{r.randrange(10**9)}" for _ in range(r.randint(50, 70))]) for _ in range(3000)]
+    for k in range(0, 40, 2):  # some pairs that are alike
+        texts[k + 1] = texts[k] + f" y{k}"
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame([(str(i).encode(), t) for i, t in rows], "set_key binary, text string").repartition(8)
+    sets = sets.mapInPandas(_gram_sets(5), "set_key binary, grams array<long>, marks binary").selectExpr("set_key", "size(grams) AS size", "marks")
+    hub = grams(texts[0])
+    far = spark.createDataFrame([(1, str(i).encode(), str(i).encode(), 1 - len(hub & g) / len(hub | g)) for i, g in enumerate(map(grams, texts)) if i], "band long, set_key binary, label binary, far double")
+    got = {(int(p.u), int(p.v)) for p in near_pairs(far, sets, 0.8, 0.9999, 256).collect()}
+    want = {tuple(sorted((k, k + 1), key=str)) for k in range(2, 40, 2)}
+    assert want <= got and len(got) < 60
+    assert near_pairs(far.withColumn("label", F.lit(b"1")), sets, 0.8, 0.9999, 256).count() == 0
+
+
+def test_end_to_end_recall(spark):
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    rows, pairs = [], []
+    for k in range(1500):
+        seed = r.choices(words, k=r.randint(40, 200))
+        other = list(seed)
+        for _ in range(len(seed) // 90 + (k % 2)):
+            other[r.randrange(len(other))] = r.choice(words)
+        rows += [(2 * k, " ".join(seed)), (2 * k + 1, " ".join(other))]
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        if a != b and len(a & b) >= 0.8 * len(a | b):
+            pairs.append(k)
+    got = {x.doc_id: x.class_id for x in classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), with_links=False).collect()}
+    assert len(pairs) > 300 and sum(got[2 * k] == got[2 * k + 1] for k in pairs) >= 0.999 * len(pairs)
+
+
 def test_copies_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (3, "z")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.class_id, r.n_copies) for r in classes(df).collect())
