@@ -16,8 +16,10 @@ CLASSES = 32
 #: Rows of the input table: one for each of the most frequent ids, one for each class for the others, one for a text's start.
 FREQUENT = 4096
 DIM = 16
-#: Logits are bounded by it when texts are scored.
+#: Logits are bounded by it.
 LOGIT = np.float32(30)
+#: Windows that are worked on together.
+BATCH = 64
 
 
 class Vocabulary:
@@ -59,7 +61,7 @@ class Windows:
 
 class Attention:
     NAMES = ("E", "P", "Q", "K", "V", "O", "b")
-    CAUSAL = np.where(np.arange(WINDOW) <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+    SEEN = (np.arange(WINDOW) <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
@@ -82,24 +84,26 @@ class Attention:
             lo += size
         return Attention(out)
 
-    def _forward(self, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-        p = self.parts
-        x = p["E"][rows] + p["P"]
-        k, v, q = x @ p["K"], x @ p["V"], x[:, CONTEXT:] @ p["Q"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += self.CAUSAL
-        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        h = s @ v
-        h += x[:, CONTEXT:]
-        z = h @ p["O"]
+    def _forward(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Inputs, queries, keys and values, attention weights before and after their sums, what is attended to, outputs, and exponentials of the logits; first: windows without context."""
+        p, n = self.parts, len(rows)
+        x = p["E"][rows]
+        x += p["P"]
+        kv = (x.reshape(-1, DIM) @ np.concatenate([p["K"], p["V"]], 1)).reshape(n, WINDOW, 2 * DIM)
+        own = np.ascontiguousarray(x[:, CONTEXT:])
+        q = (own.reshape(-1, DIM) @ (p["Q"] * np.float32(DIM**-0.5))).reshape(n, SCORED, DIM)
+        s = q @ kv[:, :, :DIM].transpose(0, 2, 1)
+        np.exp(np.clip(s, -LOGIT, LOGIT, out=s), out=s)  # bounded, so that no maximum has to be found
+        s *= self.SEEN
+        s[first, :, :CONTEXT] = 0
+        total = s @ np.ones(WINDOW, s.dtype)
+        att = s @ kv[:, :, DIM:]
+        att /= total[:, :, None]
+        h = att + own
+        z = h.reshape(-1, DIM) @ p["O"]
         z += p["b"]
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return x, q, k, v, s, h, z
+        np.exp(np.clip(z, -LOGIT, LOGIT, out=z), out=z)
+        return x, own, q, kv, s, total, att, h, z
 
     def class_scores(self, w: Windows, classes: np.ndarray) -> np.ndarray:
         """log P(class of each target | inputs before it).
@@ -114,53 +118,60 @@ class Attention:
         gives, gives_place, carried = p["E"] @ p["O"], p["P"][CONTEXT:] @ p["O"] + p["b"], p["V"] @ p["O"]
         out = np.empty(w.targets.shape, np.float32)
         first = ~w.valid[:, CONTEXT - 1]
-        seen = (self.CAUSAL == 0).astype(np.float32)
         all_keys, all_classes = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32)
-        for lo in range(0, len(out), 128):
-            rows = w.rows[lo : lo + 128]
+        for lo in range(0, len(out), BATCH):
+            rows = w.rows[lo : lo + BATCH]
             x, own = np.take(p["E"], rows, axis=0), rows[:, CONTEXT:]
             x += p["P"]
             q = np.take(asks, own, axis=0)
             q += asks_place
             s = q @ x.transpose(0, 2, 1)
             np.exp(np.clip(s, -LOGIT, LOGIT, out=s), out=s)  # bounded, so that no maximum has to be found
-            s *= seen
-            s[first[lo : lo + 128], :, :CONTEXT] = 0
+            s *= self.SEEN
+            s[first[lo : lo + BATCH], :, :CONTEXT] = 0
             h = s @ x
             h /= (s @ all_keys)[:, :, None]
             z = (h.reshape(-1, DIM) @ carried).reshape(len(rows), SCORED, CLASSES)
             z += np.take(gives, own, axis=0)
             z += gives_place
             np.clip(z, -LOGIT, LOGIT, out=z)
-            wanted = np.take_along_axis(z, classes[lo : lo + 128, :, None].astype(np.int64), 2)[:, :, 0]
-            out[lo : lo + 128] = wanted - np.log(np.exp(z, out=z) @ all_classes)
+            wanted = np.take_along_axis(z, classes[lo : lo + BATCH, :, None].astype(np.int64), 2)[:, :, 0]
+            out[lo : lo + BATCH] = wanted - np.log(np.exp(z, out=z) @ all_classes)
         return out
 
     def gradient(self, rows: np.ndarray, valid: np.ndarray, wanted: np.ndarray, classes: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Gradients of the mean cross-entropy of the wanted targets, and that mean."""
-        p = self.parts
-        x, q, k, v, a, h, z = self._forward(rows, valid)
-        n = max(1, int(wanted.sum()))
-        loss = -float((np.take_along_axis(z, classes[:, :, None], 2)[:, :, 0] * wanted).sum()) / n
-        dz = np.exp(z)
-        np.put_along_axis(dz, classes[:, :, None], np.take_along_axis(dz, classes[:, :, None], 2) - 1, 2)
-        dz *= (wanted / np.float32(n))[:, :, None]
+        p, n = self.parts, len(rows)
+        x, own, q, kv, s, total, att, h, dz = self._forward(rows, ~valid[:, CONTEXT - 1])
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"O": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
-        dh = dz @ p["O"].T
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "Q": flat(np.ascontiguousarray(x[:, CONTEXT:])).T @ flat(dq)}
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, CONTEXT:] += dq @ p["Q"].T + dh
+        share = (wanted / max(1, int(wanted.sum()))).ravel().astype(s.dtype)
+        sums = dz @ np.ones(CLASSES, s.dtype)
+        at = np.arange(len(dz)), classes.ravel()
+        loss = -float(np.log(dz[at] / sums) @ share)
+        dz *= (share / sums)[:, None]
+        dz[at] -= share
+        g = {"O": flat(h).T @ dz, "b": np.ones(len(dz), s.dtype) @ dz}
+        dh = (dz @ p["O"].T).reshape(n, SCORED, DIM)
+        s /= total[:, :, None]
+        dkv = np.empty_like(kv)
+        dkv[:, :, DIM:] = s.transpose(0, 2, 1) @ dh
+        ds = dh @ kv[:, :, DIM:].transpose(0, 2, 1)
+        ds -= (dh * att).sum(2)[:, :, None]
+        ds *= s
+        dq = ds @ kv[:, :, :DIM]
+        dq *= np.float32(DIM**-0.5)
+        dkv[:, :, :DIM] = ds.transpose(0, 2, 1) @ q
+        both = flat(x).T @ flat(dkv)
+        g |= {"K": both[:, :DIM], "V": both[:, DIM:], "Q": flat(own).T @ flat(dq)}
+        dx = (flat(dkv) @ np.concatenate([p["K"], p["V"]], 1).T).reshape(x.shape)
+        dx[:, CONTEXT:] += (flat(dq) @ p["Q"].T).reshape(dh.shape)
+        dx[:, CONTEXT:] += dh
         g["P"] = dx.sum(0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], rows.ravel(), flat(dx))
+        places = rows.reshape(-1, 1) * DIM + np.arange(DIM)
+        g["E"] = np.bincount(places.ravel(), dx.ravel(), p["E"].size).reshape(p["E"].shape).astype(s.dtype)
         return g, loss
 
-    def trained(self, windows: list[tuple[np.ndarray, ...]], batch: int = 64, rate: float = 0.01, seed: int = 0) -> Attention:
+    def trained(self, windows: list[tuple[np.ndarray, ...]], batch: int = BATCH, rate: float = 0.01, seed: int = 0) -> Attention:
         """This model after one pass of Adam over windows (rows, valid, wanted, classes), in a fixed random order."""
         parts = {n: x.copy() for n, x in self.parts.items()}
         model = Attention(parts)

@@ -42,6 +42,35 @@ def test_scores_do_not_look_ahead_and_sum_to_one():
     assert np.allclose(np.bincount(v.class_of, np.exp(v.log_share), CLASSES)[np.unique(v.class_of)], 1, atol=1e-3)
 
 
+def test_class_scores_equal_a_plain_forward_pass():
+    r = np.random.default_rng(4)
+    v = Vocabulary(r.integers(0, 100, 300))
+    model = Attention.fresh(v.log_class)
+    p = {n: r.standard_normal(x.shape) * 0.5 for n, x in model.parts.items()}
+    model.parts = {n: x.astype(np.float32) for n, x in p.items()}
+    ids = r.integers(0, 300, 3 * SCORED + 5)
+    w = Windows([ids.astype(np.uint32)], v)
+    got = model.class_scores(w, v.class_of[w.targets])[w.wanted]
+    inputs = [v.start_row, *v.row_of[ids[:-1]]]
+    for t in range(len(ids)):
+        first = max(0, t // SCORED * SCORED - CONTEXT)
+        offset = CONTEXT if t < SCORED else 0  # a text's first window has no context
+        x = [p["E"][inputs[i]] + p["P"][i - first + offset] for i in range(first, t + 1)]
+        scores = np.array([x[-1] @ p["Q"] @ (y @ p["K"]) / 4 for y in x])
+        weights = np.exp(scores) / np.exp(scores).sum()
+        z = (sum(a * (y @ p["V"]) for a, y in zip(weights, x, strict=True)) + x[-1]) @ p["O"] + p["b"]
+        assert abs(got[t] - (z - np.log(np.exp(z).sum()))[v.class_of[ids[t]]]) < 1e-3
+
+
+def test_training_moves_every_position():
+    r = np.random.default_rng(5)
+    v = Vocabulary(r.integers(1, 50, 200))
+    w = Windows([r.integers(0, 200, 400).astype(np.uint32) for _ in range(20)], v)
+    model = Attention.fresh(v.log_class)
+    after = model.trained([w.rows, w.valid, w.wanted, v.class_of[w.targets].astype(np.int64)])
+    assert (np.abs(after.parts["P"] - model.parts["P"]).max(1) > 1e-3).all()
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     v = Vocabulary(r.integers(1, 50, 200))
