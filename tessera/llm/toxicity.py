@@ -146,15 +146,23 @@ class LabelModel:
 
 def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """n weights and the bias of a logistic regression on sets of features, by full-batch Adam over the features that occur."""
-    lengths = np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(len(rows)), lengths)
-    seen, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
-    k = len(seen)
+    seen = np.zeros(n, bool)
+    for r in rows:
+        seen[r] = True
+    rank = np.cumsum(seen) - 1
+    k = int(seen.sum())
+    blocks = []  # rows that are worked on together: features, the row of each, beliefs
+    for lo in range(0, len(rows), 1000):
+        some = rows[lo : lo + 1000]
+        blocks.append((rank[np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)].astype(np.int32), np.array([len(r) for r in some]), belief[lo : lo + 1000]))
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(of, w[at], len(rows)) + w[k])))
-        d = (p - belief) / len(rows)
-        g = np.append(np.bincount(at, d[of], k)[:k] + ridge * w[:k], d.sum())
+        g = np.append(ridge * w[:k], 0.0)
+        for at, lengths, wanted in blocks:
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            d = (1 / (1 + np.exp(-(np.bincount(of, w[at], len(lengths)) + w[k]))) - wanted) / len(rows)
+            g[:k] += np.bincount(at, d[of], k)[:k]
+            g[k] += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(n)
@@ -182,7 +190,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _voted(used: np.ndarray, mined: np.ndarray):
-    """votes, and the places of features of each row that is `sampled`."""
+    """votes, and the places of features (packed) of each row that is `sampled`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters, places = Votes(mined), Places(used)
@@ -192,7 +200,7 @@ def _voted(used: np.ndarray, mined: np.ndarray):
                 own = features_of(text)
                 at = places.of(own)
                 votes.append(voters.of(text, own, at))
-                lists.append(at if some else None)
+                lists.append(np.array(at, np.uint32).tobytes() if some else None)
             yield rows.drop(columns="text").assign(votes=votes, features=pd.Series(lists, dtype=object, index=rows.index))
 
     return run
@@ -229,7 +237,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spoken = table[(table.z > 3) & (table.odds > 2)].sort_values(["z", "place"], ascending=[False, True]).place.to_numpy(np.int64)
     mined[spoken] = np.arange(len(spoken)) % MINED
 
-    columns = "votes array<int>, features array<int>"
+    columns = "votes array<int>, features binary"
     every = docs.select("text", F.lit(False).alias("sampled")).mapInPandas(_voted(used, mined), f"sampled boolean, {columns}").groupBy("votes").count().toPandas()  # 3 ** voters rows at most
     share = sample / max(sample, (sizes.bad or 0) + (sizes.good or 0), 1)
     sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
@@ -249,7 +257,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     truth = own.toxic.to_numpy()
     sure = np.where(truth == 1, TRUST / (1 - TRUST), (1 - TRUST) / TRUST)
     belief = voters * sure / (voters * sure + 1 - voters)
-    return Model(used, mined, *fit_linear([np.asarray(f) for f in own.features], belief, PLACES), model)
+    return Model(used, mined, *fit_linear([np.frombuffer(f, np.uint32) for f in own.features], belief, PLACES), model)
 
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
