@@ -11,6 +11,7 @@ towards its own host's prior.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,12 @@ TEMPER = 0.3
 PRIOR_ROWS = 10.0
 #: Posterior below which a row is rejected.
 LEAST = 0.5
+#: Prior of the hypothesis that a text is in none of the languages: its trigrams then fall evenly on all buckets.
+NO_LANGUAGE = 0.05
+#: A declared language has a model of its own if so large a share of declaring rows names it, so that there are at most
+#: 1 / SHARE of them; the others have one in common.
+SHARE = 1 / 512
+OTHER = "~other"
 
 _letters: list[np.ndarray] = []
 
@@ -115,23 +122,28 @@ def identified(rows: DataFrame, keys: list[str], least: float = LEAST) -> DataFr
 
     rows: keys, text, declared (language tag), suffix and host, each of which may be null: a
     null is no evidence. A text without letters says nothing; a row is accepted if its best
-    language has a posterior of `least` or more and its text has letters. Ties go to the language that comes first in
-    the alphabet. Without any declared language in the table, lang and probability are null and no row is accepted. Rows
+    language has a posterior of `least` or more, its text has letters, and no-language doesn't explain it better. Ties go to the language that comes first in
+    the alphabet. Languages that fewer than a share SHARE of the rows declare are one, OTHER; a row that OTHER wins is in the language that it declares,
+    and not accepted if it declares none of these. Texts of any length are read whole, some millions of characters at a time. Without any declared language in the table, lang and probability are null and no row is accepted. Rows
     that repeat get the same result.
     """
     rows = rows.select(*keys, "text", code(F.col("declared")).alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"))
+    named = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n"))
+    whole = named.agg(F.sum("n")).first()[0] or 0
+    own_model = [r.declared for r in named.where(F.col("n") >= SHARE * whole).collect()]  # 1 / SHARE at most
+    rows = rows.withColumn("tag", F.col("declared")).withColumn("declared", F.when(F.col("declared").isin(own_model), F.col("declared")).when(F.col("declared").isNotNull(), OTHER))
     counted = rows.where("declared IS NOT NULL").select("text", "declared").mapInPandas(_counted, "declared string, bucket int, n long")
     # Languages times buckets, however many rows there are.
     sums = counted.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(sums.declared))
     if not langs:
-        return rows.select(*keys, "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
+        return rows.select(*keys, F.col("tag").alias("declared"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
     table = np.ones((BUCKETS, len(langs)))
     np.add.at(table, (sums.bucket.to_numpy(np.int64), np.searchsorted(langs, sums.declared.to_numpy(str))), sums.n.to_numpy(np.float64))
     logs = np.log(table / table.sum(0)).astype(np.float32)
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in (*keys, "declared", "suffix", "host"))
+    schema = ", ".join(f"{k} {fields[k]}" for k in (*keys, "tag", "declared", "suffix", "host"))
     scored = rows.mapInPandas(_scored(langs, logs), f"{schema}, likelihood array<double>, n_grams int")
     best = F.array_position("likelihood", F.array_max("likelihood")).cast("int") - 1
     scored = scratch(scored.withColumn("vote", F.when(F.col("n_grams") > 0, best)).withColumn("site", site(F.col("host"))), "scored")
@@ -173,8 +185,12 @@ def identified(rows: DataFrame, keys: list[str], least: float = LEAST) -> DataFr
     joined = joined.withColumn("probability", 1.0 / F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
     top = F.array_max(F.transform("log_post", lambda x, i: F.struct(x.alias("value"), (-i).alias("place"))))
     lang = F.get(names, -top["place"])
-    accepted = (F.col("n_grams") > 0) & (F.col("probability") >= least)
-    return joined.select(*keys, "declared", F.get(names, F.col("vote")).alias("text_lang"), lang.alias("lang"), "probability", accepted.alias("accepted"))
+    # The text alone must be likelier in the language than evenly spread, by what the prior of no language asks for.
+    text_fits = F.array_max("likelihood") > F.col("n_grams") * (-TEMPER * math.log(BUCKETS)) + math.log(NO_LANGUAGE / (1 - NO_LANGUAGE))
+    lang = F.when(lang != OTHER, lang).otherwise(F.when(F.col("declared") == OTHER, F.col("tag")))
+    accepted = (F.col("n_grams") > 0) & (F.col("probability") >= least) & text_fits & lang.isNotNull()
+    vote = F.get(names, F.col("vote"))
+    return joined.select(*keys, F.col("tag").alias("declared"), F.when(vote != OTHER, vote).alias("text_lang"), lang.alias("lang"), "probability", accepted.alias("accepted"))
 
 
 def documents_rows(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,27 @@ def test_text_wins_over_wrong_declarations_and_priors_decide_short_texts(spark):
     assert all(0 < x.probability <= 1 for x in got.values())
 
 
+def test_texts_in_none_of_the_languages_are_rejected_and_short_clean_ones_stay(spark):
+    r = random.Random(3)
+    rows = [(i, prose(r, ("en", "fr", "de")[i % 3], 60), ("en", "fr", "de")[i % 3], None, "h.a.s") for i in range(600)]
+    junk = [(2000 + i, " ".join("".join(r.choices("qxvkjwpfym", k=5)) for _ in range(30)), ("en", None)[i % 2], None, "h.a.s") for i in range(10)]
+    undeclared = [(3000 + i, " ".join("".join(r.choices("ουςαιτενρσκπμλ", k=6)) for _ in range(40)), ("fr", None)[i % 2], None, "h.a.s") for i in range(10)]
+    short = [(4000 + i, prose(r, "en", k), "en", None, "h.a.s") for i, k in enumerate((1, 1, 2, 2, 3, 4, 5))]
+    got = {x.doc_id: x for x in identified(spark.createDataFrame(rows + junk + undeclared + short, SCHEMA), ["doc_id"]).collect()}
+    assert not any(got[i].accepted for i, *_ in junk + undeclared)
+    assert all(got[i].accepted for i, *_ in rows) and all(got[i].accepted and got[i].lang == "en" for i, *_ in short)
+
+
+def test_rare_declarations_share_a_model(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r, ("en", "fr")[i % 2], 40), ("en", "fr")[i % 2], None, None) for i in range(1200)]
+    rows += [(5000, prose(r, "de", 40), "de", None, None), (5001, prose(r, "de", 40), None, None, None), (5003, "a " * 2_000_000, "en", None, None)]
+    got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert got[5000].lang == "de" and got[5000].accepted and got[5000].declared == "de" and got[5000].text_lang is None
+    assert got[5003].lang == "en" and got[5003].accepted
+    assert got[5001].lang is None and not got[5001].accepted
+
+
 def test_posterior_equals_a_plain_computation(spark):
     rows = [(0, "aa", "xx", "com", "h.a.s"), (1, "aa", "xx", None, "h.a.s"), (2, "bb", "yy", "com", "g.a.s"), (3, "ab", None, "com", "h.a.s")]
     got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
