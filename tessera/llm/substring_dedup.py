@@ -3,7 +3,8 @@
 Each task hashes every window of its documents and deals the hashes out by a second,
 independent hash into buckets of bounded size: one row for a bucket holds many windows as
 packed bytes, about nine a window. A window that repeats inside a task's own block is dealt out once, so
-that a passage that most documents hold arrives once a block and no bucket grows hot. A
+that a passage that most documents hold arrives once a block and no bucket grows hot. The rows of a block
+are at most FAN however many buckets there are: beyond, buckets share rows, and a second exchange deals them apart. A
 task for each bucket finds the hashes that several blocks share; their positions go back to
 the block's list of documents, where covered words merge into maximal intervals. Texts
 move once, for the join that applies the intervals.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +35,32 @@ WINDOW_TARGET = 1_000_000
 #: Words in a block, about; a longer document is a block of its own.
 BLOCK_WORDS = 1_500_000
 
-_RECORD = "bucket long, block string, kind string, hashes binary, positions binary, doc_ids array<long>, text_keys array<long>, n_words array<long>"
+#: Rows that a block is dealt into, at most. Where there are more buckets, a row holds the windows of several, which a second exchange deals apart.
+FAN = 8192
+#: Windows that a task of the second exchange gathers before it deals them on.
+GATHERED = 4_000_000
+
+#: kind: w, windows of a block in a bucket (or of several blocks: names joined by commas, numbers in lengths; subs: which of a row's buckets); d, a block's list of documents.
+_RECORD = "bucket long, block string, kind string, hashes binary, positions binary, subs binary, lengths binary, doc_ids array<long>, text_keys array<long>, n_words array<long>"
 
 
 def _pack(positions: np.ndarray) -> bytes:
-    """Ascending positions as compressed gaps."""
+    """Positions, mostly ascending, as compressed gaps modulo 2**32."""
     gaps = np.diff(positions, prepend=0).astype(np.uint32)
-    return len(gaps).to_bytes(8, "little") + pa.compress(gaps.tobytes(), codec="zstd", asbytes=True)
+    return len(gaps).to_bytes(4, "little") + pa.compress(gaps.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.cumsum(np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd"), np.uint32), dtype=np.int64)
+    n = int.from_bytes(data[:4], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd"), np.uint32), dtype=np.uint32).astype(np.int64)
+
 
+def _per_row(n_buckets: int, fan: int = FAN) -> int:
+    """Buckets that share a row of the first exchange."""
+    return -(-n_buckets // fan)
 
-def _block_rows(block: str, docs: list[tuple], words: np.ndarray, window: int, n_buckets: int) -> Iterator[dict]:
+
+def _block_rows(block: str, docs: list[tuple], words: np.ndarray, window: int, n_buckets: int, fan: int = FAN) -> Iterator[dict]:
     """The packed rows of one block of documents; docs: (doc_id, text key, number of words)."""
     counts = np.array([d[2] for d in docs], np.int64)
     repeated = np.zeros(0, np.int64)
@@ -67,16 +80,21 @@ def _block_rows(block: str, docs: list[tuple], words: np.ndarray, window: int, n
         at, keys, buckets = at[~again], keys[~again], buckets[~again]
         order = np.argsort(buckets.astype(np.uint16) if n_buckets <= 1 << 16 else buckets, kind="stable")
         at, keys, buckets = at[order], keys[order], buckets[order]
-        starts = np.flatnonzero(np.diff(buckets, prepend=-1)) if len(at) else []
+        per = _per_row(n_buckets, fan)
+        rows = buckets // per
+        starts = np.flatnonzero(np.diff(rows, prepend=-1)) if len(at) else []
         for lo, hi in zip(starts, [*starts[1:], len(buckets)], strict=False):
-            yield {"bucket": int(buckets[lo]), "block": block, "kind": "w", "hashes": keys[lo:hi].tobytes(), "positions": _pack(at[lo:hi])}
+            subs = None if per == 1 else _pack(buckets[lo:hi] % per)
+            yield {"bucket": int(rows[lo]), "block": block, "kind": "w", "hashes": keys[lo:hi].tobytes(), "positions": _pack(at[lo:hi]), "subs": subs}
     own = n_buckets + int.from_bytes(hashlib.blake2b(block.encode(), digest_size=4).digest(), "little")
     yield {"bucket": own, "block": block, "kind": "d", "positions": _pack(repeated), "doc_ids": [d[0] for d in docs], "text_keys": [d[1] for d in docs], "n_words": [d[2] for d in docs]}
 
 
-def _hashed(window: int, n_buckets: int, block_words: int):
-    names = [x.split()[0] for x in _RECORD.split(", ")]
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("kind", pa.string()), ("hashes", pa.binary()), ("positions", pa.binary()), *((n, pa.list_(pa.int64())) for n in names[5:])])
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _RECORD.split(", ")])
+
+
+def _hashed(window: int, n_buckets: int, block_words: int, fan: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, n = WordHashes(), TaskContext.get().partitionId(), 0
@@ -85,8 +103,8 @@ def _hashed(window: int, n_buckets: int, block_words: int):
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_block_rows(f"{part}-{n}", docs, np.concatenate(words) if words else np.zeros(0, np.uint64), window, n_buckets))
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            rows = list(_block_rows(f"{part}-{n}", docs, np.concatenate(words) if words else np.zeros(0, np.uint64), window, n_buckets, fan))
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
         for batch in batches:
             for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -103,11 +121,47 @@ def _hashed(window: int, n_buckets: int, block_words: int):
     return run
 
 
+def _redealt(per: int, gathered: int):
+    """The rows of the first exchange as rows of single buckets, each of many blocks."""
+
+    def dealt(rows: list[dict]) -> pa.RecordBatch:
+        counts = np.array([len(r["hashes"]) // 8 for r in rows])
+        keys = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+        positions = np.concatenate([_unpack(r["positions"]) for r in rows])
+        buckets = np.concatenate([_unpack(r["subs"]) for r in rows]) + np.repeat([r["bucket"] * per for r in rows], counts)
+        order = np.argsort(buckets, kind="stable")
+        keys, positions, buckets, block = keys[order], positions[order], buckets[order], np.repeat(np.arange(len(rows)), counts)[order]
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], len(buckets)], strict=True):
+            edges = np.flatnonzero(np.diff(block[lo:hi], prepend=-1))
+            names, lengths = [rows[k]["block"] for k in block[lo + edges]], np.diff(edges, append=hi - lo).astype(np.uint32)
+            out.append({"bucket": int(buckets[lo]), "block": ",".join(names), "kind": "w", "hashes": keys[lo:hi].tobytes(), "positions": _pack(positions[lo:hi]), "lengths": lengths.tobytes()})
+        return pa.RecordBatch.from_pylist(out, _SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held = 0
+        for batch in batches:
+            lists = pc.equal(batch.column("kind"), "d")
+            yield batch.filter(lists)
+            for row in batch.filter(pc.invert(lists)).to_pylist():
+                rows.append(row)
+                held += len(row["hashes"]) // 8
+                if held >= gathered:
+                    yield dealt(rows)
+                    rows, held = [], 0
+        if rows:
+            yield dealt(rows)
+
+    return run
+
+
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for each block the positions of windows that other blocks hold too; a block's list of documents passes through."""
     windows = rows[rows.kind == "w"]
     out = [rows[rows.kind == "d"]]
-    if len(windows) > 1:
+    if len(windows):
         parts = [np.frombuffer(x, np.uint64) for x in windows.hashes]
         keys = np.concatenate(parts)
         order = np.argsort(keys)
@@ -115,11 +169,14 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         several = np.zeros(len(keys), bool)
         several[order[1:]] |= same
         several[order[:-1]] |= same
-        ends = np.cumsum([len(p) for p in parts])
+        names = [n for blocks in windows.block for n in blocks.split(",")]
+        sizes = np.concatenate([[len(p)] if x is None else np.frombuffer(x, np.uint32) for x, p in zip(windows.lengths, parts, strict=True)])
+        ends = np.cumsum(sizes)
+        positions = np.concatenate([_unpack(x) for x in windows.positions])
         found = []
-        for block, positions, lo, hi in zip(windows.block, windows.positions, [0, *ends[:-1]], ends, strict=True):
+        for block, lo, hi in zip(names, [0, *ends[:-1]], ends, strict=True):
             if (hit := several[lo:hi]).any():
-                found.append((block, "p", _pack(_unpack(positions)[hit])))
+                found.append((block, "p", _pack(positions[lo:hi][hit])))
         out.append(pd.DataFrame(found, columns=["block", "kind", "positions"]))
     return pd.concat(out)[["block", "kind", "positions", "doc_ids", "text_keys", "n_words"]].replace({np.nan: None})
 
@@ -144,18 +201,21 @@ def _covered(window: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, window_target: int = WINDOW_TARGET, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_intervals(docs: DataFrame, window: int = WINDOW, window_target: int = WINDOW_TARGET, block_words: int = BLOCK_WORDS, gathered: int = GATHERED, fan: int = FAN) -> DataFrame:
     """For each different (doc_id, text): n_words, n_removed and the maximal intervals of words to remove (starts, ends; ends exclusive).
 
     docs: doc_id, text; other columns are ignored. A null text has no words; a null
     doc_id is a value like any other; rows that repeat are repeats of each other. Texts shorter than the window lose
-    nothing. An empty table gives an empty result.
+    nothing. A long text is a block of its own and takes memory in proportion to its words. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(shuffle_partitions(spark), chars // (6 * window_target) + 1)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    packed = plain.mapInArrow(_hashed(window, n_buckets, block_words), _RECORD)
+    # Sorted, a partition that is computed again after a lost executor is dealt into the same blocks, whatever order its rows come in.
+    packed = plain.sortWithinPartitions("doc_id", "text_key").mapInArrow(_hashed(window, n_buckets, block_words, fan), _RECORD)
+    if (per := _per_row(n_buckets, fan)) > 1:
+        packed = packed.repartition("bucket").mapInArrow(_redealt(per, gathered), _RECORD)
     back = packed.groupBy("bucket").applyInPandas(_shared, "block string, kind string, positions binary, doc_ids array<long>, text_keys array<long>, n_words array<long>")
     found = back.groupBy("block").applyInPandas(_covered(window), "doc_id long, text_key long, n_words long, n_removed long, starts array<int>, ends array<int>")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
-from tessera.llm.substring_dedup import kept_digests, remove_repeats
+import numpy as np
+
+from tessera.llm.substring_dedup import FAN, _block_rows, kept_digests, remove_repeats
 
 
 def brute(rows, window):
@@ -34,6 +36,31 @@ def test_against_brute_force(spark):
         assert got == brute(rows, params.get("window", 35))
 
 
+def test_two_exchanges_give_the_same(spark):
+    rows = sample()
+    want = brute(rows, 35)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for own in ({"window_target": 20, "block_words": 500, "fan": 7}, {"window_target": 20, "block_words": 2000, "gathered": 50, "fan": 2}):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in kept_digests(df, **own).collect()), key=str)
+        assert got == want
+
+
+def test_bytes_of_a_window_do_not_grow_with_the_buckets():
+    r = np.random.default_rng(2)
+    words = r.integers(0, 1 << 62, 1_500_000).astype(np.uint64)
+    docs = [(k, k, 400) for k in range(3750)]
+    size = lambda n: sum(len(x["hashes"]) + len(x["positions"]) + len(x["subs"] or b"") + 40 for x in _block_rows("0-0", docs, words, 35, n) if x["kind"] == "w") / (3750 * 366)
+    few, many = size(5_000), size(166_000)
+    assert many < 1.2 * few and sum(1 for _ in _block_rows("0-0", docs, words, 35, 10_000_000)) <= FAN + 1
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long), (2, "x " + long[:400] + " y"), (3, "z")]
+    got = sorted((r.doc_id, r.n_removed) for r in kept_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, n) for i, _, n, _ in brute(rows, 35)]
+
+
 def test_empty_table_and_texts(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert kept_digests(df).collect() == []
