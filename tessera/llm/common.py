@@ -21,12 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this session where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on this machine (tests), a folder of this session."""
     jsc = spark.sparkContext._jsc.sc()
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return jsc.getCheckpointDir().get()
 
