@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import classify, packs
+from ..operators import packs
 from ..sources import captions
 from .registry import query
 
@@ -80,68 +80,6 @@ def canonical_digests(t):
     return t.documents.select("doc_id", F.sha2(record, 256).alias("digest"))
 
 
-def _paths(t):
-    """Each part's name as a path: its type's words are directories, its brand decides the suffix."""
-    names = F.array(*map(F.lit, ["main.py", "README.md", "package.json", "app.min.js", ".env", "id_rsa", "test_x.go", "conf.yaml", "logo.png", "Makefile"]))
-    directory = F.lower(F.translate("p_type", " ", "/"))
-    top = F.when(F.col("p_size") % 7 == 0, "vendor/").when(F.col("p_size") % 11 == 0, "docs/").when(F.col("p_size") % 13 == 0, "build/").otherwise("")
-    path = F.concat(top, directory, F.lit("/"), F.get(names, (F.col("p_partkey") % 10).cast("int")))
-    return t.part.select("p_partkey", path.alias("path"), F.floor("p_retailprice").cast("long").alias("size"))
-
-
-_PATHS = """paths AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'vendor/' WHEN p_size % 11 = 0 THEN 'docs/' WHEN p_size % 13 = 0 THEN 'build/' ELSE '' END || lower(translate(p_type, ' ', '/')) || '/' ||
-(['main.py', 'README.md', 'package.json', 'app.min.js', '.env', 'id_rsa', 'test_x.go', 'conf.yaml', 'logo.png', 'Makefile'])[p_partkey % 10 + 1] AS path, CAST(floor(p_retailprice) AS BIGINT) AS size FROM part)"""
-_VENDOR = "path LIKE 'vendor/%'"
-_GENERATED = "(path LIKE 'build/%' OR path LIKE '%.min.js')"
-_SECRET = "(path LIKE '%/.env' OR path LIKE '%/id_rsa')"
-
-
-@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN path LIKE '%/Makefile' THEN 'Makefile' WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.md' THEN 'Markdown' WHEN path LIKE '%.json' THEN 'JSON' WHEN path LIKE '%.js' THEN 'JavaScript' WHEN path LIKE '%.go' THEN 'Go' WHEN path LIKE '%.yaml' THEN 'YAML' ELSE 'Text' END AS language,
-CASE WHEN path LIKE '%/package.json' THEN 'manifest' WHEN path LIKE '%.md' OR path LIKE 'docs/%' THEN 'documentation' WHEN path LIKE '%/test_x.go' THEN 'test' WHEN path LIKE '%.yaml' OR path LIKE '%/.env' THEN 'configuration' WHEN path LIKE '%.png' THEN 'asset' ELSE 'source' END AS role FROM paths""")
-def languages_and_roles(t):
-    return _paths(t).select("p_partkey", classify.language(F.col("path")).alias("language"), classify.role(F.col("path")).alias("role"))
-
-
-@query(f"""WITH {_PATHS}, r AS (SELECT *, CASE WHEN path LIKE '%/package.json' THEN 'manifest' WHEN path LIKE '%.md' OR path LIKE 'docs/%' THEN 'documentation' WHEN path LIKE '%/test_x.go' THEN 'test' WHEN path LIKE '%.yaml' OR path LIKE '%/.env' THEN 'configuration' WHEN path LIKE '%.png' THEN 'asset' ELSE 'source' END AS role FROM paths)
-SELECT p_partkey, CASE role WHEN 'manifest' THEN 100 WHEN 'documentation' THEN 90 WHEN 'configuration' THEN 75 WHEN 'source' THEN 60 WHEN 'test' THEN 45 ELSE 10 END AS priority FROM r""")
-def priorities(t):
-    return _paths(t).select("p_partkey", classify.looked_up(classify.role(F.col("path")), classify.PRIORITY, 20).alias("priority"))
-
-
-@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN NOT (path LIKE '%.py' OR path LIKE 'docs/%' OR path LIKE '%brass%') OR path LIKE 'promo/%' THEN 'outside_scope' WHEN {_VENDOR} OR {_GENERATED} THEN 'vendor_or_generated_directory' WHEN {_SECRET} THEN 'secret_prone' WHEN size > 1500 THEN 'large_file' WHEN size = 0 THEN 'empty' END AS reason FROM paths""")
-def exclusion_reasons(t):
-    path = F.col("path")
-    scope = classify.in_scope(path, ["*.py", "docs", "*brass*"], ["promo"])
-    return _paths(t).select("p_partkey", classify.exclusion(path, F.col("size"), 1500, scope).alias("reason"))
-
-
-@query(f"""WITH {_PATHS}, c AS (SELECT *, {_VENDOR} AS v, NOT {_VENDOR} AND {_GENERATED} AS g, {_SECRET} AS s FROM paths)
-SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (NOT v AND NOT g AND NOT s) AS eligible, count(*) FILTER (v) AS vendored, count(*) FILTER (g) AS generated, count(*) FILTER (s) AS secret_prone, count(DISTINCT path) AS paths FROM c""")
-def scan_coverage(t):
-    path = F.col("path")
-    rows = _paths(t).select("path", "size", classify.vendored(path).alias("v"), classify.generated(path).alias("g"), classify.secret_prone(path).alias("s"))
-    return rows.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(~F.col("v") & ~F.col("g") & ~F.col("s")).alias("eligible"), F.count_if("v").alias("vendored"), F.count_if("g").alias("generated"), F.count_if("s").alias("secret_prone"), F.countDistinct("path").alias("paths"))
-
-
-@query(f"""WITH {_PATHS} SELECT lower(path) AS folded, count(DISTINCT path) AS spellings, count(*) AS n, sha256(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS manifest FROM paths GROUP BY lower(path)""")
-def manifest_digests(t):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: k.cast("string")), ",")
-    return _paths(t).groupBy(F.lower("path").alias("folded")).agg(F.countDistinct("path").alias("spellings"), F.count("*").alias("n"), F.sha2(keys, 256).alias("manifest"))
-
-
-_ASSIGN = r"(?i)\b((?:api[_-]?key|secret|token|password|passwd)\s*[:=]\s*[\"'']?)([A-Za-z0-9_/+.-]{8,})"
-
-
-@query(f"SELECT doc_id, sha256(regexp_replace(text, '{_ASSIGN}', '\\1[REDACTED]', 'g')) AS redacted, CAST(len(regexp_extract_all(text, '{_ASSIGN}')) AS BIGINT) AS found FROM documents")
-def redacted_credentials(t):
-    return t.documents.select("doc_id", F.sha2(classify.redacted(F.col("text")), 256).alias("redacted"), F.regexp_count("text", F.lit(classify.ASSIGNMENT)).cast("long").alias("found"))
-
-
-@query()
-def credentials_by_source(t):
-    return t.documents.groupBy("source").agg(F.sum(classify.credentials(F.col("text"))).alias("credentials"))
-
-
 @query("""SELECT doc_id, (generate_subscripts(l, 1) - 1) // 5 AS chunk_index, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def lines_in_chunks_of_five(t):
     rows = captions.numbered(t.documents, "doc_id", "text")
