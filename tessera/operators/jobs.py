@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Which status of several a project shows.
 PRECEDENCE = ["running", "canceled", "failed", "complete", "partial", "new"]
 
@@ -34,12 +36,45 @@ def changed(events: DataFrame, by: list[str], order: list[Column], value: str) -
     return rows.where(~F.col("__was").eqNullSafe(F.col(value)) | (F.col("__n") == 1)).drop("__was", "__n")
 
 
-def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, include: bool) -> DataFrame:
-    """node: what is reachable from the seeds along edges (src, dst), as a recursive query; for step graphs."""
-    edges.createOrReplaceTempView("__edges")
-    seeds.createOrReplaceTempView("__seeds")
-    found = spark.sql("WITH RECURSIVE reached(node) AS (SELECT node FROM __seeds UNION ALL SELECT e.dst FROM reached r JOIN __edges e ON e.src = r.node) SELECT DISTINCT node FROM reached")
-    return found if include else found.join(seeds, "node", "left_anti")
+def closure(edges: DataFrame, seeds: DataFrame, include: bool) -> DataFrame:
+    """node: what is reachable from the seeds along edges (src, dst), with or without the seeds.
+
+    Each round joins the newest nodes alone with the edges and keeps those not reached yet, so that it ends on cycles too, after as many rounds as
+    the longest of the shortest paths has steps.
+    """
+    seeds = written(seeds.select("node").distinct(), "seeds")
+    edges, reached, newest = edges.select("src", "dst"), seeds, seeds
+    while True:
+        next_ = newest.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        newest = written(next_.join(reached, "node", "left_anti"), "reached")
+        if newest.isEmpty():
+            return reached if include else reached.join(seeds, "node", "left_anti")
+        reached = reached.union(newest)
+
+
+def transitions(jobs: DataFrame, wanted: DataFrame, allowed: dict[str, list[str]], key: str = "id") -> DataFrame:
+    """jobs with status and moved: compare and set. wanted: key, expected, target; a job moves if its status is the expected one and may become the target."""
+    legal = F.lit(False)
+    for state, targets in allowed.items():
+        legal = legal | ((F.col("status") == state) & F.col("target").isin(targets))
+    joined = jobs.join(wanted, key, "left").withColumn("moved", F.coalesce((F.col("status") == F.col("expected")) & legal, F.lit(False)))
+    return joined.withColumn("status", F.when(F.col("moved"), F.col("target")).otherwise(F.col("status"))).drop("expected", "target")
+
+
+def scheduled(steps: DataFrame, edges: DataFrame, failing: DataFrame, most_rounds: int) -> DataFrame:
+    """step, state, round: a run of the step graph in rounds. In each, what is ready runs and is done, or fails if it is among failing; what needs a failed
+    step fails in the next round with it. edges: (step, needs). Steps that nothing allows to run stay pending.
+    """
+    failing = failing.select(F.col("step").alias("fails"))
+    now = written(steps.select("step", "state", F.lit(0).alias("round")), "steps")
+    for k in range(1, most_rounds + 1):
+        states = ready(now, edges).withColumnRenamed("state", "turn").where("turn <> 'waiting'")
+        if states.isEmpty():
+            break
+        moved = now.join(states, "step", "left").join(failing, F.col("step") == F.col("fails"), "left")
+        state = F.when(F.col("turn") == "blocked", "failed").when((F.col("turn") == "ready") & F.col("fails").isNotNull(), "failed").when(F.col("turn") == "ready", "done").otherwise(F.col("state"))
+        now = written(moved.select("step", state.alias("state"), F.when(F.col("turn").isNotNull(), k).otherwise(F.col("round")).alias("round")), "steps")
+    return now
 
 
 def ready(steps: DataFrame, edges: DataFrame) -> DataFrame:

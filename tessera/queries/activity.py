@@ -105,13 +105,13 @@ def _edges(t):
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey IN (1, 4) UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r WHERE node NOT IN (1, 4)")
 def downstream_steps(t):
     seeds = t.nation.where("n_nationkey IN (1, 4)").select(F.col("n_nationkey").alias("node"))
-    return jobs.closure(t.spark, _edges(t), seeds, include=False)
+    return jobs.closure(_edges(t), seeds, include=False)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey IN (17, 22) UNION SELECT src FROM r JOIN edges ON dst = node) SELECT node FROM r")
 def prerequisites_of_steps(t):
     seeds = t.nation.where("n_nationkey IN (17, 22)").select(F.col("n_nationkey").alias("node"))
-    return jobs.closure(t.spark, _edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, include=True)
+    return jobs.closure(_edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, include=True)
 
 
 @query(f"""WITH {_EDGES}, s AS (SELECT n_nationkey AS step, CASE WHEN n_nationkey < 5 THEN 'done' WHEN n_nationkey = 6 THEN 'failed' ELSE 'pending' END AS state FROM nation),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..sources.shared import place
+
 
 def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of Parquet files as they arrive, with ts as an instant."""
@@ -34,11 +34,22 @@ def fenced(results: DataFrame, running: DataFrame) -> DataFrame:
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once all that is there now has been read: its last complete or all its appended rows, as a table in memory (for small results)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives once all that is there now has been read: its last complete rows, or all that it appended or updated.
+
+    Batches are written to the shared folder, with the stream's checkpoint beside them; nothing passes through the driver.
+    """
+    spark, path = rows.sparkSession, place(rows.sparkSession, "drained")
+    last = [-1]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[0] = max(last[0], number)
+
+    run = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return rows.sparkSession.table(name)
+    if last[0] < 0:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{path}/batch={last[0]}" if mode == "complete" else f"{path}/batch=*")
 
 
 def fixed_states(events: DataFrame, terminal: list[str]) -> DataFrame:

@@ -39,7 +39,9 @@ def test_fence_and_claims(spark):
 def test_steps(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "node string")
-    assert sorted(r.node for r in logs.closure(spark, edges, seeds, include=False).collect()) == ["b", "c"]
+    assert sorted(r.node for r in logs.closure(edges, seeds, include=False).collect()) == ["b", "c"]
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("c", "d")], "src string, dst string")
+    assert sorted(r.node for r in logs.closure(loop, seeds, include=True).collect()) == ["a", "b", "c", "d"]
     steps = spark.createDataFrame([("a", "done"), ("b", "pending"), ("c", "pending"), ("d", "failed"), ("e", "pending"), ("f", "pending")], "step string, state string")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d"), ("e", "a")], "step string, needs string")
     assert dict(map(tuple, logs.ready(steps, needs).collect())) == {"b": "ready", "c": "waiting", "e": "blocked", "f": "ready"}
