@@ -34,10 +34,14 @@ def merged(entries: DataFrame, by: list[str], order: str, texts: list[str], ids:
 
 
 def resolved(names: DataFrame, targets: DataFrame, key: str, kind: str, slug: str, target: str) -> DataFrame:
-    """key, target of each name: the target of its own kind with its slug, else the least target of any kind with it."""
-    both = names.join(targets.withColumnRenamed(kind, "__kind"), slug)
-    order = F.struct(F.when(F.col(kind) == F.col("__kind"), 0).otherwise(1), F.col(target))
-    return both.groupBy(key).agg(F.min_by(target, order).alias(target))
+    """key, target of each name: the least target of its own kind with its slug, else the least target of any kind with it.
+
+    Targets are reduced before names meet them, so that a name costs one row however many targets share its slug.
+    """
+    own = targets.groupBy(kind, slug).agg(F.min(target).alias("__own"))
+    any_ = targets.groupBy(slug).agg(F.min(target).alias("__any"))
+    found = names.join(any_, slug).join(own, [kind, slug], "left")
+    return found.select(key, F.coalesce("__own", "__any").alias(target)).groupBy(key).agg(F.min(target).alias(target))
 
 
 def unbroken(chain: DataFrame, by: list[str], order: str, good: Column) -> DataFrame:
@@ -53,8 +57,10 @@ def capped(facts: DataFrame, by: list[str], order: list[Column], each: int) -> D
 
 
 def occurrences(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """rows with nth: how often the same identity came before."""
-    return rows.withColumn("nth", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    """rows with nth: how often the same identity came before. Rows are dealt and sorted by a 64-bit hash first; identities decide where hashes are equal."""
+    rows = rows.withColumn("__hash", F.xxhash64(*by))
+    w = Window.partitionBy("__hash", *by).orderBy(*order)
+    return rows.withColumn("nth", (F.row_number().over(w) - 1).cast("long")).drop("__hash")
 
 
 def collisions(paths: DataFrame, path: str) -> DataFrame:
@@ -69,3 +75,34 @@ def host_matches(cookies: DataFrame, hosts: DataFrame, domain: str, host: str) -
     labels = F.split(F.col(host), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
     return hosts.withColumn("__suffix", F.explode(suffixes)).join(cookies, F.col("__suffix") == F.col(domain)).drop("__suffix")
+
+
+def holders(docs: DataFrame, passages: DataFrame, key: str, passage: str, text: str, cue: int = 6) -> DataFrame:
+    """key, passage of texts that hold a passage, character by character.
+
+    A passage's first and last words may be parts of words in a text; those between are whole. The first `cue` of these (or as many as
+    there are) join with the texts' word windows of that length; what joins is compared whole. Passages of fewer than three words have none and
+    are compared with every text: they must be few.
+    """
+    words = F.split(text, " ")
+    cued = passages.select(passage, F.col(text).alias("__passage"), F.least(F.lit(cue), F.size(words) - 2).alias("__n"), words.alias("__w"))
+    cued = cued.withColumn("cue", F.when(F.col("__n") > 0, F.array_join(F.slice("__w", F.lit(2), F.greatest(F.col("__n"), F.lit(1))), " "))).drop("__w")
+    sizes = [r[0] for r in cued.where("__n > 0").select("__n").distinct().collect()]  # `cue` numbers at most
+    found = None
+
+    def windows(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    for n in sizes:
+        each = docs.select(key, F.explode(F.array_distinct(windows(n))).alias("cue"))
+        hits = each.join(cued.where(F.col("__n") == n), "cue").select(key, passage, "__passage")
+        found = hits if found is None else found.union(hits)
+    short = cued.where("__n <= 0").select(passage, "__passage")
+    few = short.limit(1001).count()
+    if few > 1000:
+        raise ValueError("more than 1000 passages of fewer than three words")
+    pairs = None if found is None else found.distinct().join(docs.select(key, text), key).where(F.contains(text, F.col("__passage"))).select(key, passage)
+    if few or pairs is None:
+        rest = docs.join(F.broadcast(short), F.contains(text, F.col("__passage"))).select(key, passage)
+        pairs = rest if pairs is None else pairs.union(rest)
+    return pairs.distinct()

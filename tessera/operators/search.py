@@ -10,6 +10,8 @@ from ..functions.vectors import cosine
 
 #: BM25's usual constants, and the offset of reciprocal-rank fusion.
 K1, B, OFFSET = 1.2, 0.75, 60
+#: Vectors that are searched for at once, at most: 10,000 of 1,024 dimensions are 40 MB.
+MOST_QUERIES = 10_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,14 +42,18 @@ def ranked(docs: DataFrame, queries: DataFrame, most: int, key: str = "doc_id")
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", key, "rank", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, most: int, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, vec_id, rank of the vectors with the largest positive cosines; ties by descending vec_id.
 
-    queries: query_id, query (array); a stated, bounded set, so it goes to every task.
+    queries: query_id, query (array), a stated set that is checked to be of at most MOST_QUERIES before it goes to every task; allowed: query_id, vec_id,
+    to which the search is restricted before it ranks. Each partition keeps its best `most` of each query before rows move.
     """
-    both = vectors.crossJoin(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6))
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} vectors to search for at once; deal them in several calls")
+    both = vectors.crossJoin(F.broadcast(queries)) if allowed is None else vectors.join(allowed, "vec_id").join(F.broadcast(queries), "query_id")
+    scored = both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
-    return both.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= most) & (F.col("score") > 0)).select("query_id", "vec_id", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "vec_id", "rank")
 
 
 def fused(lists: list[tuple[DataFrame, float]], key: str, by: list[str] | None = None) -> DataFrame:
@@ -60,6 +66,12 @@ def fused(lists: list[tuple[DataFrame, float]], key: str, by: list[str] | None =
     return whole.groupBy(*by, key).agg(F.sum("part").alias("score"))
 
 
+def best(scored: DataFrame, most: int, tie: list[str], by: str = "query_id") -> DataFrame:
+    """scored with rank: the `most` (from 1 to 50) best rows of each query, ties by the columns given."""
+    w = Window.partitionBy(by).orderBy(F.desc("score"), *tie)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= clamped(most, 1, 50))
+
+
 def clamped(n: int, low: int, high: int) -> int:
     return max(low, min(high, n))
 

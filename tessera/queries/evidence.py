@@ -36,11 +36,13 @@ def merged_topics(t):
     return out.select("topic", "title", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@query("""SELECT c_custkey, coalesce(min(s_suppkey) FILTER (s_nationkey = c_nationkey), min(s_suppkey)) AS s_suppkey FROM customer JOIN supplier ON s_suppkey % 50 = c_custkey % 50 GROUP BY c_custkey""")
+@query("""WITH n AS (SELECT DISTINCT p_partkey, lower(split_part(p_name, ' ', 1)) AS slug, p_size % 3 AS kind FROM part), g AS (SELECT p_partkey AS target, lower(split_part(p_name, ' ', 1)) AS slug, p_size % 4 AS kind FROM part WHERE p_size < 20)
+SELECT p_partkey, coalesce((SELECT min(target) FROM g WHERE g.slug = n.slug AND g.kind = n.kind), (SELECT min(target) FROM g WHERE g.slug = n.slug)) AS target FROM n WHERE slug IN (SELECT slug FROM g)""")
 def resolved_entities(t):
-    names = t.customer.select("c_custkey", F.col("c_nationkey").alias("kind"), (F.col("c_custkey") % 50).alias("slug"))
-    targets = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("kind"), (F.col("s_suppkey") % 50).alias("slug"))
-    return evidence.resolved(names, targets, "c_custkey", "kind", "slug", "s_suppkey")
+    slug = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("slug")
+    names = t.part.select("p_partkey", slug, (F.col("p_size") % 3).alias("kind"))
+    targets = t.part.where("p_size < 20").select(F.col("p_partkey").alias("target"), slug, (F.col("p_size") % 4).alias("kind"))
+    return evidence.resolved(names, targets, "p_partkey", "kind", "slug", "target")
 
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, bool_and(o_orderstatus <> 'P') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS good FROM orders) WHERE good""")
@@ -68,12 +70,12 @@ def path_collisions(t):
 _HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 
 
-@query(f"""WITH d AS (SELECT DISTINCT regexp_extract({_HOST}, '([^.]+[.][^.]+)$', 1) AS domain FROM pages WHERE page_id % 2 = 0)
+@query(f"""WITH d AS (SELECT DISTINCT regexp_extract({_HOST}, '([^.]+[.][^.]+)$', 1) AS domain FROM pages)
 SELECT page_id, domain FROM pages JOIN d ON {_HOST} = domain OR {_HOST} LIKE '%.' || domain""")
 def hosts_below_domains(t):
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
     hosts = t.pages.select("page_id", host.alias("host"))
-    domains = t.pages.where("page_id % 2 = 0").select(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain")).distinct()
+    domains = t.pages.select(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain")).distinct()
     return evidence.host_matches(domains, hosts, "domain", "host").select("page_id", "domain")
 
 
@@ -154,9 +156,4 @@ def last_lines(t):
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def documents_that_hold_passages(t):
-    """Passages are found by their first eight words, as an equi-join on word windows, and then verified whole."""
-    words = lambda c: F.split(c, " ")
-    cues = t.benchmark.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 6), " ").alias("cue"))
-    windows = t.documents.select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words(F.col("text"))) - 5)), lambda i: F.array_join(F.slice(words(F.col("text")), i, 6), " "))).alias("cue"))
-    hits = windows.select("doc_id", "cue").distinct().join(cues, "cue").select("doc_id", "item_id", "passage").distinct()
-    return hits.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return evidence.holders(t.documents, t.benchmark, "doc_id", "item_id", "text")
