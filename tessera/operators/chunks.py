@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,20 @@ def overlapping(text: str, size: int, overlap: int) -> list[str]:
     return [*out, held.strip()] if held.strip() else out
 
 
+def with_trailing_lines(text: str, size: int, overlap: int) -> list[str]:
+    """Chunks of whole lines of at most `size` characters (a longer line is a chunk's last); each repeats the whole lines, of at most `overlap` characters together, that ended the one before."""
+    if len(text) <= size:
+        return [text]
+    lines = text.splitlines(keepends=True)
+    ends = [0, *accumulate(map(len, lines))]
+    out, first, new = [], 0, 0  # a chunk's first line, and the first of its lines that is new
+    while new < len(lines):
+        stop = max(new + 1, bisect_right(ends, ends[first] + size) - 1)
+        out.append(text[ends[first] : ends[stop]])
+        first, new = max(first, bisect_left(ends, ends[stop] - overlap)), stop
+    return out
+
+
 def lossless(text: str, size: int) -> list[str]:
     """Pieces of at most `size` characters that join to the text: cut at a blank line, line end or blank in a window's second half, else at its end."""
     out, at = [], 0
@@ -51,3 +67,8 @@ def overlapping_chunks(docs: DataFrame, key: str, text: str, size: int = 1800, o
 def lossless_chunks(docs: DataFrame, key: str, text: str, size: int = 12_000) -> DataFrame:
     """key, chunk_index, anchor, body; a text's bodies join to the text."""
     return _each(docs, key, text, lambda t: lossless(t, size))
+
+
+def trailing_line_chunks(docs: DataFrame, key: str, text: str, size: int = 24_000, overlap: int = 500) -> DataFrame:
+    """key, chunk_index, anchor, body; see with_trailing_lines."""
+    return _each(docs, key, text, lambda t: with_trailing_lines(t, size, overlap))

@@ -20,10 +20,16 @@ def item_id(field: Column, text: Column, ids: Column) -> Column:
     return F.concat(F.lit("I-"), F.substring(F.sha2(F.concat_ws("\x1f", field, text, F.array_join(F.array_sort(F.array_distinct(ids)), ",")), 256), 1, 20))
 
 
-def cumulative(events: DataFrame, by: list[str], order: list[Column], value: str, most: int) -> DataFrame:
-    """events with state: the different values so far in order of first appearance, at most so many kept."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("state", F.slice(F.array_distinct(F.collect_list(value).over(w)), 1, most))
+def cumulative(events: DataFrame, by: list[str], order: list[str], value: str, most: int) -> DataFrame:
+    """events with state: the first `most` different values so far, in order of first appearance.
+
+    A group is reduced to its first `most` values and when they first came, which a row then cuts at its own time.
+    """
+    first = events.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(F.struct(*order)).alias("__first"))
+    ranked = first.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__first", value))).where(F.col("__n") <= most)
+    lists = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__first", F.col(value).alias("__value")))).alias("__list"))
+    so_far = F.filter("__list", lambda x: x["__first"] <= F.struct(*order))
+    return events.join(lists, by, "left").withColumn("state", F.coalesce(F.transform(so_far, lambda x: x["__value"]), F.array())).drop("__list")
 
 
 def as_of(times: DataFrame, versions: DataFrame, key: str, at: str, stamp: str, value: str) -> DataFrame:

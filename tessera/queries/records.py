@@ -22,7 +22,7 @@ def stable_item_ids(t):
 
 @query("""SELECT o_custkey, o_orderkey, (SELECT string_agg(p, ',' ORDER BY k) FROM (SELECT b.o_orderpriority AS p, min(b.o_orderkey) AS k FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey <= a.o_orderkey GROUP BY 1 ORDER BY k LIMIT 3)) AS state FROM orders a""")
 def cumulative_memory(t):
-    rows = records.cumulative(t.orders, ["o_custkey"], [F.asc("o_orderkey")], "o_orderpriority", 3)
+    rows = records.cumulative(t.orders, ["o_custkey"], ["o_orderkey"], "o_orderpriority", 3)
     return rows.select("o_custkey", "o_orderkey", F.array_join("state", ",").alias("state"))
 
 
