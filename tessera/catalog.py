@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import activity, evidence, library, maintenance, pipelines, planning, records, retrieval, scan, texts, views  # noqa: F401  each registers its queries
+from .queries import activity, evidence, library, maintenance, pipelines, planning, records, retrieval, scan, shapes, texts, views  # noqa: F401  each registers its queries
 from .queries.registry import QUERIES, SQL
 
 FLAGSHIP = "ranked_search"
