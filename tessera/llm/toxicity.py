@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,10 +49,18 @@ _ADDRESS = re.compile(rf"\byou(?:'re| are)?\W+(?:\w+\W+){{0,3}}?(?:{_INSULTS})s?
 _SHOUTING = re.compile(r"[A-Z]{3,}\W+[A-Z]{3,}\W+[A-Z]{3}")
 
 
+def words_of(text: str | None) -> set[str]:
+    """The text's different words in lower case."""
+    return set(_WORD.findall((text or "").lower()))
+
+
+def features_of_word(word: str) -> list[str]:
+    """The word, and its beginnings as '4:...' and '5:...'."""
+    return [word, *(f"{k}:{word[:k]}" for k in BEGINNINGS if len(word) >= k)]
+
+
 def features_of(text: str | None) -> set[str]:
-    """The text's different words in lower case, and beginnings of words as '4:...' and '5:...'."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words.union(*({f"{k}:{w[:k]}" for w in words if len(w) >= k} for k in BEGINNINGS))
+    return {f for w in words_of(text) for f in features_of_word(w)}
 
 
 def place(feature: str) -> int:
@@ -64,22 +73,21 @@ def _places(features: pd.Series) -> pd.Series:
 
 
 class Places(dict):
-    """Places of features that have one in `used`, else -1; remembered up to a number of features."""
+    """For a word the places of its features that are in `used`; remembered up to a number of words."""
 
     def __init__(self, used: np.ndarray, most: int = 500_000):
         super().__init__()
         self.used, self.most = used, most
 
-    def __missing__(self, feature: str) -> int:
-        at = place(feature)
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        self[feature] = at = at if self.used[at] else -1
-        return at
+        self[word] = own = tuple(at for at in map(place, features_of_word(word)) if self.used[at])
+        return own
 
-    def of(self, features: set[str]) -> list[int]:
-        """The places of the features that have one, ascending."""
-        return sorted({at for at in map(self.__getitem__, features) if at >= 0})
+    def of(self, words: set[str]) -> list[int]:
+        """The places of the words' features that have one, ascending."""
+        return sorted(set(chain.from_iterable(filter(None, map(self.__getitem__, words)))))
 
 
 class Votes:
@@ -88,8 +96,8 @@ class Votes:
     def __init__(self, mined: np.ndarray):
         self.fixed, self.mined = [set(x.split()) for x in LEXICONS.values()], mined.tolist()
 
-    def of(self, text: str | None, features: set[str], places: list[int]) -> list[int]:
-        votes = [int(not words.isdisjoint(features)) for words in self.fixed]
+    def of(self, text: str | None, words: set[str], places: list[int]) -> list[int]:
+        votes = [int(not own.isdisjoint(words)) for own in self.fixed]
         lists = {self.mined[at] for at in places}
         votes += [int(i in lists) for i in range(MINED)]
         text = text or ""
@@ -197,7 +205,7 @@ def _voted(used: np.ndarray, mined: np.ndarray):
         for rows in batches:
             votes, lists = [], []
             for text, some in zip(rows.text, rows.sampled, strict=True):
-                own = features_of(text)
+                own = words_of(text)
                 at = places.of(own)
                 votes.append(voters.of(text, own, at))
                 lists.append(np.array(at, np.uint32).tobytes() if some else None)
@@ -219,7 +227,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Labels whose doc_id or toxic is null are left out; of labels that disagree, toxic counts.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = scratch(docs.select("doc_id", "text").join(labels, "doc_id"), "labelled")
+    # Dealt by doc_id at every size: labels grow with the corpus and aren't broadcast.
+    labelled = scratch(docs.select("doc_id", "text").hint("merge").join(labels, "doc_id"), "labelled")
     seen = labelled.select("text", "toxic").mapInPandas(_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = labelled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (sizes.bad or 0) + 1.0, (sizes.good or 0) + 1.0
@@ -267,7 +276,7 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = Places(used)
         for rows in batches:
-            sums = np.array([weights[places.of(features_of(t))].sum() for t in rows.text], float)
+            sums = np.array([weights[places.of(words_of(t))].sum() for t in rows.text], float)
             score = 1 / (1 + np.exp(-np.clip(sums + bias, -50, 50)))
             yield rows.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(int))
 

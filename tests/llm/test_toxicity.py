@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pandas as pd
 
-from tessera.llm.toxicity import PLACES, LabelModel, Places, Votes, features_of, fit_linear, held_out_scores, learned, place
+from tessera.llm.toxicity import PLACES, LabelModel, Places, Votes, features_of, fit_linear, held_out_scores, learned, place, words_of
 
 
 def test_label_model_finds_accuracies_without_labels_and_discounts_twins():
@@ -32,15 +32,15 @@ def test_features_and_votes():
     assert features_of(None) == features_of("") == set()
     mined = np.full(PLACES, -1, np.int8)
     mined[[place("4:abcd"), place("zz")]] = 0, 1
-    vote = lambda text: Votes(mined).of(text, features_of(text), Places(mined >= 0).of(features_of(text)))
+    vote = lambda text: Votes(mined).of(text, words_of(text), Places(mined >= 0).of(words_of(text)))
     assert vote("you are such an idiot") == [1, 0, 0, 0, 0, 0, 0, 1, 0, 0]
     assert vote("abcde")[3:7] == [1, 0, 0, 0] and vote("zz abcde")[3:7] == [1, 1, 0, 0] and vote(None)[-1] == -1
 
 
 def test_address_takes_plurals():
     nothing = np.full(PLACES, -1, np.int8)
-    assert Votes(nothing).of("You are such idiots", features_of("You are such idiots"), [])[7] == 1
-    assert Votes(nothing).of("your idiots", features_of("your idiots"), [])[7] == 0
+    assert Votes(nothing).of("You are such idiots", words_of("You are such idiots"), [])[7] == 1
+    assert Votes(nothing).of("your idiots", words_of("your idiots"), [])[7] == 0
 
 
 def test_features_are_counted_over_all_labels_beyond_the_sample(spark):
