@@ -37,7 +37,12 @@ def lossless_pieces(t):
     return pieces.groupBy("doc_id").agg(F.sha2(joined, 256).alias("joined_hash"), (F.max(F.length("body")) <= 2000).alias("bounded"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(a, 1) AS r, len(a) AS n, unnest(a) AS line, generate_subscripts(a, 1) < len(a) AS more FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+x AS (SELECT doc_id, r, n, CASE WHEN more THEN line || chr(10) ELSE line END AS line FROM l), f AS (SELECT doc_id, r, n, line AS held, CAST(NULL AS VARCHAR) AS done, 0 AS k FROM x WHERE r = 1
+UNION ALL SELECT x.doc_id, x.r, x.n, CASE WHEN length(held) > 0 AND length(held) + length(line) > 1800 THEN right(trim(held, ' ' || chr(10) || chr(9)), 200) || line ELSE held || line END,
+CASE WHEN length(held) > 0 AND length(held) + length(line) > 1800 THEN trim(held, ' ' || chr(10) || chr(9)) END, CASE WHEN length(held) > 0 AND length(held) + length(line) > 1800 THEN k + 1 ELSE k END FROM f JOIN x ON x.doc_id = f.doc_id AND x.r = f.r + 1),
+o AS (SELECT doc_id, k - 1 AS chunk_index, done AS body FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, k, trim(held, ' ' || chr(10) || chr(9)) FROM f WHERE r = n AND trim(held, ' ' || chr(10) || chr(9)) <> '')
+SELECT doc_id, chunk_index, length(body) AS chars, sha256(body) AS body_hash FROM o""")
 def overlapping_pieces(t):
     pieces = chunks.overlapping_chunks(t.documents, "doc_id", "text")
     return pieces.select("doc_id", "chunk_index", F.length("body").alias("chars"), F.sha2("body", 256).alias("body_hash"))

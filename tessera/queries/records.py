@@ -97,8 +97,12 @@ def line_counts(t):
     return t.documents.groupBy("source").agg(F.sum(F.size(F.filter(lines, lambda x: F.trim(x) != ""))).alias("lines"), F.max(F.size(lines)).cast("long").alias("most"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text || ' ' || to_base64(unhex(sha256(text))) || ' ' || sha256(text) AS body FROM documents), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z0-9_+/=-]{32,200}'))) AS token FROM d),
+c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM w), n AS (SELECT doc_id, token, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc_id, token) AS total FROM c GROUP BY doc_id, token, c), e AS (SELECT doc_id, token, CAST(round(-sum(k / total * log2(k / total)) * 1000) AS BIGINT) AS millibits FROM n GROUP BY ALL)
+SELECT doc_id, max(millibits) AS millibits, count(*) AS tokens FROM e WHERE millibits >= 4300 GROUP BY doc_id""")
 def entropies_of_tokens(t):
-    """The most surprising long token of each document, by the entropy of its characters."""
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_+/=-]{32,200}"), F.lit(0)))).alias("token"))
+    """The most surprising long token of each document, by the entropy of its characters; bodies end with two digests."""
+    digest = F.sha2("text", 256)
+    body = F.concat_ws(" ", "text", F.base64(F.unhex(digest)), digest)
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit("[A-Za-z0-9_+/=-]{32,200}"), F.lit(0)))).alias("token"))
     return words.withColumn("millibits", F.round(fn.entropy(F.col("token")) * 1000).cast("long")).where("millibits >= 4300").groupBy("doc_id").agg(F.max("millibits").alias("millibits"), F.count("*").alias("tokens"))

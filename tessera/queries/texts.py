@@ -23,9 +23,13 @@ def slugs(t):
     return t.documents.select("doc_id", fn.slug(F.substring("text", 1, 100)).alias("slug"))
 
 
-@query()
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_name WHEN 2 THEN 'The ' || upper(p_name) || '! ' || split_part(p_name, ' ', 2) WHEN 3 THEN 'one two three four five' ELSE ' ' END AS name FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN 'the-' || replace(p_name, ' ', '-') END AS tag FROM part""")
 def cleaned_tags(t):
-    return t.part.select("p_partkey", fn.clean_tag(F.col("p_name")).alias("tag"))
+    """Names as they are, said twice, with marks and a repeated last word, with too many words, and empty."""
+    n = F.col("p_name")
+    names = [n, F.concat(n, F.lit(" "), n), F.concat(F.lit("The "), F.upper(n), F.lit("! "), F.split_part(n, F.lit(" "), F.lit(2))), F.lit("one two three four five"), F.lit(" ")]
+    return t.part.select("p_partkey", fn.clean_tag(F.get(F.array(*names), (F.col("p_partkey") % 5).cast("int"))).alias("tag"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]+(:[0-9]+)', 1) AS origin FROM pages")

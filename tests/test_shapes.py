@@ -2,6 +2,7 @@
 
 import random
 
+from tessera.functions.hosts import normalised
 from tessera.functions.shapes import ids_in, inert, loaded
 from tessera.operators.chunks import with_trailing_lines
 
@@ -39,3 +40,10 @@ def test_json_in_replies():
 def test_inert_markdown():
     assert inert("~~~js\n![x](y)\n<a>\n~~~\n<a>") == "~~~text\n[Image omitted for local-only safety: x]\n<a>\n~~~\n&lt;a&gt;"
     assert inert("``` a\n<x>\n````\n<y>") == "```text\n<x>\n````\n&lt;y&gt;" and inert(None) == ""
+
+
+def test_hosts():
+    allowed = {"8.8.8.8": "8.8.8.8", " Example.COM. ": "example.com", "bücher.example": "xn--bcher-kva.example", "2001:4860:4860::8888": "2001:4860:4860::8888", "64:ff9b::808:808": "64:ff9b::808:808"}
+    refused = ["10.0.0.1", "127.0.0.1", "169.254.169.254", "168.63.129.16", "::1", "::ffff:10.0.0.1", "64:ff9b::a00:1", "64:ff9b:1::1", "2002:a00:1::", "2001:0:53aa:64c::", "224.0.0.1", "printer", "localhost", "x.local", "-a.example", "a..b", "", None, "a%b.example"]
+    assert {h: normalised(h) for h in allowed} == allowed
+    assert [h for h in refused if normalised(h) is not None] == []
