@@ -73,17 +73,28 @@ def _places(features: pd.Series) -> pd.Series:
 
 
 class Places(dict):
-    """For a word the places of its features that are in `used`; remembered up to a number of words."""
+    """For a word the places of its features that are in `used`; words and their beginnings are remembered, each up to a number."""
 
     def __init__(self, used: np.ndarray, most: int = 500_000):
         super().__init__()
-        self.used, self.most = used, most
+        self.used, self.most = used.tobytes(), most
+        self.beginnings: dict[str, int] = {}
+
+    def _beginning(self, start: str) -> int:
+        at = place(f"{len(start)}:{start}")
+        if len(self.beginnings) >= self.most:
+            self.beginnings.clear()
+        self.beginnings[start] = at = at if self.used[at] else -1
+        return at
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        self[word] = own = tuple(at for at in map(place, features_of_word(word)) if self.used[at])
-        return own
+        known = self.beginnings
+        own = [known[start] if start in known else self._beginning(start) for start in (word[:k] for k in BEGINNINGS if len(word) >= k)]
+        at = place(word)
+        self[word] = both = tuple(x for x in (at if self.used[at] else -1, *own) if x >= 0)
+        return both
 
     def of(self, words: set[str]) -> list[int]:
         """The places of the words' features that have one, ascending."""
@@ -157,20 +168,18 @@ def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int =
     seen = np.zeros(n, bool)
     for r in rows:
         seen[r] = True
-    rank = np.cumsum(seen) - 1
-    k = int(seen.sum())
-    blocks = []  # rows that are worked on together: features, the row of each, beliefs
+    rank, k = np.cumsum(seen) - 1, int(seen.sum())
+    blocks = []  # rows that are worked on together: features, the bias (k) being every row's last, where rows begin, their lengths, beliefs
     for lo in range(0, len(rows), 1000):
-        some = rows[lo : lo + 1000]
-        blocks.append((rank[np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)].astype(np.int32), np.array([len(r) for r in some]), belief[lo : lo + 1000]))
+        some = [np.append(rank[np.asarray(r, np.int64)], k) for r in rows[lo : lo + 1000]]
+        lengths = np.array([len(r) for r in some])
+        blocks.append((np.concatenate(some), np.cumsum(lengths) - lengths, lengths, belief[lo : lo + 1000]))
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
         g = np.append(ridge * w[:k], 0.0)
-        for at, lengths, wanted in blocks:
-            of = np.repeat(np.arange(len(lengths)), lengths)
-            d = (1 / (1 + np.exp(-(np.bincount(of, w[at], len(lengths)) + w[k]))) - wanted) / len(rows)
-            g[:k] += np.bincount(at, d[of], k)[:k]
-            g[k] += d.sum()
+        for at, starts, lengths, wanted in blocks:
+            d = (1 / (1 + np.exp(-np.add.reduceat(w[at], starts))) - wanted) / len(rows)
+            g += np.bincount(at, np.repeat(d, lengths), k + 1)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(n)
