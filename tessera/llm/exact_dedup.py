@@ -65,6 +65,7 @@ def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Null texts and empty texts are equal to
     each other. Of equal texts the largest doc_id stays; a null doc_id stays only if all are null. A row that is
     repeated whole is one document written twice: both its rows are kept, and counted in group_size.
+    A long text's recipe has a number for each 1 to 4 thousand characters. An empty table gives an empty result.
     bits: width of the identifiers (fewer only to test what happens when contents meet).
     """
     listed = scratch(recipes(docs, bits), "recipes")

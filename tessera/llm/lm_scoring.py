@@ -289,6 +289,7 @@ def scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. A null text is empty: one token, its end. Rows that repeat count
     as often as they occur and get the same scores. With no training rows, all counts are 0 and the model is unigram.
+    A text of any length is one row of ids, whose windows are worked on in batches. An empty table gives an empty result.
     """
     listed, summed = word_tables(docs, path)
     base = base_scores(listed, summed)

@@ -254,7 +254,7 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     between white space. copy_id: the least doc_id with the same n-gram set; n_copies: so many rows have it; class_id: the
     least doc_id of the component; n_links: verified links of this n-gram set to different ones. A text without words (or null) is alone:
     class_id and copy_id are its own doc_id. Without with_links, n_links is 0. A null doc_id never names a class unless all its
-    members have none. Rows that repeat are copies.
+    members have none. Rows that repeat are copies. A text of any length is read whole: its set of n-grams is one row, which takes 8 bytes a different n-gram.
     """
     signed = scratch(signatures(docs, n, bands_for(threshold, recall, rows), rows), "signatures")
     full = signed.where("set_key IS NOT NULL")

@@ -183,7 +183,8 @@ def spans(docs: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3
     """doc_id, text_key, base, discovered of each row: arrays of (start, rank, end, kind).
 
     docs: doc_id, text; other columns are ignored. A null text is empty. Rows
-    that repeat get the same spans; a discovered span has at least four digits and overlaps no base span.
+    that repeat get the same spans; a discovered span has at least four digits and overlaps no base span. A text's spans take time in
+    proportion to its length and, but for a logarithm, to their number. An empty table gives an empty result.
     """
     rows = scratch(scanned(docs), "scanned")
     each = instances(rows)

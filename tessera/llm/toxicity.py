@@ -296,7 +296,8 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)
 def held_out_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of each row; rows whose crc32(doc_id as text) is a multiple of folds are never learned from.
 
-    Other columns of docs are ignored. A null doc_id is held out.
+    Other columns of docs are ignored. A null doc_id is held out, a null text is empty. Rows that repeat get the same score. A text of any
+    length is read whole. Partitions without labelled rows, and tables without labels or without rows, are no special case.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     rest = F.crc32(F.col("doc_id").cast("string")) % folds

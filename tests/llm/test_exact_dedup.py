@@ -42,3 +42,10 @@ def test_rows_that_stay(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert groups(df).count() == 0 and without_copies(df).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "word and another, " * 60_000
+    rows = [(1, long), (2, long.upper()), (3, long + "x"), (4, "y" * 1_000_000), (5, "y" * 1_000_001)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}

@@ -115,6 +115,13 @@ def test_end_to_end_recall(spark):
     assert len(pairs) > 300 and sum(got[2 * k] == got[2 * k + 1] for k in pairs) >= 0.999 * len(pairs)
 
 
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, " ".join(f"v{k}" for k in range(200_000))), (4, "a " * 300_000), (5, "a a a a a a")]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 0, 1), 4: (4, 0, 2), 5: (4, 0, 2)}
+
+
 def test_copies_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (3, "z")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.class_id, r.n_copies) for r in classes(df).collect())
