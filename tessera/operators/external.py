@@ -59,3 +59,30 @@ def embedded(rows: DataFrame, key: str, text: str, client: Callable[[], Callable
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")
+
+
+def parsed(rows: DataFrame, key: str, content: str, parser: Callable[[str], list[tuple[str, str]]], most: int) -> DataFrame:
+    """key, status, place, kind, text: what a parser finds in each content, in order.
+
+    parser: any function from a content to (kind, text) pairs. A content with more than `most` blocks, or one that the parser fails on,
+    gives one row without a block that says so; never a part of its blocks.
+    """
+
+    def blocks(value: str) -> list[tuple]:
+        try:
+            found = parser(value)
+        except Exception:
+            return [("failed", None, None, None)]
+        if len(found) > most:
+            return [("refused", None, None, None)]
+        return [("ok", i, kind, text) for i, (kind, text) in enumerate(found)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                out = [(k, *b) for k, v in zip(batch[key].iloc[lo : lo + 500], batch[content].iloc[lo : lo + 500], strict=True) for b in blocks(v or "")]
+                frame = pd.DataFrame(out, columns=[key, "status", "place", "kind", "text"])
+                yield frame.astype({"place": "Int64", "kind": object, "text": object})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, content).mapInPandas(run, f"{key} {kind}, status string, place long, kind string, text string")

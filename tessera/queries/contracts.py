@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -140,3 +141,16 @@ def log_services(t):
     """Names of services, from the names of their log files."""
     path = F.format_string("/var/log/app/node%d.%d.log", F.col("c_nationkey") % 9, F.col("c_custkey"))
     return t.customer.where("c_acctbal > 0").select(F.regexp_extract(path, r"([^/.]+)\.[^/]*\.log$", 1).alias("service")).distinct()
+
+
+def _page_blocks(html: str) -> list[tuple[str, str]]:
+    """A stand-in for a layout parser: headings and paragraphs of a page."""
+    return re.findall(r"<(h[1-6]|p)>([^<]*)", html)
+
+
+@query("""WITH n AS (SELECT page_id, regexp_extract_all(html, '<(h[1-6]|p)>([^<]*)', 1) AS k, regexp_extract_all(html, '<(h[1-6]|p)>([^<]*)', 2) AS x FROM pages)
+SELECT page_id, 'ok' AS status, generate_subscripts(k, 1) - 1 AS place, unnest(k) AS kind, sha256(unnest(x)) AS digest FROM n WHERE len(k) <= 12 UNION ALL SELECT page_id, 'refused', NULL, NULL, NULL FROM n WHERE len(k) > 12""")
+def parsed_pages(t):
+    """Blocks of pages by a parser that is handed in; a page beyond the limit is refused whole."""
+    rows = external.parsed(t.pages, "page_id", "html", _page_blocks, 12)
+    return rows.select("page_id", "status", "place", "kind", F.sha2("text", 256).alias("digest"))

@@ -115,6 +115,13 @@ def streamed_hours(t):
     return streams.drained(streams.hourly(rows), "complete").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+@query("SELECT epoch(time_bucket(INTERVAL 2 SECOND, ts))::BIGINT AS start, count(*) AS n, round(max(value), 3) AS peak FROM events GROUP BY 1")
+def streamed_samples(t):
+    """A metric stream sampled every two seconds of event time."""
+    rows = streams.stream(t.spark, f"{t.folder}/event*.parquet", t.events.schema)
+    return streams.drained(streams.sampled(rows, "value"), "complete").select(F.unix_timestamp("start").alias("start"), "n", F.round("peak", 3).alias("peak"))
+
+
 @query("""WITH e AS (SELECT *, min(CASE WHEN event_type IN ('purchase', 'error') THEN r END) OVER (PARTITION BY user_id) AS stop, max(r) OVER (PARTITION BY user_id) AS last FROM
 (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events))
 SELECT user_id, event_type AS status, last - r AS rejected FROM e WHERE r = coalesce(stop, last)""")

@@ -28,6 +28,12 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return counts.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def sampled(events: DataFrame, value: str, every: str = "2 seconds") -> DataFrame:
+    """start, n, peak of each interval of event time."""
+    counts = events.groupBy(F.window("ts", every)).agg(F.count("*").alias("n"), F.max(value).alias("peak"))
+    return counts.select(F.col("window.start").alias("start"), "n", "peak")
+
+
 def fenced(results: DataFrame, running: DataFrame) -> DataFrame:
     """Results of jobs that still run; results of others are rejected."""
     return results.join(running.select("user_id"), "user_id", "left_semi")
