@@ -201,7 +201,8 @@ def _agreeing(threshold: float, recall: float):
         out: list[tuple[bytes, bytes]] = []
         keys, far, size = rows.set_key.to_numpy(), rows.far.to_numpy(), rows["size"].to_numpy()
         labels, low = pd.factorize(rows.label)[0], (rows.own == rows.low).to_numpy()
-        for places in rows.groupby(["band", "low", "high"]).indices.values():
+        bands = [b.tolist() for b in rows.bands]
+        for (band, *_), places in rows.groupby(["band", "low", "high"]).indices.items():
             if (labels[places] == labels[places[0]]).all():
                 continue
             marks = np.stack([np.frombuffer(x, np.uint8) for x in rows.marks.iloc[places]])
@@ -216,7 +217,8 @@ def _agreeing(threshold: float, recall: float):
                 at = at[may]
                 at = at[(marks[at, :FEW_MARKS] == marks[i, :FEW_MARKS]).sum(1) >= few]
                 at = at[(marks[at] == marks[i]).sum(1) >= most]
-                out += [(min(keys[x], k), max(keys[x], k)) for k in keys[places[at]]]
+                first = [next(b for b in bands[x] if b in also) == band for also in map(set, (bands[k] for k in places[at]))]
+                out += [(min(keys[x], k), max(keys[x], k)) for k in keys[places[at[first]]]]
         return pd.DataFrame(out, columns=["u", "v"])
 
     return run
@@ -227,7 +229,7 @@ def near_pairs(within: DataFrame, sizes: DataFrame, threshold: float, recall: fl
 
     within: band, set_key, label, far (distance to the bucket's hub); sizes: set_key, size, marks. A bucket is
     divided into zones a `slack` of distance and a threshold's ratio of sizes wide, so that only neighbouring zones can hold
-    such pairs, and a zone into blocks; pairs of blocks are dealt over tasks, however large the bucket is.
+    such pairs, and a zone into blocks; pairs of blocks are dealt over tasks, however large the bucket is. A pair is given by the first bucket that it shares.
     """
     placed = within.join(sizes.select("set_key", "size"), "set_key")
     placed = placed.withColumn("f", F.floor(F.col("far") / (1 - threshold + 1e-9)).cast("int")).withColumn("s", F.floor(F.log("size") / -math.log(threshold) + 1e-9).cast("int") if threshold < 1 else F.col("size"))
@@ -243,7 +245,8 @@ def near_pairs(within: DataFrame, sizes: DataFrame, threshold: float, recall: fl
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
     pairs = dealt.groupBy("band", "low", "high").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band", "low", "high")
     dealt = dealt.join(pairs, ["band", "low", "high"], "left_semi").withColumn("cell", F.pmod(F.xxhash64("band", "low", "high"), F.lit(64 * shuffle_partitions(within.sparkSession))))
-    full = dealt.join(sizes.select("set_key", "marks"), "set_key")
+    own_bands = within.groupBy("set_key").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # `bands_for` numbers at most
+    full = dealt.join(sizes.select("set_key", "marks").join(own_bands, "set_key"), "set_key")
     return full.groupBy("cell").applyInPandas(_agreeing(threshold, recall), "u binary, v binary").distinct()
 
 
