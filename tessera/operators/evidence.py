@@ -90,11 +90,13 @@ def holders(docs: DataFrame, passages: DataFrame, key: str, passage: str, text:
     sizes = [r[0] for r in cued.where("__n > 0").select("__n").distinct().collect()]  # `cue` numbers at most
     found = None
 
+    split = docs.select(key, words.alias("__words"))  # once a text, not once a window
+
     def windows(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__words") - (n - 1))), lambda i: F.array_join(F.slice("__words", i, n), " "))
 
     for n in sizes:
-        each = docs.select(key, F.explode(F.array_distinct(windows(n))).alias("cue"))
+        each = split.select(key, F.explode(windows(n)).alias("cue"))
         hits = each.join(cued.where(F.col("__n") == n), "cue").select(key, passage, "__passage")
         found = hits if found is None else found.union(hits)
     short = cued.where("__n <= 0").select(passage, "__passage")

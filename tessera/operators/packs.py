@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -71,35 +71,40 @@ def halves(df: DataFrame, by: list[str], order: str, size: str) -> DataFrame:
     return first.select(*by, F.greatest(F.lit(1), F.least(F.col("__first"), F.col("__n") - 1)).cast("int").alias("split"))
 
 
+def _chunked(text: str, lines: int, chars: int) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, body) of each chunk of one text."""
+    held, size, first, last = [], 0, 0, 0
+    for number, line in enumerate(text.split("\n"), 1):
+        for lo in range(0, max(1, len(line)), chars):
+            part = line[lo : lo + chars]
+            if held and (len(held) == lines or size + 1 + len(part) > chars):
+                yield first, last, "\n".join(held)
+                held = []
+            if held:
+                size += 1 + len(part)
+            else:
+                first, size = number, len(part)
+            held.append(part)
+            last = number
+    if held:
+        yield first, last, "\n".join(held)
+
+
 def line_chunks(docs: DataFrame, key: str, text: str, lines: int, chars: int) -> DataFrame:
     """key, chunk_index, start_line, end_line, body: at most so many lines and characters to a chunk; a longer line is cut.
 
-    Lines are numbered from 1 and end at line feeds. A fold over one text's lines.
+    Lines are numbered from 1 and end at line feeds; a null text is one empty line. Each text is cut in one pass.
     """
-    pieces = F.flatten(
-        F.transform(
-            F.split(F.col(text), "\n"),
-            lambda line, i: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(line) / chars).cast("int") - 1)), lambda k: F.struct((i + 1).alias("line"), F.substring(line, k * chars + 1, F.lit(chars)).alias("part"))),
-        )
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.length(acc["body"]) + 1 + F.length(x["part"])
-        fits = (acc["n"] > 0) & (acc["n"] < lines) & (grown <= chars)
-        done = F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("start_line"), acc["last"].alias("end_line"), acc["body"].alias("body"))))).otherwise(acc["out"])
-        return F.struct(
-            F.when(fits, acc["n"] + 1).otherwise(1).alias("n"),
-            F.when(fits, acc["first"]).otherwise(x["line"]).alias("first"),
-            x["line"].alias("last"),
-            F.when(fits, F.concat(acc["body"], F.lit("\n"), x["part"])).otherwise(x["part"]).alias("body"),
-            F.when(fits, acc["out"]).otherwise(done).alias("out"),
-        )
-
-    kind = "array<struct<start_line:int,end_line:int,body:string>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit("").alias("body"), F.expr(f"cast(array() as {kind})").alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["first"].alias("start_line"), acc["last"].alias("end_line"), acc["body"].alias("body"))))
-    out = docs.select(key, F.posexplode(F.aggregate(pieces, start, step, end)).alias("chunk_index", "c"))
-    return out.select(key, "chunk_index", "c.start_line", "c.end_line", "c.body")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for lo in range(0, len(rows), 500):
+                some = rows.iloc[lo : lo + 500]
+                out = [(k, i, *c) for k, t in zip(some[key], some[text], strict=True) for i, c in enumerate(_chunked(t or "", lines, chars))]
+                yield pd.DataFrame(out, columns=[key, "chunk_index", "start_line", "end_line", "body"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, start_line int, end_line int, body string")
 
 
 def halved(rows: DataFrame, by: str, place: str, running: str, most: int, depth: int) -> DataFrame:
