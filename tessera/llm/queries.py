@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, lm_scoring, media, ngram_join, packing, pii, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, language_id, lm_scoring, media, merkle_manifest, ngram_join, packing, pii, substring_dedup, toxicity
 from .common import documents
 
 
@@ -38,6 +38,32 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g ON d.norm = g.norm
 """
 
+#: The CRC-32 of a number's decimal digits, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+#: Levels of nodes as lists, and for each row the siblings on every level.
+OP11 = """
+WITH RECURSIVE
+f AS (SELECT doc_id, lang, row_number() OVER () AS row, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(<CRC> % 3 = 0, false) AS tampered FROM documents),
+d AS (SELECT doc_id, lang, row, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN tampered THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS altered FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM d),
+t AS (SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(list_slice(nodes, i + 1, i + 8), ''))) FROM t WHERE len(nodes) > 1),
+sub AS (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY r) AS nodes FROM sub
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(list_slice(nodes, i + 1, i + 8), ''))) FROM u WHERE len(nodes) > 1),
+steps AS (SELECT placed.row, level AS step, i // (1 << (3 * level)) AS pos, nodes FROM placed JOIN t ON t.lang IS NOT DISTINCT FROM placed.lang WHERE len(nodes) > 1
+  UNION ALL SELECT row, height + u.level, r // (1 << (3 * u.level)), u.nodes FROM placed JOIN sub ON sub.lang IS NOT DISTINCT FROM placed.lang, u WHERE len(u.nodes) > 1),
+sides AS (SELECT row, step, array_to_string(list_slice(nodes, pos - pos % 8 + 1, pos), '') AS l, array_to_string(list_slice(nodes, pos + 2, pos - pos % 8 + 8), '') AS r FROM steps),
+ways AS (SELECT row, string_agg(l || r, '' ORDER BY step) AS proof, list(l || '|' || r ORDER BY step) AS way FROM sides GROUP BY row),
+top AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+folded AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, list_reduce(list_concat([coalesce(altered, leaf)], coalesce(way, [])), lambda x, p: sha256(split_part(p, '|', 1) || x || split_part(p, '|', 2))) AS folded_root
+  FROM placed JOIN sub ON sub.lang IS NOT DISTINCT FROM placed.lang LEFT JOIN ways USING (row), top)
+SELECT *, folded_root = root AS verified FROM folded
+""".replace("<CRC>", CRC32.format("doc_id"))
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(documents(spark, sf_dir)).drop("starts", "ends")
@@ -85,6 +111,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir)).drop("text_key", "n_chunks")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audited(merkle_manifest.leaves(documents(spark, sf_dir)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "language_id_of_pages": language_id_of_pages,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": pipeline,
     }
 
@@ -112,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1,
         "op10_exact_dedup": OP10,
+        "op11_merkle_manifest": OP11,
     }
