@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, lm_scoring, media, merkle_manifest, ngram_join, packing, pii, substring_dedup, toxicity
+from . import byte_bpe, conversation_trie, exact_dedup, language_id, lm_scoring, media, merkle_manifest, ngram_join, packing, pii, substring_dedup, toxicity
 from .common import documents
 
 
@@ -64,6 +64,26 @@ folded AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS pr
 SELECT *, folded_root = root AS verified FROM folded
 """.replace("<CRC>", CRC32.format("doc_id"))
 
+#: Prefixes as digests of their turns written one after another; a node's subtree is every node one of whose prefixes it is.
+OP12 = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n, <CRC> % 4 AS h, conv_id - conv_id % 20 AS src FROM o GROUP BY conv_id),
+c AS (SELECT n.*, least(n.h, coalesce(s.n, 0)) AS k FROM n LEFT JOIN n s ON s.conv_id = n.src),
+r AS (SELECT c.conv_id, p AS d, role, text FROM c JOIN o ON o.conv_id = c.src AND p <= k UNION ALL SELECT c.conv_id, k + p - h, role, text FROM c JOIN o USING (conv_id) WHERE p > h),
+pre AS (SELECT conv_id, d AS depth, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS key,
+    CAST(len(list_filter(regexp_split_to_array(text, '[ 	
+]+'), lambda x: x <> '')) AS BIGINT) AS words FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+up AS (SELECT pre.*, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above, lead(key) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM pre),
+node AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(above) AS above, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM up GROUP BY key, depth),
+kids AS (SELECT above AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY above),
+sub AS (SELECT pre.key, pre.depth, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * node.words) AS BIGINT) AS saved_tokens
+  FROM node LEFT JOIN kids USING (key) JOIN pre ON pre.conv_id = node.conv_id AND pre.depth <= node.depth GROUP BY pre.key, pre.depth)
+SELECT node.conv_id, node.depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN sub USING (key, depth) LEFT JOIN kids USING (key) LEFT JOIN node parent ON parent.key = node.above AND parent.depth = node.depth - 1
+""".replace("<CRC>", CRC32.format("conv_id"))
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(documents(spark, sf_dir)).drop("starts", "ends")
@@ -115,6 +135,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audited(merkle_manifest.leaves(documents(spark, sf_dir)))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "language_id_of_pages": language_id_of_pages,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_conversation_trie": op12_conversation_trie,
         "pipeline": pipeline,
     }
 
@@ -144,4 +169,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": OP1,
         "op10_exact_dedup": OP10,
         "op11_merkle_manifest": OP11,
+        "op12_conversation_trie": OP12,
     }
