@@ -42,7 +42,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256).alias("ident"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
-    return positions(turns, ["conv_id"], ["turn", "ident"], "turns").select("conv_id", "position", "ident", "words")
+    return positions(scratch(turns, "hashed"), ["conv_id"], ["turn", "ident"], "turns").select("conv_id", "position", "ident", "words")
 
 
 def rebuilt(turns: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:

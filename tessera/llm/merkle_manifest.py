@@ -152,7 +152,8 @@ def audited(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     don't leave the first stage: a row goes on as its digests, whatever its length. No two tasks share a block, and a block has 512 rows at most.
     depth: levels of nodes in a block (fewer only to test many levels of blocks).
     """
-    ranked = positions(rows.select("doc_id", "key", "leaf", "altered"), ["key"], ["doc_id", "leaf"], "leaves").withColumn("place", F.col("position") - 1)
+    narrow = scratch(rows.select("doc_id", "key", "leaf", "altered"), "hashed")
+    ranked = positions(narrow, ["key"], ["doc_id", "leaf"], "leaves").withColumn("place", F.col("position") - 1)
     levels, subroots = _tree(ranked, ["doc_id", "leaf", "altered"], depth)
     subroots = scratch(subroots, "subroots")
     keys = positions(subroots.select(F.lit("").alias("key"), F.col("key").alias("own"), F.col("node").alias("leaf")), ["key"], ["own"], "keys").withColumn("place", F.col("position") - 1)
