@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversation_trie, exact_dedup, language_id, lm_scoring, media, merkle_manifest, ngram_join, packing, pii, substring_dedup, toxicity
+from . import byte_bpe, conversation_trie, exact_dedup, language_id, lm_scoring, media, merkle_manifest, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -73,7 +73,8 @@ c AS (SELECT n.*, least(n.h, coalesce(s.n, 0)) AS k FROM n LEFT JOIN n s ON s.co
 r AS (SELECT c.conv_id, p AS d, role, text FROM c JOIN o ON o.conv_id = c.src AND p <= k UNION ALL SELECT c.conv_id, k + p - h, role, text FROM c JOIN o USING (conv_id) WHERE p > h),
 pre AS (SELECT conv_id, d AS depth, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS key,
     CAST(len(list_filter(regexp_split_to_array(text, '[ 	
-]+'), lambda x: x <> '')) AS BIGINT) AS words FROM r
+
+]+'), lambda x: x <> '')) AS BIGINT) AS words FROM r
   UNION ALL SELECT conv_id, 0, '', 0 FROM c),
 up AS (SELECT pre.*, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above, lead(key) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM pre),
 node AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(above) AS above, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM up GROUP BY key, depth),
@@ -139,6 +140,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), 4096)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -160,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_token_counts": op13_token_counts,
         "pipeline": pipeline,
     }
 

@@ -17,6 +17,7 @@ COLUMNS = {
     "op7_toxicity": "doc_id held_out score predicted",
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op12_conversation_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
