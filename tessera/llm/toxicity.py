@@ -1,18 +1,20 @@
-"""Toxicity by weak supervision: a generative label model over many voters, then a linear classifier.
+"""Toxicity by weak supervision: a generative label model over many voters, then a linear classifier on its posterior labels.
 
 Voters are lexicons (fixed ones, and ones mined from labelled rows: words and word beginnings) and
 patterns. Each votes toxic, clean, or not at all. Votes of every document are counted by
 combination in Spark; expectation-maximisation on these counts estimates each voter's accuracy, and
 the correlations that remain between voters given the label, by which it discounts voters that say
-the same. Labelled rows, all of them, take part with their label as one more voter, and features are counted over all of them. The classifier alone
-sees the features of a bounded sample of labelled rows and the model's posterior labels, and scores whole texts.
+the same. Given labels, all of them, serve to mine lexicons and to estimate accuracies. The classifier never sees one: it is
+fitted to the model's posterior labels of a bounded sample of all documents, labelled or not, and scores whole texts.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,18 +22,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .common import scratch
 
-#: Labelled rows that the classifier is fitted to, at most about.
-SAMPLE = 40_000
-#: Places of the table of features: every supported feature has one, by its hash; features may share a place.
-PLACES = 1 << 18
-#: A word or a word's beginning is a feature if so many labelled rows of one kind have it.
+#: Documents, of all that may be learned from, that the classifier is fitted to, at most about.
+SAMPLE = 30_000
+#: A word or a word's beginning is mined, or a feature, if so many rows of one kind have it (for features: rows of the sample, by their beliefs).
 SUPPORT = 5
+#: Words and beginnings in the mined lexicons at most: those that speak most clearly; 8 MB.
+MOST_MINED = 1 << 20
 MINED = 4
-#: How often a given label is right, as one more voter.
+#: How often a given label is right, where accuracies are estimated.
 TRUST = 0.9995
 BEGINNINGS = (4, 5)
 
@@ -63,28 +64,28 @@ def features_of(text: str | None) -> set[str]:
     return {f for w in words_of(text) for f in features_of_word(w)}
 
 
-def place(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature) % PLACES
-
-
-@F.pandas_udf(IntegerType())
-def _places(features: pd.Series) -> pd.Series:
-    return features.map(place)
+def number(feature: str) -> int:
+    """The 64-bit number that stands for a feature."""
+    return xxhash.xxh3_64_intdigest(feature)
 
 
 class Places(dict):
-    """For a word the places of its features that are in `used`; words and their beginnings are remembered, each up to a number."""
+    """For a word the places, in a sorted table of features' numbers, of its features that are in it; words and their beginnings are remembered, each up to a number."""
 
-    def __init__(self, used: np.ndarray, most: int = 500_000):
+    def __init__(self, table: np.ndarray, most: int = 500_000):
         super().__init__()
-        self.used, self.most = used.tobytes(), most
+        self.table, self.most = array("Q", table.astype(np.uint64).tobytes()), most
         self.beginnings: dict[str, int] = {}
 
+    def _place(self, feature: str) -> int:
+        own = number(feature)
+        at = bisect_left(self.table, own)
+        return at if at < len(self.table) and self.table[at] == own else -1
+
     def _beginning(self, start: str) -> int:
-        at = place(f"{len(start)}:{start}")
         if len(self.beginnings) >= self.most:
             self.beginnings.clear()
-        self.beginnings[start] = at = at if self.used[at] else -1
+        self.beginnings[start] = at = self._place(f"{len(start)}:{start}")
         return at
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -92,8 +93,7 @@ class Places(dict):
             self.clear()
         known = self.beginnings
         own = [known[start] if start in known else self._beginning(start) for start in (word[:k] for k in BEGINNINGS if len(word) >= k)]
-        at = place(word)
-        self[word] = both = tuple(x for x in (at if self.used[at] else -1, *own) if x >= 0)
+        self[word] = both = tuple(x for x in (self._place(word), *own) if x >= 0)
         return both
 
     def of(self, words: set[str]) -> list[int]:
@@ -101,8 +101,26 @@ class Places(dict):
         return sorted(set(chain.from_iterable(filter(None, map(self.__getitem__, words)))))
 
 
+class Numbers(dict):
+    """For a word its features' numbers; remembered up to a number of words."""
+
+    def __init__(self, most: int = 300_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = own = tuple(map(number, features_of_word(word)))
+        return own
+
+    def of(self, words: set[str]) -> np.ndarray:
+        own = set(chain.from_iterable(map(self.__getitem__, words)))
+        return np.sort(np.fromiter(own, np.uint64, len(own)))
+
+
 class Votes:
-    """The voters' opinions of a text: 1 toxic, -1 clean, 0 none. mined: for each place the mined lexicon that it belongs to, or -1."""
+    """The voters' opinions of a text: 1 toxic, -1 clean, 0 none. mined: for each place of the mined features' table the lexicon that it belongs to."""
 
     def __init__(self, mined: np.ndarray):
         self.fixed, self.mined = [set(x.split()) for x in LEXICONS.values()], mined.tolist()
@@ -163,7 +181,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-(odds + np.log(self.prior / (1 - self.prior)))))
 
 
-def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """n weights and the bias of a logistic regression on sets of features, by full-batch Adam over the features that occur."""
     seen = np.zeros(n, bool)
     for r in rows:
@@ -190,100 +208,131 @@ def fit_linear(rows: list[np.ndarray], belief: np.ndarray, n: int, rounds: int =
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per block of texts: in how many toxic and clean ones each feature occurs."""
     sums: tuple[Counter, Counter] = (Counter(), Counter())
+    numbers = Numbers()
 
     def flush() -> Iterator[pd.DataFrame]:
         names = list(sums[0].keys() | sums[1].keys())
         if names:
-            yield pd.DataFrame({"feature": names, "bad": [sums[1][f] for f in names], "good": [sums[0][f] for f in names]})
+            yield pd.DataFrame({"feature": np.array(names, np.uint64).view(np.int64), "bad": [float(sums[1][f]) for f in names], "good": [float(sums[0][f]) for f in names]})
         for s in sums:
             s.clear()
 
     for rows in batches:
         for text, toxic in zip(rows.text, rows.toxic, strict=True):
-            sums[int(toxic > 0)].update(features_of(text))
+            sums[int(toxic > 0)].update(numbers.of(words_of(text)).tolist())
             if len(sums[0]) + len(sums[1]) > 1_000_000:
                 yield from flush()
     yield from flush()
 
 
-def _voted(used: np.ndarray, mined: np.ndarray):
-    """votes, and the places of features (packed) of each row that is `sampled`."""
+def _told(seen: DataFrame, bad: float, good: float) -> DataFrame:
+    """feature, odds, z of supported features, from the masses of toxic and clean rows that have them, of bad and good in all."""
+    sums = seen.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where((F.col("bad") >= SUPPORT) | (F.col("good") >= SUPPORT))
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+    spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    return sums.select("feature", odds.alias("odds"), (odds / spread).alias("z"))
+
+
+def _voted(table: np.ndarray, mined: np.ndarray):
+    """votes of each row, and its features' numbers (packed) if it is `sampled`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters, places = Votes(mined), Places(used)
+        voters, places, numbers = Votes(mined), Places(table), Numbers()
         for rows in batches:
             votes, lists = [], []
             for text, some in zip(rows.text, rows.sampled, strict=True):
                 own = words_of(text)
-                at = places.of(own)
-                votes.append(voters.of(text, own, at))
-                lists.append(np.array(at, np.uint32).tobytes() if some else None)
-            yield rows.drop(columns="text").assign(votes=votes, features=pd.Series(lists, dtype=object, index=rows.index))
+                votes.append(voters.of(text, own, places.of(own)))
+                lists.append(numbers.of(own).tobytes() if some else None)
+            yield rows.drop(columns=["text", "sampled"]).astype({"doc_id": "Int64"}).assign(votes=votes, features=pd.Series(lists, dtype=object, index=rows.index))
 
     return run
 
 
+def _beliefs(rows: pd.DataFrame, labels: LabelModel) -> np.ndarray:
+    return labels.posterior(np.array(rows.votes.tolist(), np.int64).reshape(len(rows), -1))
+
+
 class Model:
-    """used: which places of the table hold features; weights: of each place; labels: the voters' model."""
+    """table: the sorted numbers of the classifier's features; weights: theirs; lexicon, mined: the mined features' table and their lexicons; labels: the voters' model."""
 
-    def __init__(self, used: np.ndarray, mined: np.ndarray, weights: np.ndarray, bias: float, labels: LabelModel | None):
-        self.used, self.mined, self.weights, self.bias, self.labels = used, mined, weights, bias, labels
+    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float, lexicon: np.ndarray, mined: np.ndarray, labels: LabelModel | None):
+        self.table, self.weights, self.bias, self.lexicon, self.mined, self.labels = table, weights, bias, lexicon, mined, labels
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, relabel: Callable[[LabelModel], LabelModel] = lambda m: m) -> Model:
     """The classifier, from texts of docs and from labels (doc_id, toxic), all of which may be learned from.
 
-    Labels whose doc_id or toxic is null are left out; of labels that disagree, toxic counts.
+    Labels whose doc_id or toxic is null are left out; of labels that disagree, toxic counts. Without labels nothing is mined, and the fixed voters teach alone.
+    relabel: changes the label model before it labels (to test what depends on it).
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Dealt by doc_id at every size: labels grow with the corpus and aren't broadcast.
-    labelled = scratch(docs.select("doc_id", "text").hint("merge").join(labels, "doc_id"), "labelled")
-    seen = labelled.select("text", "toxic").mapInPandas(_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    sizes = labelled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    bad, good = (sizes.bad or 0) + 1.0, (sizes.good or 0) + 1.0
-    odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    ranked = seen.where((F.col("bad") >= SUPPORT) | (F.col("good") >= SUPPORT)).withColumn("odds", odds).withColumn("z", F.col("odds") / spread)
-    ranked = scratch(ranked.where("abs(z) > 2"), "features")
-    # One row a place at most; a place is mined if its features, of which it holds one as a rule, speak for toxic.
-    table = ranked.withColumn("place", _places("feature")).groupBy("place").agg(F.max_by("z", F.abs("z")).alias("z"), F.max_by("odds", F.abs("z")).alias("odds")).toPandas()
-    used = np.zeros(PLACES, bool)
-    fixed = [place(w) for x in LEXICONS.values() for w in x.split()]
-    used[fixed] = True
-    used[table.place.to_numpy(np.int64)] = True
-    mined = np.full(PLACES, -1, np.int8)
-    spoken = table[(table.z > 3) & (table.odds > 2)].sort_values(["z", "place"], ascending=[False, True]).place.to_numpy(np.int64)
-    mined[spoken] = np.arange(len(spoken)) % MINED
-
-    columns = "votes array<int>, features binary"
-    every = docs.select("text", F.lit(False).alias("sampled")).mapInPandas(_voted(used, mined), f"sampled boolean, {columns}").groupBy("votes").count().toPandas()  # 3 ** voters rows at most
-    share = sample / max(sample, (sizes.bad or 0) + (sizes.good or 0), 1)
-    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
-    voted = labelled.select("text", "toxic", sampled.alias("sampled")).mapInPandas(_voted(used, mined), f"toxic int, sampled boolean, {columns}")
+    labelled = docs.select("doc_id", "text").hint("merge").join(labels, "doc_id").select("text", "toxic")
+    seen = labelled.mapInPandas(_features, "feature long, bad double, good double")
+    sizes = docs.select("doc_id").hint("merge").join(labels, "doc_id").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    spoken = _told(seen, sizes.bad or 0, sizes.good or 0).where("z > 3 AND odds > 2").orderBy(F.desc("z"), "feature").limit(MOST_MINED).select("feature").toPandas()
+    found = spoken.feature.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    lexicon, mined = found[order], (np.arange(len(found)) % MINED)[order]
+
+    n = docs.count()
+    sampled = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / max(sample, n)), F.lit(False))
+    voted = docs.select("doc_id", "text", sampled.alias("sampled")).mapInPandas(_voted(lexicon, mined), "doc_id long, votes array<int>, features binary")
     voted = scratch(voted, "voted")
-    gold = voted.groupBy("votes", "toxic").count().toPandas()  # twice as many at most
-    own = voted.where("sampled").toPandas()  # about `sample` rows
+    every = voted.groupBy("votes").count().toPandas()  # 3 ** voters rows at most
+    gold = voted.select("doc_id", "votes").join(labels, "doc_id").groupBy("votes", "toxic").count().toPandas()  # twice as many at most
     if not len(every):
-        return Model(used, mined, np.zeros(PLACES), -2.0, None)
-    votes = np.array([*every.votes, *gold.votes], np.int64)
-    counts = np.array([*every["count"], *gold["count"]], float)
-    model = LabelModel(votes, counts, np.array([-1] * len(every) + gold.toxic.tolist()))
-    if not len(own):  # without labels, learn from what the voters say of the fixed words alone
-        rows = [np.array([at]) for at in fixed] + [np.zeros(0, int)] * len(fixed)
-        return Model(used, mined, *fit_linear(rows, np.repeat([0.9, 0.05], len(fixed)), PLACES), model)
-    voters = model.posterior(np.array(own.votes.tolist(), np.int64))
-    truth = own.toxic.to_numpy()
-    sure = np.where(truth == 1, TRUST / (1 - TRUST), (1 - TRUST) / TRUST)
-    belief = voters * sure / (voters * sure + 1 - voters)
-    return Model(used, mined, *fit_linear([np.frombuffer(f, np.uint32) for f in own.features], belief, PLACES), model)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -2.0, lexicon, mined, None)
+    # labelled rows count with their label, all others without
+    left = Counter({tuple(v): c for v, c in zip(every.votes, every["count"], strict=True)})
+    left.subtract({tuple(v): 0 for v in gold.votes})
+    for v, c in zip(gold.votes, gold["count"], strict=True):
+        left[tuple(v)] -= c
+    votes = np.array([*left, *gold.votes], np.int64)
+    counts = np.array([*left.values(), *gold["count"]], float)
+    model = relabel(LabelModel(votes, counts, np.array([-1] * len(left) + gold.toxic.tolist())))
+
+    own = voted.where("features IS NOT NULL").select("votes", "features")  # about `sample` rows
+
+    def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            belief = _beliefs(rows, model)
+            for lo in range(0, len(rows), 500):
+                lists = [np.frombuffer(f, np.int64) for f in rows.features[lo : lo + 500]]
+                names, at = np.unique(np.concatenate(lists), return_inverse=True)
+                bad = np.bincount(at, np.repeat(belief[lo : lo + 500], [len(x) for x in lists]), len(names))
+                yield pd.DataFrame({"feature": names, "bad": bad, "good": np.bincount(at, minlength=len(names)) - bad})
+
+    def beliefs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"belief": _beliefs(rows, model), "one": 1})
+
+    total = own.select("votes").mapInPandas(beliefs, "belief double, one int").agg(F.sum("belief").alias("bad"), F.sum("one").alias("n")).first()
+    bad = total.bad or 0.0
+    clear = _told(own.mapInPandas(masses, "feature long, bad double, good double"), bad, (total.n or 0) - bad).where("abs(z) > 3").select("feature").toPandas()  # of the sample's words
+    table = np.sort(clear.feature.to_numpy(np.int64).view(np.uint64))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            lists = [np.frombuffer(f, np.uint64) for f in rows.features]
+            at = [np.searchsorted(table, x) for x in lists]
+            kept = [a[(a < len(table)) & (table[np.minimum(a, len(table) - 1)] == x)] if len(table) else a[:0] for a, x in zip(at, lists, strict=True)]
+            yield pd.DataFrame({"features": [k.astype(np.uint32).tobytes() for k in kept], "belief": _beliefs(rows, model)})
+
+    rows = own.mapInPandas(placed, "features binary, belief double").toPandas()
+    if not len(rows):
+        return Model(table, np.zeros(len(table)), float(np.log(model.prior / (1 - model.prior))), lexicon, mined, model)
+    weights, bias = fit_linear([np.frombuffer(f, np.uint32) for f in rows.features], rows.belief.to_numpy(), len(table))
+    return Model(table, weights, bias, lexicon, mined, model)
 
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """columns, score, predicted of each row; a null text is empty, an empty text gets the score of a text without features."""
-    used, weights, bias = model.used, model.weights, model.bias
+    table, weights, bias = model.table, model.weights, model.bias
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Places(used)
+        places = Places(table)
         for rows in batches:
             sums = np.array([weights[places.of(words_of(t))].sum() for t in rows.text], float)
             score = 1 / (1 + np.exp(-np.clip(sums + bias, -50, 50)))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pandas as pd
 
-from tessera.llm.toxicity import PLACES, LabelModel, Places, Votes, features_of, fit_linear, held_out_scores, learned, place, words_of
+from tessera.llm.toxicity import LabelModel, Numbers, Places, Votes, features_of, fit_linear, held_out_scores, learned, number, scored, words_of
 
 
 def test_label_model_finds_accuracies_without_labels_and_discounts_twins():
@@ -30,28 +30,63 @@ def test_linear_fit():
 def test_features_and_votes():
     assert features_of("Idiots! x2 été") == {"idiots", "4:idio", "5:idiot", "été", "x"}
     assert features_of(None) == features_of("") == set()
-    mined = np.full(PLACES, -1, np.int8)
-    mined[[place("4:abcd"), place("zz")]] = 0, 1
-    vote = lambda text: Votes(mined).of(text, words_of(text), Places(mined >= 0).of(words_of(text)))
+    table = np.sort(np.array([number("4:abcd"), number("zz")], np.uint64))
+    mined = np.array([0, 1])[np.argsort([number("4:abcd"), number("zz")])]
+    vote = lambda text: Votes(mined).of(text, words_of(text), Places(table).of(words_of(text)))
     assert vote("you are such an idiot") == [1, 0, 0, 0, 0, 0, 0, 1, 0, 0]
     assert vote("abcde")[3:7] == [1, 0, 0, 0] and vote("zz abcde")[3:7] == [1, 1, 0, 0] and vote(None)[-1] == -1
+    assert sorted(Numbers().of(words_of("Abcde x")).tolist()) == sorted(number(f) for f in features_of("Abcde x"))
 
 
 def test_address_takes_plurals():
-    nothing = np.full(PLACES, -1, np.int8)
+    nothing = np.zeros(0, np.int64)
     assert Votes(nothing).of("You are such idiots", words_of("You are such idiots"), [])[7] == 1
     assert Votes(nothing).of("your idiots", words_of("your idiots"), [])[7] == 0
 
 
-def test_features_are_counted_over_all_labels_beyond_the_sample(spark):
+def test_lexicons_are_mined_from_all_labels_beyond_the_sample(spark):
     docs = [(i, f"plain words of row {'grubnax' if i % 100 == 0 else 'here'}") for i in range(1200)]
     labels = [(i, int(i % 100 == 0)) for i in range(1200)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     small, whole = learned(d, lab, sample=100), learned(d, lab)
-    assert small.used[place("grubnax")] and (small.used == whole.used).all() and (small.mined == whole.mined).all()
+    assert number("grubnax") in small.lexicon and (small.lexicon == whole.lexicon).all() and (small.mined == whole.mined).all()
     assert np.allclose(small.labels.log, whole.labels.log) and small.labels.prior == whole.labels.prior
 
 
+def test_the_label_model_s_accuracies_make_the_scores(spark):
+    docs, labels = sample()
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, votes int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def shuffled(model):
+        model.log = model.log[::-1].copy()
+        return model
+
+    plain = {r.doc_id: r.score for r in scored(d, learned(d, lab)).collect()}
+    other = {r.doc_id: r.score for r in scored(d, learned(d, lab, relabel=shuffled)).collect()}
+    assert np.mean([abs(plain[i] - other[i]) for i in range(1500)]) > 0.3
+
+
+def test_given_labels_reach_the_classifier_by_way_of_accuracies_alone(spark):
+    """A label that contradicts what all voters say of a document moves no score by itself: most labels of 'scum' say toxic."""
+    docs = [(i, f"word{i % 7} other{i % 11} {'idiot scum' if i % 4 == 0 else 'fine'}") for i in range(800)]
+    labels = [(i, int(i % 4 == 0)) for i in range(800)]
+    flipped = [(i, 1 - y if i in (4, 5) else y) for i, y in labels]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = (scored(d, learned(d, spark.createDataFrame(x, "doc_id long, toxic int"))).collect() for x in (labels, flipped))
+    assert all(abs(x.score - y.score) < 0.05 for x, y in zip(sorted(a), sorted(b), strict=True)) and {r.predicted for r in b if r.doc_id in (4, 5)} == {0, 1}
+
+
+def test_without_labels_the_classifier_learns_from_posteriors(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(100)]
+    docs = [(i, " ".join(r.choices(words, k=20) + (["idiot", "scum", "disgusting", "zorgly"] if i % 6 == 0 else []))) for i in range(900)]
+    d = spark.createDataFrame([*docs, (5000, "zorgly"), (5001, words[0])], "doc_id long, text string")
+    model = learned(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    score = {x.doc_id: x.score for x in scored(d, model).collect()}
+    assert not len(model.lexicon) and score[5000] > 0.2 > 10 * score[5001]  # a word that no voter knows
+    assert all((score[i] > 0.5) == (i % 6 == 0) for i, _ in docs)
+
+
 def sample():
     r = random.Random(8)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
