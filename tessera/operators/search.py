@@ -28,7 +28,7 @@ def ranked(docs: DataFrame, queries: DataFrame, most: int, key: str = "doc_id")
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    words = docs.select(key, tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
+    words = docs.select(key, tokens(F.col("text")).alias("words")).withColumn("size", F.coalesce(F.size("words"), F.lit(0)))
     totals = words.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean"))
     each = words.select(key, "size", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     hits = each.groupBy(key, "term", "size").agg(F.count("*").alias("tf"))

@@ -241,17 +241,6 @@ def propagated_tags(t):
 # Index maintenance.
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new words of ' || lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1), w AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS w FROM d)
-SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL) GROUP BY term""")
-def index_after_changes(t):
-    """Postings of changed and removed documents go, those of changed ones come anew; the rest isn't read again."""
-    old = search.postings(t.documents)
-    changed = t.documents.where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("new words of "), "lang").alias("text"))
-    gone = t.documents.where("doc_id % 10 IN (0, 1)").select("doc_id")
-    now = old.join(gone, "doc_id", "left_anti").unionByName(search.postings(changed))
-    return now.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
 @query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS chunk, text FROM conversations JOIN documents d ON d.doc_id = conv_id SEMI JOIN (SELECT doc_id FROM labels) USING (doc_id)) SELECT term, count(DISTINCT chunk) AS df FROM (SELECT chunk, unnest({_TOKENS}) AS term FROM (SELECT chunk, text FROM c)) GROUP BY term""".replace("SELECT conv_id * 1000 + turn AS chunk, text FROM conversations", "SELECT conv_id * 1000 + turn AS chunk, c.text FROM conversations c"))
 def rebuilt_chunk_index(t):
     """An index over chunks whose file, snapshot and source all exist."""
