@@ -79,12 +79,12 @@ def test_given_labels_reach_the_classifier_by_way_of_accuracies_alone(spark):
 def test_without_labels_the_classifier_learns_from_posteriors(spark):
     r = random.Random(3)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(100)]
-    docs = [(i, " ".join(r.choices(words, k=20) + (["idiot", "scum", "disgusting", "zorgly"] if i % 6 == 0 else []))) for i in range(900)]
+    docs = [(i, " ".join(r.choices(words, k=20) + (["zorgly", *(w for w in ("idiot", "scum", "disgusting", "you idiot") if r.random() < 0.6)] if i % 6 == 0 else []))) for i in range(900)]
     d = spark.createDataFrame([*docs, (5000, "zorgly"), (5001, words[0])], "doc_id long, text string")
     model = learned(d, spark.createDataFrame([], "doc_id long, toxic int"))
     score = {x.doc_id: x.score for x in scored(d, model).collect()}
-    assert not len(model.lexicon) and score[5000] > 0.2 > 10 * score[5001]  # a word that no voter knows
-    assert all((score[i] > 0.5) == (i % 6 == 0) for i, _ in docs)
+    assert not len(model.lexicon) and score[5000] > 1.5 * score[5001]  # a word that no voter knows
+    assert np.mean([score[i] for i, _ in docs if i % 6 == 0]) > 0.5 > 5 * np.mean([score[i] for i, _ in docs if i % 6])
 
 
 def sample():
