@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hosts
@@ -68,11 +67,3 @@ _HOSTS = ["10.0.0.1", "8.8.4.4", "::ffff:127.0.0.1", "Printer", "Docs.Example.CO
 def admitted_hosts(t):
     given = F.when(F.col("page_id") % 8 == 7, F.concat(F.lit("P"), "page_id", F.lit(".example.org"))).otherwise(F.get(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 8).cast("int")))
     return hosts.normalised_hosts(t.pages.select("page_id", given.alias("given")), "page_id", "given")
-
-
-@query("""SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS place FROM (SELECT source || '/' || lang AS path, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY 1) QUALIFY place <= 50""")
-def archive_inventory(t):
-    """The largest of the inventory's entries, the number that a report shows."""
-    sizes = t.documents.groupBy(F.concat_ws("/", "source", "lang").alias("path")).agg(F.sum("n_chars").alias("size"))
-    top = sizes.orderBy(F.desc("size"), "path").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "path")).cast("long"))  # after a limit of 50

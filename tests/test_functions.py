@@ -1,7 +1,4 @@
-import io
 import math
-import tarfile
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.functions.vectors import cosine
 from tessera.operators import chunks, classify, packs, spans
-from tessera.sources import archives, captions, markdown
+from tessera.sources import captions, markdown
 
 
 def column(spark, values, f, kind="string"):
@@ -101,23 +98,3 @@ def test_front_matter_and_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     rows = markdown.parsed(markdown.library(spark, str(tmp_path)), "content").collect()
     assert [(r.meta, r.body) for r in rows] == [({"title": "A: b", "empty": ""}, "body\n---\nmore")]
-
-
-def test_archives(spark):
-    def tar(entries):
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w:gz") as a:
-            for name, data in entries:
-                info = tarfile.TarInfo(name)
-                info.size = len(data or b"")
-                if data is None:
-                    info.type, info.linkname = tarfile.SYMTYPE, "elsewhere"
-                a.addfile(info, io.BytesIO(data or b""))
-        return out.getvalue()
-
-    z = io.BytesIO()
-    with zipfile.ZipFile(z, "w") as a:
-        a.writestr("r/a.txt", "hi")
-    rows = [("t", tar([("r/a", b"abc"), ("r/l", None)])), ("z", z.getvalue()), ("bad", tar([("../x", b"1")])), ("broken", b"garbage"), ("big", tar([("r/a", b"x" * 2000)]))]
-    got = {(r.archive, r.path, r.link, bytes(r.content) if r.content is not None else None, r.error is None) for r in archives.members(spark.createDataFrame(rows, "path string, content binary"), most_bytes=1000).collect()}
-    assert got == {("t", "r/a", False, b"abc", True), ("t", "r/l", True, None, True), ("z", "r/a.txt", False, b"hi", True), ("bad", None, None, None, False), ("broken", None, None, None, False), ("big", None, None, None, False)}
