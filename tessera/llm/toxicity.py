@@ -234,23 +234,27 @@ def _told(seen: DataFrame, bad: float, good: float) -> DataFrame:
 
 
 def _voted(table: np.ndarray, mined: np.ndarray):
-    """votes of each row, and its features' numbers (packed) if it is `sampled`."""
+    """votes in place of each row's text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters, places, numbers = Votes(mined), Places(table), Numbers()
+        voters, places = Votes(mined), Places(table)
         for rows in batches:
-            votes, lists = [], []
-            for text, some in zip(rows.text, rows.sampled, strict=True):
-                own = words_of(text)
-                votes.append(voters.of(text, own, places.of(own)))
-                lists.append(numbers.of(own).tobytes() if some else None)
-            yield rows.drop(columns=["text", "sampled"]).astype({"doc_id": "Int64"}).assign(votes=votes, features=pd.Series(lists, dtype=object, index=rows.index))
+            words = map(words_of, rows.text)
+            votes = [voters.of(text, own, places.of(own)) for text, own in zip(rows.text, words, strict=True)]
+            yield rows.drop(columns="text").astype({"doc_id": "Int64"}).assign(votes=votes)
 
     return run
 
 
-def _beliefs(rows: pd.DataFrame, labels: LabelModel) -> np.ndarray:
-    return labels.posterior(np.array(rows.votes.tolist(), np.int64).reshape(len(rows), -1))
+def _taught(table: np.ndarray, mined: np.ndarray, labels: LabelModel, texts: pd.Series) -> tuple[list[np.ndarray], np.ndarray]:
+    """The numbers of each text's features, and what the label model believes of it."""
+    voters, places, numbers = Votes(mined), Places(table), Numbers()
+    lists, votes = [], []
+    for text in texts:
+        own = words_of(text)
+        lists.append(numbers.of(own))
+        votes.append(voters.of(text, own, places.of(own)))
+    return lists, labels.posterior(np.array(votes, np.int64).reshape(len(texts), -1))
 
 
 class Model:
@@ -278,8 +282,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, relabel: C
 
     n = docs.count()
     sampled = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / max(sample, n)), F.lit(False))
-    voted = docs.select("doc_id", "text", sampled.alias("sampled")).mapInPandas(_voted(lexicon, mined), "doc_id long, votes array<int>, features binary")
-    voted = scratch(voted, "voted")
+    voted = scratch(docs.select("doc_id", "text").mapInPandas(_voted(lexicon, mined), "doc_id long, votes array<int>"), "voted")
     every = voted.groupBy("votes").count().toPandas()  # 3 ** voters rows at most
     gold = voted.select("doc_id", "votes").join(labels, "doc_id").groupBy("votes", "toxic").count().toPandas()  # twice as many at most
     if not len(every):
@@ -293,36 +296,34 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, relabel: C
     counts = np.array([*left.values(), *gold["count"]], float)
     model = relabel(LabelModel(votes, counts, np.array([-1] * len(left) + gold.toxic.tolist())))
 
-    own = voted.where("features IS NOT NULL").select("votes", "features")  # about `sample` rows
+    own = docs.where(sampled).select("text")  # about `sample` rows, read again when they are wanted
 
     def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            belief = _beliefs(rows, model)
             for lo in range(0, len(rows), 500):
-                lists = [np.frombuffer(f, np.int64) for f in rows.features[lo : lo + 500]]
+                lists, belief = _taught(lexicon, mined, model, rows.text[lo : lo + 500])
                 names, at = np.unique(np.concatenate(lists), return_inverse=True)
-                bad = np.bincount(at, np.repeat(belief[lo : lo + 500], [len(x) for x in lists]), len(names))
-                yield pd.DataFrame({"feature": names, "bad": bad, "good": np.bincount(at, minlength=len(names)) - bad})
-
-    def beliefs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"belief": _beliefs(rows, model), "one": 1})
-
-    total = own.select("votes").mapInPandas(beliefs, "belief double, one int").agg(F.sum("belief").alias("bad"), F.sum("one").alias("n")).first()
-    bad = total.bad or 0.0
-    clear = _told(own.mapInPandas(masses, "feature long, bad double, good double"), bad, (total.n or 0) - bad).where("abs(z) > 3").select("feature").toPandas()  # of the sample's words
+                bad = np.bincount(at, np.repeat(belief, [len(x) for x in lists]), len(names))
+                yield pd.DataFrame({"feature": names.view(np.int64), "bad": bad, "good": np.bincount(at, minlength=len(names)) - bad})
+                # feature 0 has no text: it holds the rows' own sums
+                yield pd.DataFrame({"feature": [0], "bad": [belief.sum()], "good": [len(belief) - belief.sum()]})
+
+    seen = scratch(own.mapInPandas(masses, "feature long, bad double, good double").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "masses")
+    total = seen.where("feature = 0").first()
+    if total is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(model.prior / (1 - model.prior))), lexicon, mined, model)
+    clear = _told(seen.where("feature <> 0"), total.bad, total.good).where("abs(z) > 3").select("feature").toPandas()  # of the sample's words
     table = np.sort(clear.feature.to_numpy(np.int64).view(np.uint64))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            lists = [np.frombuffer(f, np.uint64) for f in rows.features]
-            at = [np.searchsorted(table, x) for x in lists]
-            kept = [a[(a < len(table)) & (table[np.minimum(a, len(table) - 1)] == x)] if len(table) else a[:0] for a, x in zip(at, lists, strict=True)]
-            yield pd.DataFrame({"features": [k.astype(np.uint32).tobytes() for k in kept], "belief": _beliefs(rows, model)})
+            for lo in range(0, len(rows), 500):
+                lists, belief = _taught(lexicon, mined, model, rows.text[lo : lo + 500])
+                at = [np.searchsorted(table, x) for x in lists]
+                kept = [a[(a < len(table)) & (table[np.minimum(a, len(table) - 1)] == x)] if len(table) else a[:0] for a, x in zip(at, lists, strict=True)]
+                yield pd.DataFrame({"features": [k.astype(np.uint32).tobytes() for k in kept], "belief": belief})
 
     rows = own.mapInPandas(placed, "features binary, belief double").toPandas()
-    if not len(rows):
-        return Model(table, np.zeros(len(table)), float(np.log(model.prior / (1 - model.prior))), lexicon, mined, model)
     weights, bias = fit_linear([np.frombuffer(f, np.uint32) for f in rows.features], rows.belief.to_numpy(), len(table))
     return Model(table, weights, bias, lexicon, mined, model)
 
