@@ -52,7 +52,13 @@ _SHOUTING = re.compile(r"[A-Z]{3,}\W+[A-Z]{3,}\W+[A-Z]{3}")
 
 def words_of(text: str | None) -> set[str]:
     """The text's different words in lower case."""
-    return set(_WORD.findall((text or "").lower()))
+    out: set[str] = set()
+    for part in set((text or "").lower().split()):
+        if part.isalpha():
+            out.add(part)
+        else:
+            out.update(_WORD.findall(part))
+    return out
 
 
 def features_of_word(word: str) -> list[str]:
