@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 #: Documents, of all that may be learned from, that the classifier is fitted to, at most about.
-SAMPLE = 30_000
+SAMPLE = 12_000
 #: A word or a word's beginning is mined, or a feature, if so many rows of one kind have it (for features: rows of the sample, by their beliefs).
 SUPPORT = 5
 #: Words and beginnings in the mined lexicons at most: those that speak most clearly; 8 MB.
@@ -305,20 +305,24 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, relabel: C
     own = docs.where(sampled).select("text")  # about `sample` rows, read again when they are wanted
 
     def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for lo in range(0, len(rows), 500):
-                lists, belief = _taught(lexicon, mined, model, rows.text[lo : lo + 500])
+        """A row for each feature of all the task's texts, or of a few thousand of them."""
+        lists, beliefs = [], []
+        for rows in chain(batches, [None]):
+            if rows is not None and len(rows):
+                own, belief = _taught(lexicon, mined, model, rows.text)
+                lists, beliefs = lists + own, [*beliefs, *belief]
+            if lists and (rows is None or sum(map(len, lists)) > 4_000_000):
                 names, at = np.unique(np.concatenate(lists), return_inverse=True)
-                bad = np.bincount(at, np.repeat(belief, [len(x) for x in lists]), len(names))
+                bad = np.bincount(at, np.repeat(beliefs, [len(x) for x in lists]), len(names))
                 yield pd.DataFrame({"feature": names.view(np.int64), "bad": bad, "good": np.bincount(at, minlength=len(names)) - bad})
-                # feature 0 has no text: it holds the rows' own sums
-                yield pd.DataFrame({"feature": [0], "bad": [belief.sum()], "good": [len(belief) - belief.sum()]})
+                lists, beliefs = [], []
 
-    seen = scratch(own.mapInPandas(masses, "feature long, bad double, good double").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "masses")
-    total = seen.where("feature = 0").first()
-    if total is None:
+    held = voted.where(sampled).groupBy("votes").count().toPandas()  # 3 ** voters rows at most
+    if not len(held):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(model.prior / (1 - model.prior))), lexicon, mined, model)
-    clear = _told(seen.where("feature <> 0"), total.bad, total.good).where("abs(z) > 3").select("feature").toPandas()  # of the sample's words
+    bad = float((model.posterior(np.array(held.votes.tolist(), np.int64)) * held["count"]).sum())
+    told = _told(own.mapInPandas(masses, "feature long, bad double, good double"), bad, float(held["count"].sum()) - bad)
+    clear = told.where("abs(z) > 3").select("feature").toPandas()  # of the sample's words
     table = np.sort(clear.feature.to_numpy(np.int64).view(np.uint64))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
