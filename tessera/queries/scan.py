@@ -70,9 +70,14 @@ def tokens_by_format(t):
     return t.documents.select("doc_id", classify.tokens_found(_body(t)).cast("long").alias("tokens"))
 
 
-@query()
+#: A text's candidates are its runs of these characters; in the table's texts no two are so near each other that one is part of the other's context.
+@query(r"""WITH t AS (SELECT doc_id, text || ' key ' || base64(unhex(sha256(text))) AS body FROM documents), b AS (SELECT doc_id, regexp_extract_all(body, '[A-Za-z0-9_+/=-]{32,200}') AS found, regexp_split_to_array(body, '[A-Za-z0-9_+/=-]{32,200}') AS between FROM t),
+v AS (SELECT doc_id, rtrim(unnest(found), '=') AS v, right(unnest(list_slice(between, 1, len(found))), 80) AS context FROM b),
+c AS (SELECT doc_id, v, regexp_matches(context, '<HARMLESS>') OR regexp_matches(context, '<NAMED>[ \t]*[:=][ \t]*$') AS named, list_transform(list_distinct(string_split(v, '')), lambda x: (length(v) - length(replace(v, x, ''))) / length(v)) AS shares FROM v)
+SELECT doc_id, count(*) FILTER (NOT named AND len(shares) >= 12 AND list_sum(list_transform(shares, lambda p: -p * log2(p))) >= 4.3
+AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) + CAST(regexp_matches(v, '[_+/=-]') AS INT) >= 3) AS found FROM c GROUP BY doc_id""".replace("<HARMLESS>", classify.HARMLESS).replace("<NAMED>", "(?i)" + classify._NAMED))
 def random_strings(t):
-    """Random-looking strings; tests/test_scan.py holds them against a plain count."""
+    """Random-looking strings in texts that end with one."""
     value = F.concat("text", F.lit(" key "), F.base64(F.unhex(F.sha2("text", 256))))
     return classify.random_strings(t.documents.select("doc_id", value.alias("text")), "doc_id", "text")
 
@@ -123,8 +128,7 @@ def binary_files(t):
     return files(t).select("doc_id", classify.binary(F.col("path"), content).alias("is_binary"))
 
 
-_N = classify.NAME
-_ID = rf"(?:[A-Za-z][A-Za-z0-9]*[_-])*(?:{_N})(?:[_-][A-Za-z0-9]+)*"
+_ID = classify._WHOLE_NAME
 _ASSIGNED = {
     "a": rf"""(?i)([\x27"]?{_ID}[\x27"]?\s*[:=]\s*)"[^\x27"\r\n]{{8,}}\x22""",
     "b": rf"""(?i)([\x27"]?{_ID}[\x27"]?\s*[:=]\s*)\x27[^\x27"\r\n]{{8,}}\x27""",

@@ -57,12 +57,6 @@ def test_scope_and_redaction(spark):
     assert column(spark, [" https://u:p@h/x ", "https://h/x?sig=1", "name"], classify.safe_fact) == ["[REDACTED URL]", "[REDACTED URL]", "name"]
 
 
-def test_random_looking_strings():
-    value = "aZ3kQ9xW7pL2mN8vB4cT6yR1eU5iO0sD"
-    assert classify.random_looking(f"key {value} and {value}") == 2
-    assert classify.random_looking(f"sha256 {value}") == classify.random_looking(f"api_key = {value}") == classify.random_looking("a" * 40) == classify.random_looking("0123456789abcdef" * 2) == 0
-
-
 def test_spans_of_what_is_kept(spark):
     rows = [(1, 0.0, 60.0), (1, 300.0, 360.0), (1, 50.0, 40.0), (2, -5.0, 700.0), (3, 9.0, 9.0)]
     df = spark.createDataFrame(rows, "id int, start double, end double").withColumn("total", F.lit(600.0))
