@@ -60,10 +60,24 @@ def plan_coverage(t):
     return rows.crossJoin(F.broadcast(total)).select("series", "assigned", "bridges", "critical", (F.col("total") - F.col("assigned")).alias("omitted"))  # total: one row
 
 
-_HOSTS = ["10.0.0.1", "8.8.4.4", "::ffff:127.0.0.1", "Printer", "Docs.Example.COM.", "2001:4860:4860:0::8888", "x.local"]
+_H = "sha256(url)"
+_O = [f"('0x' || substr({_H}, {i}, 2))::INT" for i in (1, 3, 5, 7)]
+_G = [f"substr({_H}, {i}, 4)" for i in range(2, 30, 4)]
 
 
-@query(f"""SELECT page_id, CASE page_id % 8 WHEN 1 THEN '8.8.4.4' WHEN 4 THEN 'docs.example.com' WHEN 5 THEN '2001:4860:4860::8888' WHEN 7 THEN 'p' || page_id || '.example.org' END AS host FROM pages""")
+@query(f"""WITH p AS (SELECT page_id, url, {', '.join(f'{x} AS o{i}' for i, x in enumerate(_O))} FROM pages),
+n AS (SELECT page_id, 'name' AS kind, CASE WHEN url LIKE '%://%' THEN lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]*)', 1)) END AS host FROM pages),
+v AS (SELECT page_id, 'four' AS kind, CASE WHEN NOT (o0 IN (0, 10, 127) OR o0 >= 224 OR (o0 = 100 AND o1 BETWEEN 64 AND 127) OR (o0 = 168 AND o1 = 63 AND o2 = 129 AND o3 = 16) OR (o0 = 169 AND o1 = 254) OR (o0 = 172 AND o1 BETWEEN 16 AND 31)
+OR (o0 = 192 AND ((o1 = 0 AND o2 IN (0, 2)) OR o1 = 168)) OR (o0 = 198 AND (o1 IN (18, 19) OR (o1 = 51 AND o2 = 100))) OR (o0 = 203 AND o1 = 0 AND o2 = 113)) THEN o0 || '.' || o1 || '.' || o2 || '.' || o3 END AS host FROM p),
+s AS (SELECT page_id, 'six' AS kind, '2' || substr({_H}, 1, 3) AS first, {" || ':' || ".join(f"regexp_replace({g}, '^0{{1,3}}', '')" for g in _G)} AS rest FROM pages)
+SELECT page_id, kind, CASE WHEN regexp_matches(host, '^([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?[.])+[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?$') AND NOT regexp_matches(host, '[.](local|localhost|internal|home[.]arpa)$') AND NOT regexp_matches(host, '^[0-9.]+$') THEN host END AS host FROM n
+UNION ALL SELECT * FROM v UNION ALL SELECT page_id, kind, CASE WHEN first <> '2002' AND NOT (first = '2001' AND (rest < '2' OR rest LIKE '_:%' OR rest LIKE '__:%' OR rest LIKE 'db8:%')) THEN first || ':' || rest END FROM s""")
 def admitted_hosts(t):
-    given = F.when(F.col("page_id") % 8 == 7, F.concat(F.lit("P"), "page_id", F.lit(".example.org"))).otherwise(F.get(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 8).cast("int")))
-    return hosts.normalised_hosts(t.pages.select("page_id", given.alias("given")), "page_id", "given")
+    """Pages' hosts, and addresses of both kinds drawn from their URLs' digests."""
+    digest = F.sha2("url", 256)
+    byte = lambda i: F.conv(F.substring(digest, i, 2), 16, 10)
+    six = F.concat_ws(":", F.concat(F.lit("2"), F.substring(digest, 1, 3)), *(F.substring(digest, i, 4) for i in range(2, 30, 4)))
+    name = F.concat(F.upper(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit("."))
+    given = {"name": name, "four": F.concat_ws(".", *map(byte, (1, 3, 5, 7))), "six": six}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("given")) for k, v in given.items()))).alias("x")
+    return hosts.normalised(t.pages.select("page_id", each).select("page_id", "x.kind", F.col("x.given").alias("host")), "host")

@@ -199,10 +199,15 @@ def replies_as_json(t):
     return rows.select("doc_id", "valid", F.array_join("ids", ",").alias("ids"), F.replace("readable", F.lit("note: "), F.lit("note: ")).alias("readable"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[Image omitted for local-only safety: ' || lang || '] x' WHEN 1 THEN '&lt;b&gt; <!-- evidence:E1 --> &#36;=1' WHEN 2 THEN '```text' || chr(10) || '<b>' || chr(10) || '```' || chr(10) || '&lt;i&gt;' ELSE lang END AS body FROM documents""")
+_ESC = "replace(replace({}, '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT doc_id, '[Image omitted for local-only safety: ' || lang || '] ' || {_ESC.format('text')} || ' &lt;b&gt;<!--E:' || doc_id || '-->&#36;=' || source || chr(10) || '```text' || chr(10) || text || chr(10) || '```' || chr(10) || '&lt;i&gt;' || {_ESC.format("substr(text, 1, 80)")} AS body FROM documents""")
 def inert_documents(t):
-    kinds = [F.concat(F.lit("!["), "lang", F.lit("](http://x/y.png) x")), F.lit("<b> <!-- evidence:E1 --> $=1"), F.lit("```dataviewjs\n<b>\n```\n<i>"), F.col("lang")]
-    return shapes.inert_bodies(t.documents.select("doc_id", F.get(F.array(*kinds), (F.col("doc_id") % 4).cast("int")).alias("text")), "doc_id", "text")
+    """Documents between an image, tags, evidence and an inline query, and again within a fence."""
+    line = F.concat(F.lit("!["), "lang", F.lit("](http://x/"), "source", F.lit(".png) "), "text", F.lit(" <b><!--E:"), "doc_id", F.lit("-->$="), "source")
+    body = F.concat(line, F.lit("\n```dataviewjs\n"), "text", F.lit("\n```\n<i>"), F.substring("text", 1, 80))
+    return shapes.inert_bodies(t.documents.select("doc_id", body.alias("text")), "doc_id", "text")
 
 
 @query("""SELECT doc_id, lang, coalesce(quality::VARCHAR, '-') AS quality, source AS project FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)""")
