@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multipliers of the rolling hashes; any odd 64-bit numbers whose predecessor has few factors of two do.
 ROLL_A = 0x9E3779B97F4A7C15 | 1
@@ -41,6 +42,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(df: DataFrame, *own: str) -> DataFrame:
+    """row (a struct of all of df's columns), and the columns named: whatever else df has can't clash with what an operator adds; select row.* in the end."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *own)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

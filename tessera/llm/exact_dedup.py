@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, wrapped
+from .ordering import with_group
 
 MIN_CHUNK = 1024
 MAX_CHUNK = 4096
@@ -49,9 +50,8 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def _ambiguous(docs: DataFrame, listed: DataFrame, bits: int) -> DataFrame:
-    """Identifiers, of chunks in recipes that documents share, under which different contents meet."""
-    shared = listed.groupBy("n_bytes", "recipe").agg(F.count("*").alias("n")).where("n > 1")
-    suspects = listed.join(shared, ["n_bytes", "recipe"], "left_semi").select(F.col("doc_id").alias("suspect")).distinct()
+    """Identifiers, of chunks in recipes that documents share (listed: with group_size by recipe), under which different contents meet."""
+    suspects = listed.where("group_size > 1").select(F.col("doc_id").alias("suspect")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     parts = texts.join(suspects, texts.doc_id.eqNullSafe(suspects.suspect), "left_semi")
     each = parts.select(F.explode(chunks(normalised(F.col("text")))).alias("chunk")).select(_identifier(F.col("chunk"), bits).alias("id"), "chunk")
@@ -68,7 +68,8 @@ def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     A long text's recipe has a number for each 1 to 4 thousand characters. An empty table gives an empty result.
     bits: width of the identifiers (fewer only to test what happens when contents meet).
     """
-    listed = scratch(recipes(docs, bits), "recipes")
+    key = ["n_bytes", "recipe"]
+    listed = scratch(with_group(scratch(recipes(docs, bits), "recipes"), key, ["doc_id", "text_key"], "dealt"), "grouped")
     ambiguous = scratch(_ambiguous(docs, listed, bits), "ambiguous")
     told = None
     if not ambiguous.isEmpty():
@@ -80,14 +81,10 @@ def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
             F.col("text_key").alias("told_key"),
             F.array_join(F.transform(chunks(normalised(F.col("text"))), lambda c: F.sha2(c, 256)), ",").alias("told"),
         )
-    if told is None:
-        listed = listed.withColumn("told", F.lit(""))
-    else:
-        listed = listed.join(told, listed.doc_id.eqNullSafe(told.told_id) & listed.text_key.eqNullSafe(told.told_key), "left").drop("told_id", "told_key").fillna("", ["told"])
-    key = ["n_bytes", "recipe", "told"]
-    best = listed.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "text_key")).alias("best"))
-    joined = listed.join(best, key)
-    return joined.select(
+    if told is not None:
+        listed = listed.drop("group_size", "best").join(told, listed.doc_id.eqNullSafe(told.told_id) & listed.text_key.eqNullSafe(told.told_key), "left").drop("told_id", "told_key").fillna("", ["told"])
+        listed = with_group(listed, [*key, "told"], ["doc_id", "text_key"], "dealt")
+    return listed.select(
         "doc_id",
         "text_key",
         F.col("best.doc_id").alias("keep_id"),
@@ -99,7 +96,7 @@ def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each group of equal texts stays; a row repeated whole stays once."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
-    keyed = docs.withColumns({"__key": F.xxhash64("text")})
-    return keyed.join(kept, keyed.doc_id.eqNullSafe(kept["__id"]) & (F.col("__key") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """The rows of docs, all columns whatever their names, of which one of each group of equal texts stays; a row repeated whole stays once."""
+    kept = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("key"))
+    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")

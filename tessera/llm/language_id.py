@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, wrapped
 
 BUCKETS = 1 << 14
 #: A trigram's evidence counts as so much of an independent observation.
@@ -30,9 +30,9 @@ PRIOR_ROWS = 10.0
 LEAST = 0.5
 #: Prior of the hypothesis that a text is in none of the languages: its trigrams then fall evenly on all buckets.
 NO_LANGUAGE = 0.05
-#: A declared language has a model of its own if so large a share of declaring rows names it, so that there are at most
-#: 1 / SHARE of them; the others have one in common.
-SHARE = 1 / 512
+#: Languages that have a model of their own: those that most rows declare, of any share of all rows; others, if there are more than
+#: so many different declarations, have one in common. There are fewer written languages of any size than this.
+LANGUAGES = 512
 OTHER = "~other"
 
 _letters: list[np.ndarray] = []
@@ -117,20 +117,19 @@ def site(host: Column) -> Column:
     return F.when(host.isNotNull(), F.substring_index(host, ".", -2))
 
 
-def identified(rows: DataFrame, keys: list[str], least: float = LEAST) -> DataFrame:
+def identified(rows: DataFrame, keys: list[str], least: float = LEAST, languages: int = LANGUAGES) -> DataFrame:
     """keys, declared, text_lang, lang, probability, accepted of each row.
 
     rows: keys, text, declared (language tag), suffix and host, each of which may be null: a
     null is no evidence. A text without letters says nothing; a row is accepted if its best
     language has a posterior of `least` or more, its text has letters, and no-language doesn't explain it better. Ties go to the language that comes first in
-    the alphabet. Languages that fewer than a share SHARE of the rows declare are one, OTHER; a row that OTHER wins is in the language that it declares,
+    the alphabet. Languages beyond the most declared ones, `languages` of them, are one, OTHER; a row that OTHER wins is in the language that it declares,
     and not accepted if it declares none of these. Texts of any length are read whole, some millions of characters at a time. Without any declared language in the table, lang and probability are null and no row is accepted. Rows
     that repeat get the same result.
     """
     rows = rows.select(*keys, "text", code(F.col("declared")).alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"))
     named = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n"))
-    whole = named.agg(F.sum("n")).first()[0] or 0
-    own_model = [r.declared for r in named.where(F.col("n") >= SHARE * whole).collect()]  # 1 / SHARE at most
+    own_model = [r.declared for r in named.orderBy(F.desc("n"), "declared").limit(languages).collect()]
     rows = rows.withColumn("tag", F.col("declared")).withColumn("declared", F.when(F.col("declared").isin(own_model), F.col("declared")).when(F.col("declared").isNotNull(), OTHER))
     counted = rows.where("declared IS NOT NULL").select("text", "declared").mapInPandas(_counted, "declared string, bucket int, n long")
     # Languages times buckets, however many rows there are.
@@ -173,9 +172,10 @@ def identified(rows: DataFrame, keys: list[str], least: float = LEAST) -> DataFr
         return F.zip_with(others, parent, lambda c, p: (c + PRIOR_ROWS * p) / (rows_ + PRIOR_ROWS))
 
     joined = scored
-    for evidence in ("declared", "suffix"):
-        joined = joined.join(likelihoods(evidence), evidence, "left")
-    joined = joined.join(sites, "site", "left").join(hosts, "host", "left")
+    for evidence, values in (("declared", likelihoods("declared")), ("suffix", likelihoods("suffix")), ("site", sites), ("host", hosts)):
+        # rows without this evidence find nothing: they are spread over keys that no evidence has
+        nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+        joined = joined.withColumn("found_by", F.coalesce(evidence, nowhere)).join(values.withColumnRenamed(evidence, "found_by"), "found_by", "left").drop("found_by")
     joined = joined.withColumn("prior", smoothed("site_counts", base)).withColumn("prior", smoothed("host_counts", F.col("prior")))
     nothing = F.array_repeat(F.lit(0.0), n)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
@@ -209,9 +209,9 @@ def pages_rows(pages: DataFrame) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs, all columns, that are accepted; lang becomes the identified language."""
+    """The rows of docs, all columns whatever their names, that are accepted; lang becomes the identified language."""
     found = identified(documents_rows(docs), ["doc_id", "row_key"], least).where("accepted")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__found"), F.col("lang").alias("__lang")).distinct()
-    keyed = docs.withColumns({"__key": F.xxhash64("text", "lang", "source")})
-    joined = keyed.join(found, keyed.doc_id.eqNullSafe(found["__id"]) & (F.col("__key") == F.col("__found")))
-    return joined.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key"), F.col("lang").alias("found_lang")).distinct()
+    keyed = wrapped(docs, "doc_id", F.xxhash64("text", "lang", "source").alias("key"))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")))
+    return joined.select(*((F.col("found_lang") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

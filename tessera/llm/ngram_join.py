@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLL_A, WordHashes, mixed, rolling, scratch, shuffle_partitions
+from .common import ROLL_A, WordHashes, mixed, rolling, scratch, shuffle_partitions, wrapped
 from .components import components
 
 N = 5
@@ -309,7 +309,7 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, all columns, of which the least doc_id of each class stays; a row repeated whole stays once."""
-    kept = classes(docs, **params, with_links=False).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
-    keyed = docs.withColumns({"__key": F.xxhash64("text")})
-    return keyed.join(kept, keyed.doc_id.eqNullSafe(kept["__id"]) & (F.col("__key") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """The rows of docs, all columns whatever their names, of which the least doc_id of each class stays; a row repeated whole stays once."""
+    kept = classes(docs, **params, with_links=False).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("key"))
+    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, wrapped
 
 #: Base patterns as Java regular expressions. Possessive repeats match what the plain ones match, as what
 #: follows can't begin with what is repeated; runs are entered at their start (or where the last match
@@ -207,16 +207,17 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with each span of the text replaced by <kind>; overlapping spans become one, named after the first."""
+    """The rows of docs, all columns whatever their names, with each span of the text replaced by <kind>; overlapping spans become one, named after the first."""
     found = spans(docs).where("size(base) + size(discovered) > 0")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__found"), F.array_sort(F.concat("base", "discovered")).alias("__all")).dropDuplicates(["__id", "__found"])
-    keyed = docs.withColumns({"__key": F.xxhash64("text")})
-    rows = keyed.join(found, keyed.doc_id.eqNullSafe(found["__id"]) & (F.col("__key") == F.col("__found")), "left")
-
-    reach = running(F.transform("__all", lambda x: x["end"]), F.greatest, F.lit(0))
-    rows = rows.withColumn("__pages", F.when(F.col("__all").isNotNull(), pages(F.col("text")))).withColumn("__reach", reach)
-    covered = F.zip_with("__all", F.concat(F.array(F.lit(0)), F.slice("__reach", F.lit(1), F.size("__reach") - 1)), lambda x, so_far: F.struct(so_far.alias("so_far"), x["start"].alias("start"), x["kind"].alias("kind")))
-    parts = F.transform(F.filter(covered, lambda x: x["start"] >= x["so_far"]), lambda x: F.concat(cut(F.col("__pages"), x["so_far"], x["start"]), F.lit("<"), x["kind"], F.lit(">")))
-    rest = cut(F.col("__pages"), F.element_at("__reach", -1), F.char_length("text"))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), F.array_sort(F.concat("base", "discovered")).alias("all")).dropDuplicates(["found_id", "found_key"])
+    keyed = wrapped(docs, "doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+
+    reach = running(F.transform("all", lambda x: x["end"]), F.greatest, F.lit(0))
+    rows = rows.withColumn("pages", F.when(F.col("all").isNotNull(), pages(F.col("text")))).withColumn("reach", reach)
+    covered = F.zip_with("all", F.concat(F.array(F.lit(0)), F.slice("reach", F.lit(1), F.size("reach") - 1)), lambda x, so_far: F.struct(so_far.alias("so_far"), x["start"].alias("start"), x["kind"].alias("kind")))
+    parts = F.transform(F.filter(covered, lambda x: x["start"] >= x["so_far"]), lambda x: F.concat(cut(F.col("pages"), x["so_far"], x["start"]), F.lit("<"), x["kind"], F.lit(">")))
+    rest = cut(F.col("pages"), F.element_at("reach", -1), F.char_length("text"))
     clean = F.concat(F.array_join(parts, ""), rest)
-    return rows.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    told = F.when(F.col("all").isNull(), F.col("text")).otherwise(clean)
+    return rows.select(*((told if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

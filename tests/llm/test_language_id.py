@@ -51,7 +51,9 @@ def test_rare_declarations_share_a_model(spark):
     r = random.Random(4)
     rows = [(i, prose(r, ("en", "fr")[i % 2], 40), ("en", "fr")[i % 2], None, None) for i in range(1200)]
     rows += [(5000, prose(r, "de", 40), "de", None, None), (5001, prose(r, "de", 40), None, None, None), (5003, "a " * 2_000_000, "en", None, None)]
-    got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    own = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert own[5000].lang == own[5000].text_lang == "de" and own[5000].accepted  # one row of 1,203 has a model
+    got = {x.doc_id: x for x in identified(spark.createDataFrame(rows, SCHEMA), ["doc_id"], languages=2).collect()}
     assert got[5000].lang == "de" and got[5000].accepted and got[5000].declared == "de" and got[5000].text_lang is None
     assert got[5003].lang == "en" and got[5003].accepted
     assert got[5001].lang is None and not got[5001].accepted
