@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import activity, contracts, evidence, files, indexes, journeys, library, maintenance, pipelines, planning, records, reports, retrieval, scan, shapes, streams, texts, views  # noqa: F401  each registers its queries
+from .queries import activity, contracts, evidence, files, indexes, journeys, library, maintenance, pipelines, planning, records, reports, retrieval, scan, shapes, streams, tables, texts, views  # noqa: F401  each registers its queries
 from .queries.registry import QUERIES, SQL
 
 FLAGSHIP = "ranked_search"

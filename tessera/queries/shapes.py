@@ -92,11 +92,11 @@ def evidence_kinds(t):
     )
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), w AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_@./:+~<>=!-]{4,300}')) AS token FROM l)
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), w AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_@./:+~<>=!-]{1,300}')) AS token FROM l)
 SELECT doc_id, token, CAST(min(n) AS BIGINT) AS line FROM w GROUP BY ALL""")
 def first_lines_of_tokens(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    words = lines.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_@./:+~<>=!-]{4,300}"), F.lit(0))).alias("token"))
+    words = lines.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_@./:+~<>=!-]{1,300}"), F.lit(0))).alias("token"))
     return words.groupBy("doc_id", "token").agg(F.min("n").alias("line"))
 
 
