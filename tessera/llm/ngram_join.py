@@ -39,6 +39,8 @@ ROWS = 5
 MARKS, FEW_MARKS = 384, 64
 #: Members and n-grams of a block within which, and with another of which, links are counted; a set isn't divided.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: Members of pairs of blocks that one task compares by min-hashes: about half a kilobyte each.
+CELL = 1 << 14
 #: Entries of the dense tables that are multiplied to count common n-grams.
 DENSE = 1 << 23
 
@@ -244,7 +246,10 @@ def near_pairs(within: DataFrame, sizes: DataFrame, threshold: float, recall: fl
     dealt = moved.select("band", "set_key", "label", "far", "size", spelled("own").alias("own"), spelled("other").alias("other"))
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
     pairs = dealt.groupBy("band", "low", "high").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band", "low", "high")
-    dealt = dealt.join(pairs, ["band", "low", "high"], "left_semi").withColumn("cell", F.pmod(F.xxhash64("band", "low", "high"), F.lit(64 * shuffle_partitions(within.sparkSession))))
+    dealt = scratch(dealt.join(pairs, ["band", "low", "high"], "left_semi"), "compared")
+    # cells of about CELL rows: their number follows the data, so that no task's share grows with the table
+    cells = dealt.count() // CELL + shuffle_partitions(within.sparkSession)
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("band", "low", "high"), F.lit(cells)))
     own_bands = within.groupBy("set_key").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # `bands_for` numbers at most
     full = dealt.join(sizes.select("set_key", "marks").join(own_bands, "set_key"), "set_key")
     return full.groupBy("cell").applyInPandas(_agreeing(threshold, recall), "u binary, v binary").distinct()
