@@ -51,12 +51,13 @@ def changes_of_state(t):
     return jobs.changed(t.events, ["user_id"], [F.asc("ts"), F.asc("event_id")], "event_type").select("event_id", "user_id", "event_type")
 
 
-@query(f"""WITH j AS (SELECT *, {_STATUS} AS status FROM events WHERE event_id % 7 <> 0 OR event_type <> 'click')
-SELECT user_id, (SELECT event_id FROM j b WHERE b.user_id = a.user_id AND b.status = 'queued' ORDER BY ts, event_id LIMIT 1) AS event_id FROM j a
-GROUP BY user_id HAVING NOT bool_or(status = 'running') AND bool_or(status = 'queued')""")
+@query("""WITH j AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS status FROM orders)
+SELECT o_custkey, o_orderpriority, (SELECT o_orderkey FROM j b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.status = 'queued' ORDER BY o_orderdate, o_orderkey LIMIT 1) AS o_orderkey FROM j a
+GROUP BY o_custkey, o_orderpriority HAVING NOT bool_or(status = 'running') AND bool_or(status = 'queued')""")
 def oldest_queued_where_none_runs(t):
-    own = _jobs(t).where("event_id % 7 <> 0 OR event_type <> 'click'")
-    return jobs.claims(own, ["user_id"], ["ts", "event_id"], "event_id")
+    """Orders by their own status as jobs of a customer's queue: open ones wait, partly filled ones run."""
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return jobs.claims(t.orders.withColumn("status", status), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
 @query("""SELECT user_id, count(*) AS active FROM events WHERE event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 GROUP BY user_id HAVING count(*) > 1""")

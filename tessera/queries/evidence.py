@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence
+from ..operators import classify, evidence
 from ..operators.search import first_per
 from .registry import query
+from .scan import FILES, files
 
 
 @query("SELECT DISTINCT o_custkey AS id, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS known FROM orders")
@@ -118,14 +119,14 @@ def topic_coverage(t):
     return rows.select("o_orderkey", (~F.arrays_overlap("a", "b")).alias("disjoint"), (F.size(F.array_except("b", "a")) == 0).alias("covered"))
 
 
-@query("""SELECT p_partkey, CASE WHEN path IN ('readme.md') THEN 1000 ELSE 0 END + CASE WHEN path LIKE '%.json' THEN 700 ELSE 0 END + CASE WHEN p_size % 11 = 0 THEN 500 ELSE 0 END + CASE WHEN path LIKE 'main%' THEN 450 ELSE 0 END AS score FROM
-(SELECT p_partkey, p_size, (['main.py', 'readme.md', 'package.json', 'x.txt'])[p_partkey % 4 + 1] AS path FROM part)""")
+@query(f"""WITH {FILES} SELECT doc_id, CASE WHEN name LIKE 'readme%' OR name LIKE 'security%' THEN 1000 ELSE 0 END + CASE WHEN name IN ('package.json', 'makefile') OR name LIKE 'requirements%' THEN 700 ELSE 0 END + CASE WHEN list_has_any(dirs, ['docs', 'tests']) THEN 500 ELSE 0 END + CASE WHEN name LIKE 'main.%' THEN 450 ELSE 0 END AS score FROM files""")
 def path_scores(t):
-    path = F.get(F.array(*map(F.lit, ["main.py", "readme.md", "package.json", "x.txt"])), (F.col("p_partkey") % 4).cast("int"))
-    rows = t.part.select("p_partkey", "p_size", path.alias("path"))
+    """Sums of what names, kinds and folders of files are worth."""
+    name = classify.base_name(F.col("path"))
     worth = lambda test, n: F.when(test, n).otherwise(0)
-    score = worth(F.col("path") == "readme.md", 1000) + worth(F.col("path").endswith(".json"), 700) + worth(F.col("p_size") % 11 == 0, 500) + worth(F.col("path").startswith("main"), 450)
-    return rows.select("p_partkey", score.alias("score"))
+    role = classify.role(F.col("path"))
+    score = worth(name.rlike("^(readme|security)"), 1000) + worth(role == "manifest", 700) + worth(classify.below(F.col("path"), ["docs", "tests"]), 500) + worth(name.startswith("main."), 450)
+    return files(t).select("doc_id", score.alias("score"))
 
 
 @query(r"""SELECT p_partkey, owner || '/' || name AS repository, regexp_matches(ref, '^[0-9a-f]{40}$') AS pinned FROM (SELECT p_partkey, regexp_extract(u, '^https://forge\.example/([A-Za-z0-9-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 1) AS owner,

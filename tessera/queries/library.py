@@ -111,9 +111,10 @@ def keys_on_one_side_only(t):
     return integrity.differences(t.documents.select(F.col("doc_id").alias("id")), t.embeddings.select(F.col("vec_id").alias("id")), "id")
 
 
-@query("SELECT text, count(*) AS n FROM conversations GROUP BY text HAVING count(*) > 1")
+@query("SELECT conv_id, role, n_words, count(*) AS n FROM (SELECT conv_id, role, len(string_split(text, ' ')) // 10 AS n_words FROM conversations) GROUP BY ALL HAVING count(*) > 1")
 def repeated_turns(t):
-    return integrity.repeated(t.conversations, ["text"])
+    """Turns of one conversation and role of about the same number of words."""
+    return integrity.repeated(t.conversations.select("conv_id", "role", F.expr("size(split(text, ' ')) div 10").cast("long").alias("n_words")), ["conv_id", "role", "n_words"])
 
 
 @query("""SELECT p_partkey, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) ON l_partkey = p_partkey GROUP BY p_partkey HAVING count(l_partkey) <> 1""")

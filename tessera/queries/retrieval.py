@@ -121,14 +121,24 @@ def search_within_evidence(t):
     return search.best(whole, 12, ["doc_id"]).select("query_id", "doc_id", "rank")
 
 
-@query(_RANKED + """, c AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 12), l AS (SELECT query_id, rank, 'S' || rank || ': ' || substr(text, 1, 40) AS line FROM c JOIN documents USING (doc_id))
-SELECT query_id, count(*) AS sources, sha256(string_agg(line, chr(10) ORDER BY rank)) AS context FROM l GROUP BY query_id""")
+#: Fixed value: the answer to a question that no source speaks of.
+REFUSAL = "The library does not contain enough evidence to answer this question."
+
+
+@query(_RANKED + f""", c AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 12), l AS (SELECT query_id, rank, 'S' || rank || ': ' || substr(text, 1, 40) AS line FROM c JOIN documents USING (doc_id)),
+g AS (SELECT query_id, count(*) AS sources, sha256(string_agg(line, chr(10) ORDER BY rank)) AS context FROM l GROUP BY query_id), a AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1 - item_id FROM benchmark)
+SELECT query_id, coalesce(sources, 0) AS sources, context, CASE WHEN sources IS NULL THEN '{REFUSAL}' END AS answer FROM a LEFT JOIN g USING (query_id)""".replace("FROM benchmark), q AS", "FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - item_id, reverse(text) FROM benchmark)), q AS", 1))
 def contexts_of_questions(t):
-    """Up to twelve sources labelled S1 to S12, assembled in order; a question without sources has no row, and no answer."""
-    found = search.ranked(t.documents, _asked(t), 12).join(t.documents.select("doc_id", "text"), "doc_id")
+    """Up to twelve sources labelled S1 to S12, assembled in order; a question without sources, such as a passage read backwards as a rule is, gets the refusal and no context."""
+    own = t.benchmark.select("item_id", "text").union(t.benchmark.select(-1 - F.col("item_id"), F.reverse("text")))
+    terms = F.slice(F.filter(tokens(F.col("text")), lambda x: F.length(x) > 1), 1, 3)
+    asked = own.select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    found = search.ranked(t.documents, asked, 12).join(t.documents.select("doc_id", "text"), "doc_id")
     lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("S"), F.col("rank"), F.lit(": "), F.substring("text", 1, 40)).alias("line"))))
     rows = found.groupBy("query_id").agg(F.count("*").alias("sources"), lines.alias("x"))
-    return rows.select("query_id", "sources", F.sha2(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), 256).alias("context"))
+    told = rows.select("query_id", "sources", F.sha2(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), 256).alias("context"))
+    every = own.select(F.col("item_id").alias("query_id")).join(told, "query_id", "left")
+    return every.select("query_id", F.coalesce("sources", F.lit(0)).cast("long").alias("sources"), "context", F.when(F.col("sources").isNull(), REFUSAL).alias("answer"))
 
 
 @query(_RANKED + ", c AS (SELECT * FROM r WHERE rank <= 100) SELECT query_id, doc_id, rank FROM c JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0'")

@@ -35,10 +35,17 @@ def links_and_titles(t):
 _MEMBERS = ["root/{n}/a.txt", "root/../{n}", "/abs/{n}", "root", "root/{n}/", "C:/x/{n}", "a\\b", "", "root//{n}"]
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 IN (0, 3, 4) THEN 'root' END AS root, CASE p_partkey % 9 WHEN 0 THEN p_brand || '/a.txt' WHEN 4 THEN p_brand END AS path FROM part""")
+@query(f"""WITH {FILES}, m AS (SELECT path AS name FROM files UNION ALL SELECT name || '/' || path || '/' FROM files UNION ALL SELECT replace(path, '/', chr(92)) FROM files UNION ALL SELECT source || '/../' || name FROM files UNION ALL SELECT url FROM pages UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) FROM pages UNION ALL SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) FROM pages),
+s AS (SELECT name, string_split(rtrim(name, '/'), '/') AS parts FROM m), k AS (SELECT name, parts, NOT (name = '' OR contains(name, chr(92)) OR name LIKE '/%' OR list_has_any(parts, ['', '.', '..']) OR regexp_matches(name, '^[A-Za-z]:')) AS safe FROM s)
+SELECT name, CASE WHEN safe THEN parts[1] END AS root, CASE WHEN safe AND len(parts) > 1 THEN array_to_string(parts[2:], '/') END AS path FROM k""")
 def archive_names(t):
-    name = F.replace(_pick(_MEMBERS, "p_partkey"), F.lit("{n}"), F.col("p_brand"))
-    return t.part.select("p_partkey", shapes.archive_name(name).alias("x")).select("p_partkey", "x.root", "x.path")
+    """Paths of files and pages as names in archives: as they are, below a folder and with a slash at the end, with other separators, leading out, as URLs."""
+    rows, source = files(t), t.documents.select("doc_id", F.col("source").alias("s"))
+    own = rows.join(source, "doc_id")
+    base, url = classify.base_name(F.col("path")), F.col("url")
+    forms = F.array("path", F.concat(base, F.lit("/"), "path", F.lit("/")), F.translate("path", "/", "\\"), F.concat("s", F.lit("/../"), base))
+    names = own.select(F.explode(forms).alias("name")).union(t.pages.select(F.explode(F.array(url, F.regexp_extract(url, "^[a-z]+://[^/]*(.*)$", 1), F.regexp_extract(url, "^[a-z]+://(.*)$", 1)))))
+    return names.select("name", shapes.archive_name(F.col("name")).alias("x")).select("name", "x.root", "x.path")
 
 
 @query("""WITH b AS (SELECT doc_id, '[E:' || doc_id || '] and [E:' || (doc_id * 3) || ']' AS body FROM documents), k AS (SELECT doc_id, source FROM documents), c AS (SELECT doc_id, CAST(unnest(regexp_extract_all(body, 'E:([0-9]+)', 1)) AS BIGINT) AS cited FROM b)
@@ -100,32 +107,42 @@ def first_lines_of_tokens(t):
     return words.groupBy("doc_id", "token").agg(F.min("n").alias("line"))
 
 
-@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 END, 1) AS line FROM documents""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS l, regexp_extract_all(text, '[A-Za-z0-9_@./:+~<>=!-]+') AS w FROM documents), n AS (SELECT doc_id, l, w[len(w) // 2 + 1] AS a, coalesce(w[len(w) // 2 + 2], '') AS b FROM w),
+i AS (SELECT doc_id, a, b, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM n)
+SELECT doc_id, CAST(coalesce(min(n) FILTER (contains(line, a || ' ' || b)), min(n) FILTER (list_contains(regexp_extract_all(line, '[A-Za-z0-9_@./:+~<>=!-]+'), a)), min(n) FILTER (list_contains(regexp_extract_all(line, '[A-Za-z0-9_@./:+~<>=!-]+'), b)), 1) AS BIGINT) AS line FROM i GROUP BY doc_id""")
 def lines_of_needles(t):
-    """The line of a needle, else of the first of its tokens that has one, else 1; an equi-join on tokens."""
-    body = F.concat_ws("\n", *(F.lit(f"line{k}") for k in range(1, 9)))
-    index = t.documents.select("doc_id", F.posexplode(F.split(body, "\n")).alias("n", "token"))
-    needle = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("'nothing line"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("'"))).otherwise("absent words")
-    parts = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(needle, F.lit("[A-Za-z0-9_@./:+~<>=!-]+"), F.lit(0))).alias("place", "token"))
-    found = parts.join(index, ["doc_id", "token"]).groupBy("doc_id").agg(F.min_by("n", "place").alias("n"))
-    return t.documents.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce(F.col("n") + 1, F.lit(1)).cast("long").alias("line"))
-
-
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || ',b' WHEN 3 THEN '' ELSE '' END AS aliases, CASE event_id % 4 WHEN 1 THEN user_id ELSE -1 END AS n FROM events""")
+    """The first line of two words from the middle of a text, if they stand beside each other; else of the first of them that a line has as a word; else 1."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_@./:+~<>=!-]+"), F.lit(0))
+    half = F.expr("size(w) div 2")
+    given = t.documents.select("doc_id", F.split("text", "\n").alias("l"), words.alias("w")).select("doc_id", "l", F.get("w", half).alias("a"), F.coalesce(F.get("w", half + 1), F.lit("")).alias("b"))
+    lines = given.select("doc_id", "a", "b", F.posexplode("l").alias("n", "line"))
+    own = F.regexp_extract_all("line", F.lit("[A-Za-z0-9_@./:+~<>=!-]+"), F.lit(0))
+    first = lambda test: F.min(F.when(test, F.col("n") + 1))
+    found = F.coalesce(first(F.contains("line", F.concat("a", F.lit(" "), "b"))), first(F.array_contains(own, F.col("a"))), first(F.array_contains(own, F.col("b"))), F.lit(1))
+    return lines.groupBy("doc_id").agg(found.cast("long").alias("line"))
+
+
+@query("""WITH j AS (SELECT event_id, unnest([props, '[' || props || ', "' || event_type || '", null]', '["' || event_type || '", "' || user_id || '"]', '{"n": ' || user_id || '}', '{"n": "' || event_type || '"}', substr(props, 1, 4), event_type]) AS j, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS form FROM events)
+SELECT event_id, form, CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' THEN array_to_string(list_filter(list_transform(j::JSON[], lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'NULL' THEN NULL ELSE replace(x::VARCHAR, ': ', ':') END), lambda x: x IS NOT NULL), ',') ELSE '' END AS aliases,
+coalesce(TRY_CAST(CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN json_extract_string(j, '$.n') END AS BIGINT), -1) AS n FROM j""")
 def json_with_defaults(t):
-    """Lists and numbers of the wrong type, or no JSON, become defaults."""
-    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('["'), "event_type", F.lit('", "b"]'))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"n": '), "user_id", F.lit("}"))).when(F.col("event_id") % 4 == 2, '{"n": "many"}').otherwise("[broken")
-    rows = t.events.select("event_id", text.alias("j"))
+    """Lists and numbers of events' properties: of any type, cut off, or no JSON; what isn't what is asked for becomes the default."""
+    kind = F.col("event_type")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    forms = [F.col("props"), F.concat(F.lit("["), "props", F.lit(", "), quoted(kind), F.lit(", null]")), F.concat(F.lit("["), quoted(kind), F.lit(", "), quoted(F.col("user_id")), F.lit("]"))]
+    forms += [F.concat(F.lit('{"n": '), "user_id", F.lit("}")), F.concat(F.lit('{"n": '), quoted(kind), F.lit("}")), F.substring("props", 1, 4), kind]
+    rows = t.events.select("event_id", F.posexplode(F.array(*forms)).alias("form", "j")).withColumn("form", (F.col("form") + 1).cast("long"))
     list_ = F.when(F.col("j").startswith("["), F.from_json("j", "array<string>"))
-    return rows.select("event_id", F.array_join(F.coalesce(F.filter(list_, lambda x: x.isNotNull()), F.array().cast("array<string>")), ",").alias("aliases"), F.coalesce(F.get_json_object("j", "$.n").try_cast("long"), F.lit(-1)).alias("n"))
+    return rows.select("event_id", "form", F.array_join(F.coalesce(F.filter(list_, lambda x: x.isNotNull()), F.array().cast("array<string>")), ",").alias("aliases"), F.coalesce(F.get_json_object("j", "$.n").try_cast("long"), F.lit(-1)).alias("n"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch(date_trunc('second', ts)) WHEN 1 THEN epoch(date_trunc('second', ts)) - 7200 END::BIGINT AS seconds FROM events""")
+@query("""WITH f AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, event_type, props FROM events), v AS (SELECT event_id, unnest([iso, iso || 'Z', iso || '+0' || event_id % 10 || ':30', replace(iso, 'T', ' '), left(iso, 10), event_type, props, replace(iso, '-0', '-9')]) AS value FROM f)
+SELECT event_id, value, CASE WHEN regexp_matches(value, '[+][0-9]{2}:[0-9]{2}$') THEN epoch(TRY_CAST(left(value, 19) AS TIMESTAMP)) - 3600 * value[21:22]::INT - 60 * value[24:25]::INT ELSE epoch(TRY_CAST(rtrim(value, 'Z') AS TIMESTAMP)) END::BIGINT AS seconds FROM v""")
 def parsed_times(t):
     """Naive stamps are UTC, offsets count, and what is no time is null."""
-    iso = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss")
-    text = F.when(F.col("event_id") % 3 == 0, iso).when(F.col("event_id") % 3 == 1, F.concat(iso, F.lit("+02:00"))).otherwise("yesterday")
-    return t.events.select("event_id", F.unix_timestamp(F.try_to_timestamp(text)).alias("seconds"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    forms = F.array(iso, F.concat(iso, F.lit("Z")), F.concat(iso, F.lit("+0"), F.col("event_id") % 10, F.lit(":30")), F.translate(iso, "T", " "), F.left(iso, F.lit(10)), "event_type", "props", F.replace(iso, F.lit("-0"), F.lit("-9")))
+    return t.events.select("event_id", F.explode(forms).alias("value")).select("event_id", "value", F.unix_timestamp(F.try_to_timestamp("value")).alias("seconds"))
 
 
 @query("""WITH x AS (SELECT doc_id, CAST(ceil(n_chars / 4.0) AS BIGINT) AS i, doc_id % 3000 AS o, doc_id % 3 * 8192 AS native FROM documents), y AS (SELECT *, greatest(512, CAST(ceil(i * 0.1) AS BIGINT), CAST(ceil(greatest(1, o) * 0.1) AS BIGINT)) AS margin FROM x), z AS (SELECT *, i + greatest(1, o) + margin AS required FROM y),

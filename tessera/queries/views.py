@@ -112,20 +112,25 @@ def recordings(t):
     return t.pages.where(F.col("url").startswith("https://") & below & ((path == "/en") | path.startswith("/en/"))).select("page_id")
 
 
-_CASES = ["", "ftp://x.example.com/", "https://user:pw@x.example.com/", "https://localhost/x", "https://10.1.2.3/x", "https://printer/x", "https://x.example.com:8443/", "https://169.254.169.254/", "https://8.8.8.8/x"]
-
-
-@query(f"""WITH u AS (SELECT page_id, CASE WHEN page_id % {len(_CASES)} = 0 THEN url ELSE ({_CASES})[page_id % {len(_CASES)} + 1] END AS u FROM pages), p AS (SELECT *, regexp_extract(u, '^[a-z]+://(?:[^/@]*@)?([^/:?#]*)', 1) AS host FROM u)
-SELECT page_id, CASE WHEN NOT regexp_matches(u, '^https?://') THEN 'scheme' WHEN regexp_matches(u, '^[a-z]+://[^/]*@') THEN 'credentials' WHEN regexp_matches(u, '^[a-z]+://[^/]*:[0-9]+') THEN 'port' WHEN host = 'localhost' OR host LIKE '%.local' THEN 'reserved'
-WHEN host LIKE '10.%' OR host LIKE '127.%' OR host LIKE '192.168.%' OR host LIKE '169.254.%' THEN 'private' WHEN host NOT LIKE '%.%' THEN 'single_label' END AS reason FROM p""")
+@query(r"""WITH s AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS h, sha256(url) AS d FROM pages),
+u AS (SELECT page_id, unnest([url, replace(url, 'https:', 'http:'), replace(url, 'https:', 'gopher:'), replace(url, '://', '://' || page_id || ':pw@'), replace(url, h, h || ':' || page_id % 9000), replace(url, h, 'localhost'), replace(url, h, split_part(h, '.', 1)), replace(url, h, split_part(h, '.', 1) || '.local'),
+replace(url, h, ('0x' || substr(d, 1, 2))::INT || '.' || ('0x' || substr(d, 3, 2))::INT || '.0.7'), replace(url, h, '172.' || ('0x' || substr(d, 5, 2))::INT || '.1.1')]) AS u FROM s), p AS (SELECT *, regexp_extract(u, '^[a-z]+://(?:[^/@]*@)?([^/:?#]*)', 1) AS host FROM u)
+SELECT page_id, u, CASE WHEN NOT regexp_matches(u, '^https?://') THEN 'scheme' WHEN regexp_matches(u, '^[a-z]+://[^/]*@') THEN 'credentials' WHEN regexp_matches(u, '^[a-z]+://[^/]*:[0-9]+') THEN 'port' WHEN host = 'localhost' OR host LIKE '%.local' THEN 'reserved'
+WHEN host LIKE '0.%' OR host LIKE '10.%' OR host LIKE '127.%' OR host LIKE '192.168.%' OR host LIKE '169.254.%' OR regexp_matches(host, '^172[.](1[6-9]|2[0-9]|3[01])[.]') THEN 'private' WHEN host NOT LIKE '%.%' THEN 'single_label' END AS reason FROM p""")
 def admitted_urls(t):
-    """The first reason to refuse a source's address, or null."""
-    url = F.when(F.col("page_id") % len(_CASES) == 0, F.col("url")).otherwise(F.get(F.array(*map(F.lit, _CASES)), (F.col("page_id") % len(_CASES)).cast("int")))
-    rows = t.pages.select("page_id", url.alias("u")).withColumn("host", F.regexp_extract("u", r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*)", 1))
+    """The first reason to refuse a source's address, or null: of each page's URL as it is, and with another scheme, with credentials, a port, or another host drawn from it."""
+    host, digest = F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1), F.sha2("url", 256)
+    byte = lambda i: F.conv(F.substring(digest, i, 2), 16, 10)
+    first = F.split_part(host, F.lit("."), F.lit(1))
+    at = lambda new: F.replace("url", host, new)
+    to = lambda old, new: F.replace("url", F.lit(old), new if not isinstance(new, str) else F.lit(new))
+    forms = [F.col("url"), to("https:", "http:"), to("https:", "gopher:"), to("://", F.concat(F.lit("://"), "page_id", F.lit(":pw@"))), at(F.concat(host, F.lit(":"), F.col("page_id") % 9000)), at(F.lit("localhost")), at(first), at(F.concat(first, F.lit(".local")))]
+    forms += [at(F.concat(byte(1), F.lit("."), byte(3), F.lit(".0.7"))), at(F.concat(F.lit("172."), byte(5), F.lit(".1.1")))]
+    rows = t.pages.select("page_id", F.explode(F.array(*forms)).alias("u")).withColumn("host", F.regexp_extract("u", r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*)", 1))
     u, host = F.col("u"), F.col("host")
     private = host.rlike(r"^(?:10|127)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^0\.")
     reason = F.when(~u.rlike("^https?://"), "scheme").when(u.rlike("^[a-z]+://[^/]*@"), "credentials").when(u.rlike("^[a-z]+://[^/]*:[0-9]+"), "port").when((host == "localhost") | host.endswith(".local"), "reserved")
-    return rows.select("page_id", reason.when(private, "private").when(~F.contains(host, F.lit(".")), "single_label").alias("reason"))
+    return rows.select("page_id", "u", reason.when(private, "private").when(~F.contains(host, F.lit(".")), "single_label").alias("reason"))
 
 
 @query(f"""WITH {PROJECTS}, steps AS (SELECT unnest(['ingest', 'download', 'transcribe', 'snapshot', 'write']) AS step), done AS (SELECT DISTINCT 'src' || user_id % 20 AS source, event_type FROM events WHERE value > 90)
