@@ -36,20 +36,27 @@ def changed(events: DataFrame, by: list[str], order: list[Column], value: str) -
     return rows.where(~F.col("__was").eqNullSafe(F.col(value)) | (F.col("__n") == 1)).drop("__was", "__n")
 
 
+#: Rounds of a closure whose tables are read apart, until they become one.
+ROUNDS = 8
+
+
 def closure(edges: DataFrame, seeds: DataFrame, include: bool) -> DataFrame:
     """node: what is reachable from the seeds along edges (src, dst), with or without the seeds.
 
     Each round joins the newest nodes alone with the edges and keeps those not reached yet, so that it ends on cycles too, after as many rounds as
     the longest of the shortest paths has steps.
     """
-    seeds = written(seeds.select("node").distinct(), "seeds")
-    edges, reached, newest = edges.select("src", "dst"), seeds, seeds
+    edges = edges.select("src", "dst")
+    reached = newest = written(seeds.select("node", F.lit(True).alias("seed")).distinct(), "reached")
+    parts = 1
     while True:
         next_ = newest.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        newest = written(next_.join(reached, "node", "left_anti"), "reached")
+        newest = written(next_.join(reached, "node", "left_anti").withColumn("seed", F.lit(False)), "newest")
         if newest.isEmpty():
-            return reached if include else reached.join(seeds, "node", "left_anti")
-        reached = reached.union(newest)
+            return (reached if include else reached.where("NOT seed")).select("node")
+        reached, parts = reached.unionByName(newest), parts + 1
+        if parts == ROUNDS:  # a plan reads a bounded number of tables, however many rounds there are
+            reached, parts = written(reached, "reached"), 1
 
 
 def transitions(jobs: DataFrame, wanted: DataFrame, allowed: dict[str, list[str]], key: str = "id") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +50,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int, allowed: DataFram
     """query_id, vec_id, rank of the vectors with the largest positive cosines; ties by descending vec_id.
 
     queries: query_id, query (array), a stated set that is checked to be of at most MOST_QUERIES before it goes to every task; allowed: query_id, vec_id,
-    to which the search is restricted before it ranks. Each partition keeps its best `most` of each query before rows move.
+    to which the search is restricted before it ranks. Each block of 1,024 vectors keeps its best `most` of each query before rows move.
     """
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} vectors to search for at once; deal them in several calls")
-    both = vectors.crossJoin(F.broadcast(queries)) if allowed is None else vectors.join(allowed, "vec_id").join(F.broadcast(queries), "query_id")
-    scored = both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
+    if allowed is None:
+        scored = _best_of_blocks(vectors, queries, most)
+    else:
+        both = vectors.join(allowed, "vec_id").join(F.broadcast(queries), "query_id")
+        scored = both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "vec_id", "rank")
 
 
+def _best_of_blocks(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, vec_id, score: each block of vectors is multiplied with all queries at once and gives its `most` best of each, so that rows never are as many as pairs."""
+    asked = queries.collect()  # MOST_QUERIES at most
+    lengths = {len(q.query) for q in asked if q.query is not None}
+    ids = {n: [q.query_id for q in asked if q.query is not None and len(q.query) == n] for n in lengths}
+    unit = {n: _unit(np.array([q.query for q in asked if q.query is not None and len(q.query) == n], float)) for n in lengths}
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema} | {f.name: f.dataType.simpleString() for f in vectors.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            size = rows.embedding.map(lambda x: -1 if x is None else len(x)).to_numpy()
+            for n in lengths & set(size.tolist()):
+                some = rows[size == n]
+                for lo in range(0, len(some), 1024):
+                    part = some[lo : lo + 1024]
+                    own = part.vec_id.to_numpy()
+                    scores = np.round(unit[n] @ _unit(np.stack(part.embedding.to_numpy()).astype(float)).T, 6)
+                    kept = [np.flatnonzero(line > 0) for line in scores]
+                    kept = [at[np.lexsort((-own[at], -line[at]))[:most]] for at, line in zip(kept, scores, strict=True)]
+                    query = np.repeat(np.arange(len(kept)), [len(at) for at in kept])
+                    at = np.concatenate(kept)
+                    yield pd.DataFrame({"query_id": [ids[n][i] for i in query], "vec_id": own[at], "score": scores[query, at]})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
 def fused(lists: list[tuple[DataFrame, float]], key: str, by: list[str] | None = None) -> DataFrame:
     """by, key, score: sum over ranked lists (rank from 1) of weight / (60 + rank - 1)."""
     by = by or []

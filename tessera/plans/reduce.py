@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packs import batched
+from ..sources.shared import written
 
 
 def reduced(items: DataFrame, by: str, order: str, size: str, most: int, shrink: int, levels: int = 12) -> DataFrame:
@@ -26,3 +27,4 @@ def reduced(items: DataFrame, by: str, order: str, size: str, most: int, shrink:
         batches = batched(now, [by], "place", "size", most)
         grouped = now.join(batches, [by, "place"]).groupBy(by, "batch")
         now = grouped.agg(F.min("place").alias("place"), F.greatest(F.lit(1), F.floor(F.sum("size") / shrink)).cast("long").alias("size"), F.flatten(F.collect_list("ids")).alias("ids")).drop("batch")
+        now = written(now, "level")  # else every level would be computed again by those after it

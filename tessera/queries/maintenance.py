@@ -27,11 +27,22 @@ def replaced_chunks(t):
     return maintenance.replaced(stale, fresh, "conv_id")
 
 
-@query("""SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) GROUP BY l_orderkey""")
+@query("""WITH w AS (SELECT c_custkey FROM customer WHERE c_acctbal < 2000), f AS (SELECT o_custkey AS c_custkey, 'running job' AS reason FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300 UNION ALL SELECT user_id, 'live lease' FROM events WHERE event_type = 'signup' AND value > 30),
+r AS (SELECT c_custkey, min(reason) AS reason FROM w JOIN f USING (c_custkey) GROUP BY c_custkey), g AS (SELECT c_custkey FROM w ANTI JOIN r USING (c_custkey)), o AS (SELECT o_orderkey, o_custkey FROM orders SEMI JOIN g ON c_custkey = o_custkey)
+SELECT 'customer' AS kind, CAST(count(*) AS BIGINT) AS n FROM g UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem SEMI JOIN o ON o_orderkey = l_orderkey UNION ALL SELECT 'events', count(*) FROM events SEMI JOIN g ON c_custkey = user_id
+UNION ALL SELECT 'refused: ' || reason, count(*) FROM r GROUP BY reason""")
 def left_after_cascade(t):
-    gone = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    orders = t.orders.join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return maintenance.without(t.lineitem, orders, "o_orderkey", "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """Customers go with their orders, those orders' lines, and their events, unless a running job or a live lease holds them."""
+    tables = {"customer": t.customer, "orders": t.orders.select("o_orderkey", "o_custkey"), "lineitem": t.lineitem.select("l_orderkey", "l_linenumber"), "events": t.events.select("event_id", "user_id")}
+    tables |= {"running": t.orders.where("o_orderstatus = 'P' AND o_totalprice > 300"), "leases": t.events.where("event_type = 'signup' AND value > 30")}
+    links = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("events", "user_id", "customer", "c_custkey")]
+    gone = maintenance.cascade(tables, links, ("customer", "c_custkey", t.customer.where("c_acctbal < 2000")), [("running job", "running", "o_custkey"), ("live lease", "leases", "user_id")])
+    counts = [gone[name].agg(F.lit(name).alias("kind"), F.count("*").alias("n")) for name in ("customer", "orders", "lineitem", "events")]
+    held = gone["refused"].groupBy("c_custkey").agg(F.min("reason").alias("reason")).groupBy(F.concat(F.lit("refused: "), "reason").alias("kind")).agg(F.count("*").alias("n"))
+    out = held
+    for c in counts:
+        out = out.unionByName(c)
+    return out
 
 
 @query("""SELECT text_hash, min(first_id) AS first_id FROM (SELECT sha256(text) AS text_hash, min(doc_id) AS first_id, 0 AS w FROM documents WHERE lang = 'en' GROUP BY text
