@@ -145,10 +145,10 @@ def merged_entries(t):
     return t.orders.groupBy("o_custkey", F.lower("o_orderpriority").alias("entry")).agg(F.max(rank).alias("importance"), F.min("o_orderkey").alias("first_id"), F.countDistinct("o_orderkey").alias("lineage"))
 
 
-@query("""SELECT DISTINCT p_brand, 'part-' || p_size AS name, '>=' || p_size % 5 AS version FROM part""")
+@query("""WITH w AS (SELECT DISTINCT p_partkey, p_size, p_type, unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT p_partkey, 'dependencies' AS section, word AS name, '>=' || p_size AS version FROM w UNION ALL SELECT p_partkey, 'dev', lower(p_type) || '-x', '==1.' || p_size FROM part UNION ALL SELECT p_partkey, 'runtime', 'python', '>=3.' || p_size FROM part""")
 def project_manifests(t):
-    entry = F.concat(F.lit('  "part-'), "p_size", F.lit(">="), F.col("p_size") % 5, F.lit('",'))
-    text = F.concat(F.lit('[project]\nname = "x"\nrequires-python = ">=3.9"\ndependencies = [\n'), F.array_join(F.array_sort(F.collect_set(entry)), "\n"), F.lit("\n]\n"))
-    files = t.part.groupBy("p_brand").agg(text.alias("text"))
-    found = facts.toml_dependencies(files, "p_brand", "text").where("section = 'dependencies'")
-    return found.select("p_brand", "name", "version")
+    """A manifest for each part: its name's words are required, its type in a group."""
+    listed = F.array_join(F.transform(F.array_distinct(F.split("p_name", " ")), lambda w: F.format_string('  "%s>=%d",', w, F.col("p_size"))), "\n")
+    text = F.concat(F.lit('[project]\nname = "x"\nrequires-python = ">=3.'), "p_size", F.lit('"\ndependencies = [\n'), listed, F.lit('\n]\n[project.optional-dependencies]\ndev = ["'), F.lower("p_type"), F.lit("-x==1."), "p_size", F.lit('"]\n'))
+    return facts.toml_dependencies(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")

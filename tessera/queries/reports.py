@@ -300,43 +300,55 @@ def external_calls(t):
 # Manifests.
 
 
-@query("""SELECT o_custkey, 'example.com/m' || o_orderkey AS name, 'v1.' || o_orderkey % 7 || '.0' AS version FROM orders UNION ALL SELECT DISTINCT o_custkey, 'go', '1.22' FROM orders UNION ALL SELECT DISTINCT o_custkey, 'example.com/single', 'v2.0.0' FROM orders""")
+#: A part's files are made of its name's words and of its other columns.
+_P = "w AS (SELECT DISTINCT p_partkey, p_size, unnest(string_split(p_name, ' ')) AS word FROM part)"
+
+
+def _each_word(pattern: str, *more: str):
+    """A line for each of a part's different words."""
+    return F.array_join(F.transform(F.array_distinct(F.split("p_name", " ")), lambda w: F.format_string(pattern, w, *map(F.col, more))), "\n")
+
+
+@query(f"""WITH {_P} SELECT p_partkey, 'example.com/' || word AS name, 'v1.' || p_size || '.0' AS version FROM w UNION ALL SELECT p_partkey, 'go', '1.' || p_size FROM part UNION ALL SELECT p_partkey, 'example.com/' || lower(p_type), 'v2.0.0' FROM part""")
 def module_facts(t):
-    line = F.concat(F.lit("\texample.com/m"), "o_orderkey", F.lit(" v1."), F.col("o_orderkey") % 7, F.lit(".0 // indirect"))
-    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n")
-    files_ = t.orders.groupBy("o_custkey").agg(F.concat(F.lit("module x\n\ngo 1.22\n\nrequire (\n"), block, F.lit("\n)\nrequire example.com/single v2.0.0\nreplace (\n\tno.example/x v1.0.0\n)\n")).alias("text"))
-    return facts.module_requirements(files_, "o_custkey", "text")
+    block = _each_word("\texample.com/%s v1.%d.0 // indirect", "p_size")
+    text = F.concat(F.lit("module x\n\ngo 1."), "p_size", F.lit("\n\nrequire (\n"), block, F.lit("\n)\nrequire example.com/"), F.lower("p_type"), F.lit(" v2.0.0\nreplace (\n"), _each_word("\tno.example/%s v1.0.0"), F.lit("\n)\n"))
+    return facts.module_requirements(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
-@query("""SELECT DISTINCT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'runtime' ELSE 'development' END AS section, 'p/' || l_partkey AS name FROM lineitem WHERE l_returnflag <> 'N'""")
+@query(f"""WITH {_P} SELECT p_partkey, 'runtime' AS section, 'p/' || word AS name FROM w UNION ALL SELECT p_partkey, 'development', 'q/' || lower(p_type) FROM part""")
 def composer_facts(t):
-    rows = t.lineitem.where("l_returnflag <> 'N'").select("l_orderkey", "l_returnflag", F.concat(F.lit("p/"), "l_partkey").alias("name")).distinct()
-    flag = lambda f: F.map_from_entries(F.collect_list(F.when(F.col("l_returnflag") == f, F.struct("name", F.lit("*").alias("version")))))
-    files_ = rows.groupBy("l_orderkey").agg(F.to_json(F.struct(flag("A").alias("require"), flag("R").alias("require-dev"))).alias("text"))
-    return facts.json_sections(files_, "l_orderkey", "text", {"require": "runtime", "require-dev": "development"}).select("l_orderkey", "section", "name")
+    words = F.map_from_entries(F.transform(F.array_distinct(F.split("p_name", " ")), lambda w: F.struct(F.concat(F.lit("p/"), w).alias("k"), F.col("p_size").cast("string").alias("v"))))
+    text = F.to_json(F.struct(words.alias("require"), F.create_map(F.concat(F.lit("q/"), F.lower("p_type")), F.lit("*")).alias("require-dev"), F.col("p_brand").alias("name")))
+    rows = t.part.select("p_partkey", text.alias("text"))
+    return facts.json_sections(rows, "p_partkey", "text", {"require": "runtime", "require-dev": "development"}).select("p_partkey", "section", "name")
 
 
-@query("""SELECT p_partkey, n AS name FROM (SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN ['KEY_' || p_size, 'B2'] WHEN 1 THEN ['HOME_' || p_size] ELSE ['PATH_' || p_size] END) AS n FROM part)""")
+@query(f"""WITH {_P} SELECT DISTINCT p_partkey, name FROM (SELECT p_partkey, unnest(['KEY_' || upper(word), 'HOME_' || upper(word), 'PATH_' || p_size]) AS name FROM w)""")
 def environment_variables(t):
-    size = F.col("p_size").cast("string")
-    code = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x = process.env.KEY_"), size, F.lit(" + process.env.B2 + process.env.lower"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("os.environ['HOME_"), size, F.lit("'] os.environ.get('HOME_"), size, F.lit("')"))).otherwise(F.concat(F.lit('getenv("PATH_'), size, F.lit('")')))
-    return facts.variables(t.part.select("p_partkey", code.alias("text")), "p_partkey", "text")
+    """Variables that code refers to in three ways; names in lower case are none."""
+    code = F.upper(_each_word("%s"))
+    lines = lambda pattern: F.array_join(F.transform(F.split(code, "\n"), lambda w: F.format_string(pattern, w)), "\n")
+    text = F.concat(lines("x = process.env.KEY_%s + process.env.lower"), F.lit("\n"), lines("y = os.environ['HOME_%s']"), F.lit("\n"), lines("os.environ.get('HOME_%s')"), F.lit('\ngetenv("PATH_'), "p_size", F.lit('")'))
+    return facts.variables(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
-@query("""SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS place, 'libs/' || p_partkey AS path FROM part""")
+@query("""WITH p AS (SELECT p_partkey, lower(p_type) AS kind, CASE WHEN string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] THEN [string_split(p_name, ' ')[1]] ELSE string_split(p_name, ' ') END AS l FROM part),
+o AS (SELECT p_partkey, CASE WHEN list_contains(l, kind) THEN l ELSE list_append(l, kind) END AS l FROM p) SELECT p_partkey, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS place, 'libs/' || unnest(l) AS path FROM o""")
 def declared_submodules(t):
-    entry = F.concat(F.lit('[submodule "x"]\n\tpath = libs/'), "p_partkey", F.lit("\n\turl = https://forge.example/x\n\tpath = libs/"), "p_partkey")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "\n")
-    return facts.submodules(t.part.groupBy("p_size").agg(text.alias("text")), "p_size", "text").select("p_size", F.col("place").cast("long").alias("place"), "path")
+    """Paths in their order, each once, though they are declared twice."""
+    entry = _each_word('[submodule "x"]\n\tpath = libs/%s\n\turl = https://forge.example/x')
+    text = F.concat(entry, F.lit("\n"), entry, F.lit("\n\tpath = libs/"), F.lower("p_type"), F.lit("\nother = path"))
+    return facts.submodules(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text").select("p_partkey", F.col("place").cast("long").alias("place"), "path")
 
 
-@query("""SELECT p_size, CAST(3 * row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS BIGINT) AS line, 'img' || p_partkey AS image FROM part""")
+@query("""SELECT p_partkey, CAST(3 * n - 1 AS BIGINT) AS line, 'hub/' || word AS image FROM (SELECT p_partkey, unnest(l) AS word, generate_subscripts(l, 1) AS n FROM (SELECT p_partkey, list_append(CASE WHEN string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] THEN [string_split(p_name, ' ')[1]] ELSE string_split(p_name, ' ') END, lower(p_type)) AS l FROM part))""")
 def compose_images(t):
-    entry = F.concat(F.lit("svc:\n  image: 'img"), "p_partkey", F.lit("'\n  ports: [80]"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "\n")
-    lines = captions.numbered(t.part.groupBy("p_size").agg(text.alias("text")), "p_size", "text")
+    entry = "svc:\n  image: 'hub/%s'\n  ports: [80]"
+    text = F.concat(_each_word(entry), F.lit("\n"), F.format_string(entry, F.lower("p_type")), F.lit("\n# image none"))
+    lines = captions.numbered(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
     pattern = r"^\s*image:\s*['\"]?([^'\"\s]+)"
-    return lines.where(F.col("line").rlike(pattern)).select("p_size", F.col("line_number").cast("long").alias("line"), F.regexp_extract("line", pattern, 1).alias("image")).select("p_size", "line", "image")
+    return lines.where(F.col("line").rlike(pattern)).select("p_partkey", F.col("line_number").cast("long").alias("line"), F.regexp_extract("line", pattern, 1).alias("image"))
 
 
 @query("""SELECT p_partkey, unnest(list_filter([p_name, p_brand, p_type, CASE WHEN p_size < 10 THEN p_size::VARCHAR END], lambda x: length(x) BETWEEN 2 AND 1000)) AS needle FROM part WHERE lower(p_brand) = 'brand#7'""")

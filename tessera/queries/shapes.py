@@ -15,13 +15,15 @@ def _pick(values: list[str], key: str):
     return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
 
 
-_FACTS = ["{n}", "  {n} ", "https://host/x", "https://u:p@host/x", "https://host/x?sig=1", "api_key = abcdefgh12345"]
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 'https://host/x' WHEN 3 THEN '[REDACTED URL]' WHEN 4 THEN '[REDACTED URL]' WHEN 5 THEN 'api_key = [REDACTED]' ELSE p_name END AS fact FROM part""")
+@query(r"""WITH v AS (SELECT page_id, unnest([url, ' ' || url || '  ', replace(url, '://', '://me:' || page_id || '@'), url || '?sig=' || page_id, url || '#' || page_id, 'api_key = ' || sha256(url), 'see ' || regexp_extract(url, '^[a-z]+://([^/]*)', 1), repeat(url, 40)]) AS v FROM pages),
+c AS (SELECT page_id, v, CASE WHEN trim(v) LIKE 'api_key = %' THEN 'api_key = [REDACTED]' ELSE substr(trim(v), 1, 1000) END AS c FROM v)
+SELECT page_id, v, CASE WHEN contains(c, '://') AND (regexp_matches(c, '^[^/?#]*://[^/?#]*@') OR regexp_matches(c, '://[^?#]*[?][^#]')) THEN '[REDACTED URL]' ELSE c END AS fact FROM c""")
 def safe_facts(t):
-    value = F.replace(_pick(_FACTS, "p_partkey"), F.lit("{n}"), F.col("p_name"))
-    return t.part.select("p_partkey", classify.safe_fact(value).alias("fact"))
+    """Pages' URLs and what is made of them: with credentials, with a query, as a key's value, within words, beyond the length."""
+    url = F.col("url")
+    forms = [url, F.concat(F.lit(" "), url, F.lit("  ")), F.replace(url, F.lit("://"), F.concat(F.lit("://me:"), "page_id", F.lit("@"))), F.concat(url, F.lit("?sig="), "page_id"), F.concat(url, F.lit("#"), "page_id")]
+    forms += [F.concat(F.lit("api_key = "), F.sha2(url, 256)), F.concat(F.lit("see "), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1)), F.repeat(url, 40)]
+    return t.pages.select("page_id", F.explode(F.array(*forms)).alias("v")).select("page_id", "v", classify.safe_fact(F.col("v")).alias("fact"))
 
 
 @query(f"WITH {FILES} SELECT doc_id, '[[' || regexp_replace(path, '[.]md$', '') || ']]' AS link, CASE WHEN lang IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN name ELSE lang || ' - ' || name END AS title FROM files JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
@@ -32,9 +34,6 @@ def links_and_titles(t):
     return rows.select("doc_id", F.concat(F.lit("[["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]")).alias("link"), title.alias("title"))
 
 
-_MEMBERS = ["root/{n}/a.txt", "root/../{n}", "/abs/{n}", "root", "root/{n}/", "C:/x/{n}", "a\\b", "", "root//{n}"]
-
-
 @query(f"""WITH {FILES}, m AS (SELECT path AS name FROM files UNION ALL SELECT name || '/' || path || '/' FROM files UNION ALL SELECT replace(path, '/', chr(92)) FROM files UNION ALL SELECT source || '/../' || name FROM files UNION ALL SELECT url FROM pages UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) FROM pages UNION ALL SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) FROM pages),
 s AS (SELECT name, string_split(rtrim(name, '/'), '/') AS parts FROM m), k AS (SELECT name, parts, NOT (name = '' OR contains(name, chr(92)) OR name LIKE '/%' OR list_has_any(parts, ['', '.', '..']) OR regexp_matches(name, '^[A-Za-z]:')) AS safe FROM s)
 SELECT name, CASE WHEN safe THEN parts[1] END AS root, CASE WHEN safe AND len(parts) > 1 THEN array_to_string(parts[2:], '/') END AS path FROM k""")

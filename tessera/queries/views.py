@@ -87,15 +87,16 @@ def quality_blockers(t):
     return n.select("source", "pages", F.when(F.col("pages") > 0, "pages").when(F.substring("source", 4, 9).cast("int") % 4 == 0, "document").alias("blocker"))
 
 
-@query("""SELECT event_id FROM events WHERE (event_id % 3 = 0 AND event_type = 'error') OR (event_id % 3 = 1 AND user_id % 2 = 0)""")
+@query("""WITH f AS (SELECT event_id, unnest(['["x", "' || replace(event_type, 'error', 'critical') || '"]', '{"critical": ' || (value > 20) || '}', '{"critical": "' || event_type || '"}', props, event_type]) AS j, generate_subscripts([1, 2, 3, 4, 5], 1) AS form FROM events)
+SELECT event_id, form FROM f WHERE json_valid(j) AND CASE json_type(j) WHEN 'ARRAY' THEN list_contains(j::VARCHAR[], 'critical') WHEN 'OBJECT' THEN json_extract_string(j, '$.critical') = 'true' ELSE false END""")
 def critical_flags(t):
-    """Flags are a JSON array of names or an object of booleans."""
-    array = F.concat(F.lit('["x", "'), F.when(F.col("event_type") == "error", "critical").otherwise("fine"), F.lit('"]'))
-    record = F.concat(F.lit('{"critical": '), (F.col("user_id") % 2 == 0).cast("string"), F.lit("}"))
-    flags = F.when(F.col("event_id") % 3 == 0, array).when(F.col("event_id") % 3 == 1, record).otherwise("not json")
-    rows = t.events.select("event_id", flags.alias("flags"))
+    """Flags are a JSON array of names or an object of booleans; what is neither is no flag."""
+    kind, quoted = F.replace("event_type", F.lit("error"), F.lit("critical")), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    forms = [F.concat(F.lit('["x", '), quoted(kind), F.lit("]")), F.concat(F.lit('{"critical": '), (F.col("value") > 20).cast("string"), F.lit("}")), F.concat(F.lit('{"critical": '), quoted(F.col("event_type")), F.lit("}")), F.col("props"), F.col("event_type")]
+    rows = t.events.select("event_id", F.posexplode(F.array(*forms)).alias("form", "flags"))
     named = F.array_contains(F.from_json("flags", "array<string>"), "critical")
-    return rows.where(F.coalesce(named, F.lit(False)) | F.coalesce(F.get_json_object("flags", "$.critical") == "true", F.lit(False))).select("event_id")
+    held = F.coalesce(named, F.lit(False)) | F.coalesce(F.get_json_object("flags", "$.critical") == "true", F.lit(False))
+    return rows.where(held).select("event_id", (F.col("form") + 1).cast("long").alias("form"))
 
 
 @query(f"WITH {FILES} SELECT doc_id, path FROM files WHERE sfx <> '.png' AND size < 6000 ORDER BY path")
