@@ -173,9 +173,9 @@ def mapped_within_a_call_budget(t):
 UNION ALL SELECT s.o_custkey, CASE k WHEN 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE k WHEN 0 THEN (lo + hi) // 2 ELSE hi END, depth + 1 FROM s, range(0, 2) t(k) WHERE hi > lo AND depth < 8 AND (SELECT sum(q) FROM i WHERE i.o_custkey = s.o_custkey AND r BETWEEN lo AND hi) > 800)
 SELECT o_custkey, lo, hi FROM s WHERE hi = lo OR depth = 8 OR (SELECT sum(q) FROM i WHERE i.o_custkey = s.o_custkey AND r BETWEEN lo AND hi) <= 800""")
 def halved_batches(t):
-    """Batches over the limit are halved until they fit or are single records, to a depth of eight."""
+    """Batches over the limit are halved until they fit or are single records, to a depth of eight. Sizes are thousands, halves to the even one."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = t.orders.withColumn("q", F.round(F.col("o_totalprice") / 1000).cast("long")).select("o_custkey", F.row_number().over(w).cast("long").alias("r"), F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    rows = t.orders.withColumn("q", F.bround(F.col("o_totalprice") / 1000).cast("long")).select("o_custkey", F.row_number().over(w).cast("long").alias("r"), F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     return packs.halved(rows, "o_custkey", "r", "run", 800, 8)
 
 

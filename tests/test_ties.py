@@ -18,3 +18,9 @@ def test_a_question_read_backwards_that_has_sources_gets_them(spark, tmp_path):
     docs = [(1, "enod si siht"), (2, "this is done"), (3, "nothing")]
     rows = agree(spark, tmp_path, "contexts_of_questions", benchmark=([(5, "this is done")], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     assert {r["query_id"]: r["sources"] for r in rows} == {"5": "1", "-6": "1"}
+
+
+def test_sizes_half_way_go_to_the_even_thousand(spark, tmp_path):
+    orders = [(1, 1, 400500.0), (2, 1, 400500.0), (3, 2, 401500.0), (4, 2, 398500.0), (5, 2, 1.0)]
+    rows = agree(spark, tmp_path, "halved_batches", orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double"))
+    assert [(r["lo"], r["hi"]) for r in rows if r["o_custkey"] == "1"] == [("1", "2")]
