@@ -11,9 +11,9 @@ from pyspark.sql.types import StructType
 from ..sources.shared import place
 
 
-def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of Parquet files as they arrive, with ts as an instant."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+def stream(spark: SparkSession, path: str, schema: StructType, most_files: int = 8) -> DataFrame:
+    """Rows of Parquet files as they arrive, so many files at once, with ts as an instant."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

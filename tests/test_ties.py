@@ -6,9 +6,9 @@ from tessera import catalog
 from tests.compare import both
 
 
-def agree(spark, folder, name, **tables):
+def agree(spark, folder, name, files=1, **tables):
     for table, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        spark.createDataFrame(rows, schema).repartition(files).write.parquet(f"{folder}/{table}.parquet")
     got, want = both(spark, str(folder), catalog.queries()[name], catalog.oracle_sql()[name])
     assert got == want
     return [dict(zip(got[0], r, strict=True)) for r in got[1]]
@@ -24,3 +24,15 @@ def test_sizes_half_way_go_to_the_even_thousand(spark, tmp_path):
     orders = [(1, 1, 400500.0), (2, 1, 400500.0), (3, 2, 401500.0), (4, 2, 398500.0), (5, 2, 1.0)]
     rows = agree(spark, tmp_path, "halved_batches", orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double"))
     assert [(r["lo"], r["hi"]) for r in rows if r["o_custkey"] == "1"] == [("1", "2")]
+
+
+def test_leases_of_one_millisecond_and_events_of_many_files(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda minute: start + datetime.timedelta(minutes=minute)
+    kinds = [("purchase", 9), ("purchase", 5), ("error", 7), ("signup", 3), ("signup", 1)]
+    rows = [(500 * u + n, at(1000 * u), u, kind) for u in range(8) for kind, n in (kinds[u % 5 :] + kinds[: u % 5])]
+    rows += [(7, at(20 * u), 50, "purchase" if u % 3 else "error") for u in range(12)]
+    rows += [(9, at(500), 60 + u % 2, "purchase" if u < 2 else "error") for u in range(4)]
+    found = agree(spark, tmp_path, "streamed_leases", files=12, events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    own = sorted(r["state"] for r in found if r["object_id"] == "0" and r["owner"] == "a")
+    assert own == ["granted", "released", "renewed"]
