@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import archives, files
-from ..sources.shared import place, written
+from ..sources.shared import place, tasks, written
 from .registry import query
 
 #: Documents that share an archive, by number.
@@ -57,24 +59,31 @@ def _archives(t, damaged: bool = False):
     folder = files.local(place(t.spark, "archives"))
     os.makedirs(folder)
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: list[tuple]) -> str:
         path, out = f"{folder}/{key[0]}-{key[1]}.zip", io.BytesIO()
-        rows = rows.sort_values("doc_id")
         with zipfile.ZipFile(out, "w") as z:
             z.writestr("manifest.json", '{"format": 1, "includes": ["documents"]}')
-            for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
+            for _, _, doc_id, text in rows:
                 z.writestr(zipfile.ZipInfo(f"documents/{doc_id}.md"), text.encode(), zipfile.ZIP_STORED if damaged else zipfile.ZIP_DEFLATED)
         data = bytearray(out.getvalue())
         if damaged and key[1] % 2 == 0:
             at = zipfile.ZipFile(io.BytesIO(data)).infolist()[1].header_offset
-            data[at + 30 + len(f"documents/{rows.doc_id.iloc[0]}.md") + 1] ^= 1
+            data[at + 30 + len(f"documents/{rows[0][2]}.md") + 1] ^= 1
         with open(f"{path}.{os.getpid()}", "wb") as f:
             f.write(data)
         os.replace(f"{path}.{os.getpid()}", path)
-        return pd.DataFrame({"path": [path]})
+        return path
+
+    def packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """An archive after the other, of rows in order: a task holds one at a time."""
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        paths = (pack(key, list(own)) for key, own in itertools.groupby(rows, lambda row: row[:2]))
+        while some := list(itertools.islice(paths, 1000)):
+            yield pd.DataFrame({"path": some})
 
     runs = t.documents.select("source", F.expr(f"doc_id div {PER_ARCHIVE}").alias("run"), "doc_id", "text")
-    return written(runs.groupBy("source", "run").applyInPandas(pack, "path string"), "packed")
+    dealt = runs.repartition(tasks(t.spark), "source", "run").sortWithinPartitions("source", "run", "doc_id")
+    return written(dealt.mapInPandas(packs, "path string"), "packed")
 
 
 def _short(c: str = "archive"):

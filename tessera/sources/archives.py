@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import BLOCK, local, refusals
+from .shared import tasks, written
 
 #: The kinds of Unix files in a zip entry's mode; sizes from which compression ratios count.
 LINK, REGULAR, RATIO_FROM = 0xA, (0x0, 0x8), 1 << 20
+#: Rows that a task gives at once, at most, and bytes of contents from which it gives them earlier.
+ROWS, HELD = 10_000, 8 << 20
 _INDEX = "archive string, bytes long, n long, entry string, kind string, encrypted boolean, offset long, packed long, size long, method int, crc32 long, error string"
 _COLUMNS = [c.split()[0] for c in _INDEX.split(", ")]
 
@@ -46,9 +49,10 @@ def index(archives: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for rows in batches:
             for path in rows.path.dropna():
-                out, size = [], None
+                size = None
                 try:
                     with open(local(path), "rb") as f:
                         size = f.seek(0, 2)
@@ -57,14 +61,14 @@ def index(archives: DataFrame) -> DataFrame:
                         f.seek(0)
                         for row in _zip(f) if magic == b"PK" else _tar(f):
                             out.append((path, size, *row, None))
-                            if len(out) == 10_000:
+                            if len(out) == ROWS:
                                 yield _frame(out)
                                 out = []
                 except (OSError, EOFError, ValueError, NotImplementedError, zlib.error, tarfile.TarError, zipfile.BadZipFile, struct.error) as e:
                     out.append((path, size, *[None] * 9, f"{type(e).__name__}: {e}"))
-                yield _frame(out)
+        yield _frame(out)
 
-    return archives.select("path").mapInPandas(run, _INDEX)
+    return archives.select("path").repartition(tasks(archives.sparkSession), "path").mapInPandas(run, _INDEX)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -154,18 +158,26 @@ def members(entries: DataFrame, hold: bool = True) -> DataFrame:
     files = entries.where("kind = 'file'").select("archive", "n", "entry", "offset", "packed", "size", F.when(F.col("crc32").isNull(), -1).otherwise(F.col("method")).alias("method"), "crc32")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for rows in batches:
             for row in rows.itertuples(index=False):
                 content, crc, error = _member(row, hold)
-                out = [(row.archive, row.entry, row.size, content, crc, error)]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _MEMBER.split(", ")]).astype({"crc32": "Int64"})
+                out.append((row.archive, row.entry, row.size, content, crc, error))
+                held += len(content or b"")
+                if len(out) == ROWS or held >= HELD:
+                    yield frame(out)
+                    out, held = [], 0
+        yield frame(out)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MEMBER.split(", ")]).astype({"size": "Int64", "crc32": "Int64"})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path in rows.archive:
                 yield from _streamed(path, hold)
 
-    dealt = files.where("offset IS NOT NULL").repartition("archive", "n").mapInPandas(run, _MEMBER)
+    dealt = files.where("offset IS NOT NULL").repartition(tasks(entries.sparkSession), "archive", "n").mapInPandas(run, _MEMBER)
     return dealt.union(files.where("offset IS NULL").select("archive").distinct().mapInPandas(whole, _MEMBER))
 
 
@@ -194,7 +206,7 @@ def validity(archives: DataFrame, manifest: str = "manifest.json", required: tup
     Faults of the index, members whose checksums don't fit, a manifest that is missing, no JSON object or without a required field, parts that the manifest's
     `includes` names and no entry lies below, and rows of dependencies (archive, entry, size) that no member meets.
     """
-    entries = index(archives)
+    entries = written(index(archives), "entries")  # read many times: archives are opened once
     bad_index = faults(entries).select("archive", F.lit("index"), F.col("path").alias("name"), F.col("reason").alias("problem"))
     sound = entries.where("error IS NULL")
     bad_member = members(sound, hold=False).where("error IS NOT NULL").select("archive", F.lit("member"), "entry", "error")
