@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import packs
 from ..sources import captions
+from ..sources.shared import tasks
 from .registry import query
 
 _FOLD = f"translate(lower({{}}), '{fn.MARKED}', '{fn.PLAIN}')"
@@ -29,7 +30,7 @@ def cleaned_tags(t):
     """Names as they are, said twice, with marks and a repeated last word, with too many words, and empty."""
     n = F.col("p_name")
     names = [n, F.concat(n, F.lit(" "), n), F.concat(F.lit("The "), F.upper(n), F.lit("! "), F.split_part(n, F.lit(" "), F.lit(2))), F.lit("one two three four five"), F.lit(" ")]
-    return t.part.select("p_partkey", fn.clean_tag(F.get(F.array(*names), (F.col("p_partkey") % 5).cast("int"))).alias("tag"))
+    return t.part.select("p_partkey", "p_name").repartition(tasks(t.spark), "p_partkey").select("p_partkey", fn.clean_tag(F.get(F.array(*names), (F.col("p_partkey") % 5).cast("int"))).alias("tag"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]+(:[0-9]+)', 1) AS origin FROM pages")
