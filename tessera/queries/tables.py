@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..operators import needles
+from ..sources.shared import tasks
 from .registry import query
 
 #: A part's manifests: names from its name's words, versions and commands from its other columns.
@@ -20,7 +21,7 @@ def _manifests(t):
     poetry = F.concat(F.lit("[tool.poetry.dependencies]\n"), line('"%s" = {version = "~%s"}'), F.lit("\n[tool.poetry.scripts]\nrun = '"), F.col("p_type"), F.lit("'\n[project]\nrequires-python = '>=3."), F.col("p_size").cast("string"), F.lit("'\n"))
     files = {"a/package.json": package, "b/pyproject.toml": poetry, "c/requirements.txt": line("%s==%s"), "d/Cargo.toml": F.concat(F.lit("[dev-dependencies]\n"), line("\"%s\" = '%s'")), "e/notes.txt": F.lit("none=1"), "f/package.json": F.concat(F.lit("{broken"), "p_name")}
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), x.alias("text")) for p, x in files.items()))).alias("f")
-    return t.part.select("p_partkey", each).select("p_partkey", "f.path", "f.text")
+    return t.part.select("p_partkey", "p_name", "p_size", "p_type").repartition(tasks(t.spark), "p_partkey").select("p_partkey", each).select("p_partkey", "f.path", "f.text")
 
 
 @query(f"""WITH w AS (SELECT DISTINCT p_partkey, p_size, unnest({_WORDS}) AS name FROM part)

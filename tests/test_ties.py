@@ -1,7 +1,10 @@
-"""Rows that the given tables hold only at larger sizes, by query and SQL."""
+"""What shows only at larger sizes: rows that the small tables lack, by query and SQL, and tasks."""
 
 import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera import catalog
 from tests.compare import both
 
@@ -36,3 +39,9 @@ def test_leases_of_one_millisecond_and_events_of_many_files(spark, tmp_path):
     found = agree(spark, tmp_path, "streamed_leases", files=12, events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
     own = sorted(r["state"] for r in found if r["object_id"] == "0" and r["owner"] == "a")
     assert own == ["granted", "released", "renewed"]
+
+
+@pytest.mark.parametrize("name", ["cleaned_tags", "facts_by_table_function"])
+def test_a_small_table_s_work_is_dealt_to_many_tasks(spark, name):
+    rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id()).distinct().count() > 2
