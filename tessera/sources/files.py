@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .checksums import combined
+from .shared import tasks
 
 #: Bytes that are read, or held, at once, and bytes of a file that one task digests.
 BLOCK, SHARE = 1 << 20, 64 << 20
@@ -127,7 +128,7 @@ def checksums(found: DataFrame, root: str) -> DataFrame:
                 sums.append(crc)
             yield rows.assign(crc32=sums)
 
-    dealt = parts.repartition("path", "offset")
+    dealt = parts.repartition(tasks(found.sparkSession), "path", "offset")
     return combined(dealt.mapInPandas(run, "path string, total long, offset long, size long, crc32 long"), ["path"])
 
 
@@ -146,7 +147,7 @@ def digests(found: DataFrame, root: str) -> DataFrame:
                 out.append(state.hexdigest() if n == size else None)
             yield rows.assign(sha256=pd.Series(out, dtype=object, index=rows.index))
 
-    return found.where("kind = 'file'").select("path", "size").repartition("path").mapInPandas(run, "path string, size long, sha256 string")
+    return found.where("kind = 'file'").select("path", "size").repartition(tasks(found.sparkSession), "path").mapInPandas(run, "path string, size long, sha256 string")
 
 
 class _Staged(WriterCommitMessage):
