@@ -1,6 +1,7 @@
 import datetime
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import place
@@ -111,3 +112,29 @@ def test_store_is_put_back(spark):
     with states.state_store(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key) == before and F is not None
+
+
+def test_a_projects_snapshot_asks_the_state_once():
+    asked = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            asked.append("get")
+            return self.now
+
+        def update(self, value):
+            asked.append("update")
+            self.now = value
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Value())  # noqa: N815
+
+    of = states.Snapshots(("done",), 2, 15)
+    of.init(Handle())
+    (first,) = of.handleInputRows((7,), iter([Row(job_id=i, status="done" if i % 2 else "queued", ms=i) for i in range(100)]), None)
+    assert (first.active, first.ended, asked) == (50, 2, ["get", "update"])
+    assert list(of.handleInputRows((7,), iter([Row(job_id=4, status="queued", ms=4)]), None)) == []
+    (third,) = of.handleInputRows((7,), iter([Row(job_id=4, status="done", ms=200)]), None)
+    assert (third.active, json.loads(third.jobs)[-2:]) == (49, [[4, "done"], [99, "done"]]) and len(asked) == 6
