@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..sources.captions import numbered
 
 SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
@@ -26,8 +27,7 @@ LINES = {
 def package_dependencies(files: DataFrame, key: str, text: str) -> DataFrame:
     """key, section, name, version from JSON manifests; what isn't such JSON gives no rows."""
     schema = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
-    record = F.from_json(F.col(text), schema)
-    entries = F.flatten(F.array(*(_entries(record[s], s) for s in SECTIONS)))
+    entries = bound(F.from_json(F.col(text), schema), lambda record: F.flatten(F.array(*(_entries(record[s], s) for s in SECTIONS))))
     return files.select(key, F.explode(entries).alias("f")).select(key, "f.section", "f.name", "f.version")
 
 
