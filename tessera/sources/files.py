@@ -6,6 +6,7 @@ Both are data sources: their readers and writers run in tasks, on folders that d
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import hashlib
 import os
 import shutil
@@ -24,6 +25,8 @@ from .shared import tasks
 
 #: Bytes that are read, or held, at once, and bytes of a file that one task digests.
 BLOCK, SHARE = 1 << 20, 64 << 20
+#: In the folder of a job, the list of its tasks' folders.
+COMMITTED = "committed"
 _TREE = "path string, kind string, size long, modified long"
 
 
@@ -54,14 +57,15 @@ class TreeReader(DataSourceReader):
         return [_Folder(x, True) for x in deep] + [_Folder(x, False) for x in shallow]
 
     def read(self, part: _Folder) -> Iterator[tuple]:
-        todo = [part.path]
+        todo, kinds = [part.path], {stat.S_IFDIR: "directory", stat.S_IFREG: "file", stat.S_IFLNK: "symlink"}
         while todo:
             folder = todo.pop()
+            below = os.path.relpath(folder, self.root)
+            prefix = "" if below == "." else below + os.sep
             for entry in os.scandir(folder):
                 facts = entry.stat(follow_symlinks=False)
-                kinds = {stat.S_ISDIR: "directory", stat.S_ISREG: "file", stat.S_ISLNK: "symlink"}
-                kind = next((k for test, k in kinds.items() if test(facts.st_mode)), "special")
-                yield os.path.relpath(entry.path, self.root), kind, facts.st_size if kind == "file" else 0, facts.st_mtime_ns
+                kind = kinds.get(stat.S_IFMT(facts.st_mode), "special")
+                yield prefix + entry.name, kind, facts.st_size if kind == "file" else 0, facts.st_mtime_ns
                 if kind == "directory" and part.deep:
                     todo.append(entry.path)
 
@@ -150,50 +154,115 @@ def digests(found: DataFrame, root: str) -> DataFrame:
     return found.where("kind = 'file'").select("path", "size").repartition(tasks(found.sparkSession), "path").mapInPandas(run, "path string, size long, sha256 string")
 
 
+def _publish(folder: str, root: str, history: bool, stamp: str) -> int:
+    """Files staged in folder take their places below root, each at once; what they replace is kept. A call that is made again moves what is left."""
+    moved, made = 0, set()
+
+    def above(path: str) -> None:
+        if (parent := os.path.dirname(path)) not in made:
+            os.makedirs(parent, exist_ok=True)
+            made.add(parent)
+
+    for at, _, names in os.walk(folder):
+        below = os.path.relpath(at, folder)
+        for name in names:
+            path = os.path.normpath(os.path.join(below, name))
+            staged, target = os.path.join(at, name), os.path.join(root, path)
+            above(target)
+            try:  # a new file is linked: file systems rename across folders one file at a time
+                os.link(staged, target)
+            except FileNotFoundError:
+                if not os.path.exists(target):
+                    raise
+                continue  # another attempt of this task was faster
+            except OSError:
+                if os.path.lexists(target) and os.path.samefile(staged, target):
+                    continue
+                if history and os.path.exists(target):
+                    old = os.path.join(root, ".history", f"{path}.{stamp}")
+                    above(old)
+                    with contextlib.suppress(FileExistsError):
+                        os.link(target, old)
+                os.replace(staged, target)
+            moved += 1
+    shutil.rmtree(folder, ignore_errors=True)
+    return moved
+
+
+def _synced(folder: str) -> None:
+    """All that is written to this folder's file system is on its disk, or an error: one call for a task's files, as a call for each costs a wait for the disk for each."""
+    syncfs = getattr(ctypes.CDLL(None, use_errno=True), "syncfs", None)
+    f = os.open(folder, os.O_RDONLY)
+    try:
+        if syncfs is None:
+            os.sync()
+        elif syncfs(f):
+            raise OSError(ctypes.get_errno(), "files can't be synced", folder)
+    finally:
+        os.close(f)
+
+
 class _Staged(WriterCommitMessage):
     def __init__(self, folder: str):
         self.folder = folder
 
 
 class DocumentWriter(DataSourceWriter):
-    """Tasks write into a folder of the job beside the library; the driver moves its files into place once all tasks have ended, each at once, and keeps what they replace."""
+    """Tasks write into a folder of the job beside the library. Once all have ended, their files are moved into place: by tasks of save's, or, without it, by the driver."""
 
-    def __init__(self, root: str, history: bool):
-        self.root, self.history = root, history
-        self.staging = os.path.join(root, f".staging-{uuid.uuid4().hex}")
+    def __init__(self, root: str, history: bool, staging: str | None = None):
+        self.root, self.history, self.published = root, history, staging is None
+        self.staging = staging or _staging(root)
+        os.makedirs(self.staging, exist_ok=True)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         folder = os.path.join(self.staging, uuid.uuid4().hex)  # a task that is tried again has another one
+        os.mkdir(folder)
+        made = {folder}
+
+        def make(path: str) -> None:
+            """Folders below the task's: the job's own isn't made again, should the job have ended."""
+            if path not in made:
+                make(os.path.dirname(path))
+                os.mkdir(path)
+                made.add(path)
+
         for row in rows:
             path = os.path.normpath(row.path)
-            if os.path.isabs(path) or path.split(os.sep)[0] in ("..", ".") or any(p.startswith(".") for p in path.split(os.sep)):
+            if os.path.isabs(path) or any(p.startswith(".") for p in path.split(os.sep)):
                 raise ValueError(f"a document can't be written to {row.path!r}")
             place = os.path.join(folder, path)
-            os.makedirs(os.path.dirname(place), exist_ok=True)
+            make(os.path.dirname(place))
             with open(place, "xb") as f:
                 f.write((row.content or "").encode())
-                f.flush()
-                os.fsync(f.fileno())
+        _synced(folder)
         return _Staged(folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        stamp = f"{os.stat(self.staging).st_mtime_ns if os.path.exists(self.staging) else 0}"
-        for folder in [m.folder for m in messages if m]:
-            for at, _, names in os.walk(folder):
-                for name in names:
-                    path = os.path.relpath(os.path.join(at, name), folder)
-                    target = os.path.join(self.root, path)
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    if self.history and os.path.exists(target):
-                        old = os.path.join(self.root, ".history", f"{path}.{stamp}")
-                        os.makedirs(os.path.dirname(old), exist_ok=True)
-                        with contextlib.suppress(FileExistsError):
-                            os.link(target, old)
-                    os.replace(os.path.join(at, name), target)
-        shutil.rmtree(self.staging, ignore_errors=True)
+        folders = [m.folder for m in messages if m]
+        if self.published:
+            stamp = str(os.stat(self.staging).st_mtime_ns)
+            for folder in folders:
+                _publish(folder, self.root, self.history, stamp)
+            shutil.rmtree(self.staging, ignore_errors=True)
+        else:
+            with open(os.path.join(self.staging, COMMITTED), "w") as f:
+                f.write("\n".join(folders))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        _dropped(self.staging)
+
+
+def _staging(root: str) -> str:
+    return os.path.join(root, f".staging-{uuid.uuid4().hex}")
+
+
+def _dropped(staging: str) -> None:
+    """A job's folder is removed under another name, under which tasks that haven't ended yet don't find it."""
+    gone = f"{staging}-dropped"
+    with contextlib.suppress(FileNotFoundError):
+        os.rename(staging, gone)
+    shutil.rmtree(gone, ignore_errors=True)
 
 
 class DocumentSink(DataSource):
@@ -207,10 +276,29 @@ class DocumentSink(DataSource):
         return "path string, content string"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return DocumentWriter(local(self.options["path"]), self.options.get("history", "true") == "true")
+        return DocumentWriter(local(self.options["path"]), self.options.get("history", "true") == "true", self.options.get("staging"))
 
 
 def save(documents: DataFrame, root: str, history: bool = True) -> None:
-    """Rows (path, content) as files below root. If any task fails, no file of the library has changed; what is replaced is kept under .history. Paths are unique."""
-    documents.sparkSession.dataSource.register(DocumentSink)
-    documents.select("path", "content").write.format("tessera_documents").option("history", str(history).lower()).mode("append").save(local(root))
+    """Rows (path, content) as files below root. If any task fails, no file of the library has changed; what is replaced is kept under .history. Paths are unique.
+
+    Once all files are staged, those of each task that wrote them are moved by a task.
+    """
+    spark, root = documents.sparkSession, local(root)
+    spark.dataSource.register(DocumentSink)
+    staging = _staging(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"moved": [_publish(x, root, history, stamp) for x in rows.folder]})
+
+    try:
+        documents.select("path", "content").write.format("tessera_documents").option("staging", staging).mode("append").save(root)
+        with open(os.path.join(staging, COMMITTED)) as f:
+            folders = f.read().splitlines()
+        stamp = str(os.stat(staging).st_mtime_ns)
+        if folders:
+            dealt = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(len(folders))
+            dealt.mapInPandas(run, "moved long").agg(F.sum("moved")).collect()
+    finally:
+        _dropped(staging)
