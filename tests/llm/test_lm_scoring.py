@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessera.llm.attention_lm import CLASSES, CONTEXT, SCORED, Attention, Vocabulary, Windows
+from tessera.llm.attention_lm import CLASSES, CONTEXT, SCORED, Attention, Room, Vocabulary, Windows
 from tessera.llm.lm_scoring import _trained, base_scores, encoded, learned, scores, subword_counts, word_tables
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -90,6 +90,18 @@ def test_gradients():
             assert abs((loss[0] - loss[1]) / 2e-4 - own_g[i]) < 1e-3 * max(1, abs(own_g[i])), name
 
 
+def test_arrays_that_are_used_again_change_no_gradient():
+    r = np.random.default_rng(7)
+    v = Vocabulary(r.integers(1, 50, 200))
+    model, room = Attention.fresh(v.log_class), Room()
+    for n in (900, 45, 900, 1):
+        w = Windows([r.integers(0, 200, n).astype(np.uint32) for _ in range(3)], v)
+        own = (w.rows, w.valid, w.wanted, v.class_of[w.targets].astype(np.int64))
+        (again, loss), (fresh, same) = model.gradient(*own, room), model.gradient(*own)
+        assert loss == same and all((again[name] == fresh[name]).all() for name in Attention.NAMES)
+    assert len(room.arrays) > 5 and all(len(x) <= 29 * 3 * SCORED for x in room.arrays.values())
+
+
 def sample():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "Été", "x1"]
