@@ -41,6 +41,18 @@ def test_leases_of_one_millisecond_and_events_of_many_files(spark, tmp_path):
     assert own == ["granted", "released", "renewed"]
 
 
+def test_events_without_an_object_are_one_object_s_and_ends_at_the_watermark_are_open(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda minute: start + datetime.timedelta(minutes=minute)
+    big = (1 << 53) + 1
+    rows = [(n, at(5 * n), None, kind) for n, kind in enumerate(["purchase", "signup", "purchase", "error", "signup", "purchase"])]
+    rows += [(2, at(3), 0, "purchase"), (2, at(4), big, "purchase"), (9, at(80), big + 2, "purchase"), (8, at(80), big, "purchase"), (1, at(100), 7, "purchase")]
+    found = agree(spark, tmp_path, "streamed_leases", events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    own = lambda user: sorted(r["state"] for r in found if r["object_id"] == str(user))
+    assert (own(0), own(big), own(big + 2)) == (["expired", "granted"], ["expired", "expired", "granted", "granted"], ["granted"])
+    assert len(own(None)) == 10
+
+
 @pytest.mark.parametrize("name", ["cleaned_tags", "facts_by_table_function"])
 def test_a_small_table_s_work_is_dealt_to_many_tasks(spark, name):
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
