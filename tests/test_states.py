@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -138,3 +139,41 @@ def test_a_projects_snapshot_asks_the_state_once():
     assert list(of.handleInputRows((7,), iter([Row(job_id=4, status="queued", ms=4)]), None)) == []
     (third,) = of.handleInputRows((7,), iter([Row(job_id=4, status="done", ms=200)]), None)
     assert (third.active, json.loads(third.jobs)[-2:]) == (49, [[4, "done"], [99, "done"]]) and len(asked) == 6
+
+
+def test_leases_of_many_objects_ask_the_state_once_and_have_one_timer():
+    asked = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            asked.append("get")
+            return self.now
+
+        def update(self, value):
+            asked.append("update")
+            self.now = value
+
+        def clear(self):
+            asked.append("clear")
+            self.now = None
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Value())  # noqa: N815
+        registerTimer = staticmethod(lambda ms: asked.append(ms))  # noqa: N815
+        deleteTimer = staticmethod(lambda ms: asked.append(-ms))  # noqa: N815
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 120_030)  # noqa: N815
+
+    of = states.Leases()
+    of.init(Handle())
+    rows = [(i, "x", True, 2, i) for i in range(100)] + [(i, "x", False, 1, 200_000) for i in range(0, 100, 2)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["object_id", "owner", "acquires", "minutes", "ms"])
+    (first,) = of.handleInputRows((3,), iter([frame(rows[:70]), frame(rows[70:])]), None)
+    assert first.state.value_counts().to_dict() == {"granted": 100, "expired": 50} and asked == ["get", 120_001, "update"]
+    (second,) = of.handleExpiredTimer((3,), Times, None)
+    assert second.ms.tolist() == list(range(120_001, 120_030, 2)) and asked[3:] == ["get", 120_031, "update"]
+    (third,) = of.handleInputRows((3,), iter([frame([(31, "x", True, 1, 120_030), (33, "x", False, 1, 120_032), (35, "y", False, 1, 0)])]), None)
+    assert third.state.tolist() == ["renewed", "released"] and asked[6:] == ["get", -120_031, 120_035, "update"]
